@@ -1,0 +1,28 @@
+import pytest
+from pyspark.sql import SparkSession
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
+        .getOrCreate()
+    )
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+    return session
+
+
+@pytest.fixture()
+def docs_of(spark):
+    """Documents from a list of texts; doc_id is the place in the list."""
+
+    def make(texts, first=0):
+        rows = [(first + i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+    return make
