@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from narravane.llm.decontamination import contaminated
 from narravane.llm.line_quality import quality
 from narravane.llm.ngram_join import near_duplicate_groups
+from narravane.llm.personal_data import personal_report
+from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
 
 
@@ -14,10 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_personal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -31,7 +41,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_guess_cost": op3_secret_guess_cost,
     "op5_quality_chain": op5_quality_chain,
+    "op6_personal_segments": op6_personal_segments,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
