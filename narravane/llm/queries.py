@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.llm.decontamination import contaminated
 from narravane.llm.line_quality import quality
+from narravane.llm.merge_dropout import round_trip
 from narravane.llm.ngram_join import near_duplicate_groups
 from narravane.llm.personal_data import personal_report
+from narravane.llm.phrase_fingerprint import with_next
 from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
 
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), rate=0.1, seed=1)
+
+
 def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_next(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=24)
 
@@ -41,10 +51,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_merge_dropout": op1_merge_dropout,
     "op3_secret_guess_cost": op3_secret_guess_cost,
     "op5_quality_chain": op5_quality_chain,
     "op6_personal_segments": op6_personal_segments,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_phrase_fingerprint": op8_phrase_fingerprint,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
