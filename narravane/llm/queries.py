@@ -10,8 +10,11 @@ from narravane.llm.merge_dropout import round_trip
 from narravane.llm.ngram_join import near_duplicate_groups
 from narravane.llm.personal_data import personal_report
 from narravane.llm.phrase_fingerprint import with_next
+from narravane.llm.scratch import folder
 from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
+from narravane.llm.token_ledger import rollup_after_deduplication
+from narravane.llm.url_filter import judged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,18 @@ def op1_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), rate=0.1, seed=1)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"))
+
+
 def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_after_deduplication(_table(spark, sf_dir, "documents"), folder(spark))
+
+
 def op5_quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +63,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_merge_dropout": op1_merge_dropout,
+    "op2_url_filter": op2_url_filter,
     "op3_secret_guess_cost": op3_secret_guess_cost,
+    "op4_token_ledger": op4_token_ledger,
     "op5_quality_chain": op5_quality_chain,
     "op6_personal_segments": op6_personal_segments,
     "op7_ngram_jaccard": op7_ngram_jaccard,
