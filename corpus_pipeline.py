@@ -1,16 +1,77 @@
-"""Corpus cleaning in stages; each stage works on all that the one before it kept."""
+"""Corpus cleaning in stages; each stage works on all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the
+last return the columns of ``docs``; the last returns what it made of the rest.
+
+Rows keep their doc_id.  Null texts pass the stages that judge texts by their
+content if their score allows it; an empty table passes all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from narravane.llm.decontamination import contaminated
+from narravane.llm.line_quality import THRESHOLD, score, train
+from narravane.llm.merge_dropout import with_ids
+from narravane.llm.ngram_join import near_duplicate_groups
+from narravane.llm.scratch import written
+from narravane.llm.secrets import without_secrets
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the line chain scores below its threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8 or more).
+
+    Rows that repeat a doc_id are one document; one of them stays, and all rows without an id.
+    """
+    groups = near_duplicate_groups(docs, n=5, percent=80)
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(first).select(docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which a benchmark item occurs, up to its edit budget."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), errors=8)
+    leaking = written(found.select("doc_id").distinct())
+    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret by a mark; n_chars follows the text."""
+    return without_secrets(docs)
+
+
+def encode_with_dropout(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_chars, ids): the documents as token ids, segmented with merge-dropout."""
+    return with_ids(docs, rate=0.1, seed=1).select("doc_id", "lang", "source", "n_chars", "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", keep_good_quality),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("secrets", redact_secrets),
+    ("encoding", encode_with_dropout),
+]
+#: SQL can express neither the models nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
+    """Applies the stages to ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
