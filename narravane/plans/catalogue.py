@@ -1,6 +1,132 @@
-"""All registered queries of the library and their reference SQL."""
+"""All registered queries of the library, and the DuckDB text that checks each.
+
+A query is a node: an operator applied to nodes or landed tables.  Its Spark
+form composes DataFrames, its reference form nests common table expressions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from narravane.functions.dialect import Operator, with_inputs
+from narravane.functions.scratch import written
+from narravane.operators import actors, bursts, graph, relational, scoring, similarity, text, themes, trend, upkeep
+from narravane.sources import tables
+
+
+@dataclass(frozen=True)
+class Node:
+    """An operator over inputs; ``sql`` is the reference text of an operator that is no SQL text in Spark."""
+
+    apply: Callable[..., DataFrame] | Operator
+    inputs: dict[str, Node | str] = field(default_factory=dict)
+    sql: str | None = None
+    keep: bool = False  # written once, since several parts of a plan read it
+
+    def frame(self, spark: SparkSession, folder: str, made: dict | None = None) -> DataFrame:
+        made = {} if made is None else made
+        if id(self) not in made:
+            frames = {k: made.setdefault(v, tables.table(spark, folder, v)) if isinstance(v, str) else v.frame(spark, folder, made) for k, v in self.inputs.items()}
+            out = self.apply(**frames) if isinstance(self.apply, Operator) else self.apply(*frames.values())
+            made[id(self)] = written(out) if self.keep else out
+        return made[id(self)]
+
+    def reference(self) -> str:
+        text = self.apply.reference() if isinstance(self.apply, Operator) else self.sql
+        if text is None:
+            raise ValueError("no SQL")
+        parts = {k: v if isinstance(v, str) else v.reference() for k, v in self.inputs.items()}
+        inputs = {k: f"SELECT * FROM {v}" if isinstance(self.inputs[k], str) else v for k, v in parts.items() if v != k}
+        if "RECURSIVE" in text[:20].upper() or any("RECURSIVE" in v.upper() for v in inputs.values()):
+            text = text.strip()
+            text = text.replace("WITH RECURSIVE", "WITH", 1)
+            return with_inputs(text, inputs).replace("WITH ", "WITH RECURSIVE ", 1)
+        return with_inputs(text, inputs)
+
+
+def _node(operator: Operator, *inputs: Node | str, keep: bool = False) -> Node:
+    return Node(operator, dict(zip(operator.inputs, inputs, strict=True)), keep=keep)
+
+
+_posts = _node(tables.event_posts, "events")
+_docs = _node(tables.document_posts, "documents")
+_edges = _node(tables.event_edges, "events")
+_sparse = _node(tables.sparse_edges, "events")
+_bots = _node(tables.known_bots, "customer")
+
+_buckets = _node(trend.daily_buckets, _posts)
+_series = _node(trend.rolling_mean, _buckets, keep=True)
+_lines = _node(trend.theil_sen, _series)
+_rollup = _node(actors.actor_rollup, _posts)
+_top = _node(actors.actors, _rollup)
+_normal = _node(bursts.normalized, _docs)
+_weights = _node(graph.edge_weights, _edges)
+_degrees = _node(graph.degrees, _edges)
+_parts = Node(graph.author_components, {"edges": _sparse}, graph.COMPONENTS_SQL)
+_dense = _node(graph.dense_clusters, _sparse, _parts)
+_shape = _node(graph.density_and_hub, _sparse)
+_sets = _node(similarity.token_sets, _normal, keep=True)
+_pairs = Node(similarity.similar_pairs, {"sets": _sets}, similarity.PAIRS_SQL, keep=True)
+_own = Node(lambda p: similarity.groups_of(p, True), {"pairs": _pairs}, similarity.groups_sql(True), keep=True)
+_cross = Node(lambda p: similarity.groups_of(p, False), {"pairs": _pairs}, similarity.groups_sql(False), keep=True)
+_templates = _node(similarity.token_sets, _node(bursts.normalized, _node(Operator(lambda d: "SELECT item_id AS post_id, 'b' AS narrative, 'b' AS author_id, item_id AS at_us, text FROM benchmark", "benchmark"), "benchmark")))
+_copies = _node(bursts.exact_copies, _normal)
+_hits = _node(scoring.lexicon_hits, _docs)
+_scores = _node(scoring.outrage_scores, _hits)
+_markets = _node(scoring.market_scores, _docs)
+_reasons = _node(scoring.prefilter, _docs, _markets)
+_keywords = _node(Operator(lambda d: "SELECT 'the' AS keyword UNION ALL SELECT ' Tion ' UNION ALL SELECT 'que' UNION ALL SELECT ''", "region"), "region")
+_topics = _node(text.topic_tokens, _docs)
+_phrases = _node(text.phrase_counts, _topics)
+_tfidf = _node(text.tfidf, _topics)
+_units = _node(themes.unit_vectors, "embeddings")
+_near = _node(themes.neighbours, _units, keep=True)
+_clusters = Node(themes.density_clusters, {"pairs": _near}, themes.CLUSTERS_SQL)
+_runs = _node(upkeep.runs, "events")
+_stats = _node(upkeep.keyword_stats, _runs)
+_target = _node(Operator(lambda d: "SELECT narrative, post_id AS external_id, day AS text, at_us FROM posts", "posts"), _posts)
+_batch = _node(Operator(lambda d: "SELECT narrative, CASE WHEN score_u >= 300000 THEN post_id ELSE -1 - post_id END AS external_id, CASE WHEN score_u >= 500000 THEN concat(day, '!') ELSE day END AS text, at_us + 60000000 AS at_us FROM posts", "posts"), _posts)
+_keep = _node(Operator(lambda d: "SELECT DISTINCT narrative FROM posts WHERE narrative < 'p'", "posts"), _posts)
+_ours = _node(Operator(lambda d: "SELECT concat(day, ' ', author_id) AS line, min(post_id) AS pos FROM posts WHERE platform <> 'mastodon' GROUP BY day, author_id", "posts"), _posts)
+_theirs = _node(Operator(lambda d: "SELECT concat(day, ' ', author_id) AS line, min(post_id) AS pos FROM posts WHERE platform <> 'x' GROUP BY day, author_id", "posts"), _posts)
+_scored = _node(Operator(lambda d: "SELECT post_id FROM posts WHERE score_u >= 100000", "posts"), _posts)
+
+NODES: dict[str, Node] = {
+    "daily_buckets": _buckets, "tier_share": _node(trend.tier_share, _buckets), "rolling_mean": _series, "theil_sen": _lines, "daily_trend": _node(trend.trend_class, _lines),
+    "divergence_days": _node(trend.divergence_days, _buckets), "peak_days": _node(trend.peak_days, _buckets), "week_over_week": _node(trend.week_over_week, _buckets),
+    "iso_weeks": _node(trend.iso_weeks, _posts), "score_histogram": _node(trend.score_histogram, _posts), "nearest_rank": _node(trend.nearest_rank, _posts), "score_stats": _node(trend.score_stats, _posts),
+    "actor_rollup": _rollup, "actor_top": _top, "actor_pairs": _node(actors.actor_pairs, _rollup, _top), "actor_hits": _node(actors.actor_hits, _rollup, _top),
+    "bot_overlap": _node(actors.bot_overlap, _posts, _bots), "bot_labels": _node(actors.bot_labels, _posts, _bots), "posts_without_bots": _node(actors.posts_without_bots, _posts, _bots),
+    "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _posts), "bursts": _node(bursts.bursts, _posts), "gaps": _node(bursts.gaps, _posts),
+    "edge_weights": _weights, "heavy_edges": _node(graph.heavy_edges, _weights), "degrees": _degrees, "top_amplifiers": _node(graph.top_amplifiers, _degrees), "graph_stats": _node(graph.graph_stats, _edges, _posts),
+    "edge_kinds": _node(graph.edge_kinds, _edges), "density_and_hub": _node(graph.density_and_hub, _edges), "author_components": _parts, "dense_clusters": _dense, "graph_suspicion": _node(graph.suspicion, _shape, _dense),
+    "topology": _node(graph.topology, _edges), "priority_quadrants": _node(graph.priority_quadrants, _posts, _degrees),
+    "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _pairs), "cross_group_report": _node(similarity.group_report, _cross, _docs, _pairs),
+    "author_spam": _node(similarity.author_spam, _own, _docs), "copypasta": _node(similarity.copypasta, _sets, _templates), "text_coordination": _node(similarity.text_coordination, _copies, _cross),
+    "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
+    "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),
+    "cleaned_text": _node(text.cleaned, _docs), "hashtags": _node(text.hashtags, _docs), "stripped_html": _node(text.stripped_html, "pages"), "token_counts": _node(text.token_counts, _topics), "phrase_counts": _phrases,
+    "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _node(text.phrase_pmi, _phrases), "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_norms": _node(text.tfidf_norms, _tfidf),
+    "turn_pairs": _node(text.turn_pairs, "conversations"), "json_fields": _node(text.json_fields, "events"),
+    "cosine_neighbours": _near, "density_clusters": _clusters, "cohesion": _node(themes.cohesion, _units), "davies_bouldin": _node(themes.davies_bouldin, _units), "purity": _node(themes.purity, _clusters, _units), "author_entropy": _node(themes.author_entropy, _posts),
+    "keyword_stats": _stats, "protected_keywords": _node(upkeep.protected_keywords, _stats), "explore_order": _node(upkeep.explore_order, _stats), "recent_yield": _node(upkeep.recent_yield, _runs), "round_robin": _node(upkeep.round_robin, _stats),
+    "sightings_by_day": _node(upkeep.sightings_by_day, _posts), "upsert_actions": _node(upkeep.upsert_actions, _target, _batch), "upserted": _node(upkeep.upserted, _target, _batch), "orphans": _node(upkeep.orphans, "orders", "customer"),
+    "pruned": _node(upkeep.pruned, _posts, _keep), "last_of_day": _node(upkeep.last_of_day, _posts), "tier_crossings": _node(upkeep.tier_crossings, _posts), "daily_budget": _node(upkeep.daily_budget, _posts), "bounded_history": _node(upkeep.bounded_history, _posts),
+    "newest_then_filtered": _node(upkeep.newest_then_filtered, _posts), "newest_cohort": _node(upkeep.newest_cohort, _posts), "merged_logs": _node(upkeep.merged_logs, _ours, _theirs), "stale_narratives": _node(upkeep.stale_narratives, _posts, _scored),
+    "star_join": _node(relational.star_join, "lineitem", "orders", "customer", "nation", "region"), "rollup_sales": _node(relational.rollup_sales, "lineitem"), "cube_sales": _node(relational.cube_sales, "lineitem"), "grouping_sets_sales": _node(relational.grouping_sets_sales, "lineitem"),
+    "customers_with_orders": _node(relational.customers_with_orders, "customer", "orders"), "customers_without_orders": _node(relational.customers_without_orders, "customer", "orders"), "nation_sets": _node(relational.nation_sets, "customer", "supplier"),
+    "top_orders": _node(relational.top_orders, "orders"), "running_totals": _node(relational.running_totals, "orders"), "status_pivot": _node(relational.status_pivot, "orders"), "as_of_event": _node(relational.as_of_event, "orders", "events"),
+}
+
+#: Queries that SQL can't express: models whose results have no exact reference.
+MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
+    "silhouette": lambda spark, folder: themes.silhouette(tables.table(spark, folder, "embeddings")),
+    "centroid_map": lambda spark, folder: themes.centroid_map(tables.table(spark, folder, "embeddings")),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: (lambda spark, folder, node=node: node.frame(spark, folder)) for name, node in NODES.items()} | MODELS
+ORACLE_SQL: dict[str, str] = {name: node.reference() for name, node in NODES.items()}
