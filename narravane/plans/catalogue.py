@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, bursts, graph, relational, scoring, similarity, text, themes, trend, upkeep
+from narravane.operators import actors, bursts, coordination, graph, relational, scoring, similarity, text, themes, trend, upkeep
 from narravane.sources import tables
 
 
@@ -94,6 +94,24 @@ _ours = _node(Operator(lambda d: "SELECT concat(day, ' ', author_id) AS line, mi
 _theirs = _node(Operator(lambda d: "SELECT concat(day, ' ', author_id) AS line, min(post_id) AS pos FROM posts WHERE platform <> 'x' GROUP BY day, author_id", "posts"), _posts)
 _scored = _node(Operator(lambda d: "SELECT post_id FROM posts WHERE score_u >= 100000", "posts"), _posts)
 
+_trends = _node(trend.trend_class, _lines)
+_moves = _node(upkeep.tier_crossings, _posts)
+_days = _node(trend.divergence_days, _buckets)
+_weeks = _node(trend.week_over_week, _buckets)
+_themes = _node(Operator(lambda d: "SELECT narrative AS theme, post_id FROM posts", "posts"), _docs)
+_groups = _node(
+    Operator(
+        lambda d: "SELECT 'exact' AS kind, min(post_id) OVER (PARTITION BY normal) AS cluster, post_id FROM (SELECT *, count(*) OVER (PARTITION BY normal) AS k FROM normal_posts WHERE normal <> '') n WHERE k > 1 "
+        "UNION ALL SELECT 'author', group_id, post_id FROM own UNION ALL SELECT 'fuzzy', group_id, post_id FROM across",
+        "normal_posts", "own", "across",
+    ),
+    _normal, _own, _cross,
+)
+_overlays = _node(coordination.overlays, _themes, _groups)
+_weekly = _node(Operator(lambda d: f"SELECT DISTINCT {d.div('at_us', '604800000000')} AS week, narrative AS cluster, author_id AS member FROM posts", "posts"), _posts)
+_lineage = _node(coordination.lineage, _weekly)
+_snapshot = _node(coordination.snapshot, _posts, _trends, _node(trend.score_stats, _posts), _node(graph.graph_stats, _edges, _posts), _node(actors.bot_overlap, _posts, _bots))
+
 NODES: dict[str, Node] = {
     "daily_buckets": _buckets, "tier_share": _node(trend.tier_share, _buckets), "rolling_mean": _series, "theil_sen": _lines, "daily_trend": _node(trend.trend_class, _lines),
     "divergence_days": _node(trend.divergence_days, _buckets), "peak_days": _node(trend.peak_days, _buckets), "week_over_week": _node(trend.week_over_week, _buckets),
@@ -121,10 +139,16 @@ NODES: dict[str, Node] = {
     "top_orders": _node(relational.top_orders, "orders"), "running_totals": _node(relational.running_totals, "orders"), "status_pivot": _node(relational.status_pivot, "orders"), "as_of_event": _node(relational.as_of_event, "orders", "events"),
 }
 
+NODES |= {
+    "overlays": _overlays, "coordination_tiers": _node(coordination.coordination_tiers, _overlays, _themes), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
+    "snapshot": _snapshot, "brief": _node(coordination.brief, _snapshot), "failed_gates": _node(coordination.failed_gates, _snapshot),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
     "silhouette": lambda spark, folder: themes.silhouette(tables.table(spark, folder, "embeddings")),
+    "drift": lambda spark, folder: coordination.drift(_lineage.frame(spark, folder).selectExpr("CAST(week AS STRING) AS narrative", "CAST(crc32(before) AS BIGINT) AS before", "CAST(crc32(after) AS BIGINT) AS after", "jaccard")),
     "centroid_map": lambda spark, folder: themes.centroid_map(tables.table(spark, folder, "embeddings")),
 }
 
