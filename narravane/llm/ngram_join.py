@@ -14,13 +14,17 @@ sum up to at least H + 1, some segment differs by no more than its allowance.
   raise as many of their cheapest other segments to allowance 1.  Only records
   with such a subset need the one-deletion neighbourhoods: a pair that loses
   its last shared subset by the skip shares the skipped one.
-* Candidates are verified on the whole sets.
-
-Work on groups stays linear.  Sets that are equal form one class, and each
-class is compared with one hub of its subset first.  Links found so far are
-closed into components, and further pairs of a subset are tried only across
-components.  Pairs inside a component are never expanded; no link between
-different components is lost, because all their shared subsets are tried.
+* A parity sketch of a set, in which a token flips one bit, bounds the tokens
+  in which two sets differ from below; it drops most false candidates in the
+  join that makes them.  The rest is verified on the whole sets.
+
+Work on groups stays small.  Sets that are equal form one class.  Each class is
+first compared with one pivot, the member of its subsets that shares the most
+(if their sketches are near), and links are closed into components.  Sets around one pivot are then compared
+through the tokens in which they differ from it: two of them can be linked only
+if they share enough such tokens, so a prefix of the rarest ones is joined
+(``_around_pivots``).  Sets with different pivots meet in their subsets.  Pairs
+inside a component are never expanded, and no link between components is lost.
 
 Tokens are 64-bit hashes of word n-grams; sets are compared through them.
 
@@ -37,12 +41,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narravane.llm.components import components
-from narravane.llm.scratch import written
+from narravane.functions.scratch import written
 from narravane.llm.textarrays import LOWER, mix, slices, span_hashes, words
+from narravane.operators.components import components
 
 #: Unlinked groups that may share a segment subset before the allocation skips it.
 HOT_KEY = 64
@@ -54,7 +58,7 @@ BAND_RATIO = 1.4
 SEEN = 1 << 16
 
 _U = np.uint64
-_C1, _C2, _C3 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD1342543DE82EF95)
+_C1, _C2, _C3, _C4 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xD1342543DE82EF95), _U(0x2545F4914F6CDD1D)
 
 
 def token_sets(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +126,19 @@ class Bands:
         return out
 
 
+def _salt(band: int) -> np.uint64:
+    return _U((band + 1) * int(_C2) & 0xFFFFFFFFFFFFFFFF)
+
+
 def _segments(tokens: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment of each token, and the term it adds to the segment's subset hash."""
-    seg = (mix(tokens ^ (_U(band + 1) * _C2)) >> _U(11)) % _U(m)
+    seg = (mix(tokens ^ _salt(band)) >> _U(11)) % _U(m)
     return seg.astype(np.int64), mix(tokens ^ _C1)
 
 
 def _keys(sums: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
     """Index key of a subset from the sum of its terms; an empty subset has the sum 0."""
-    return mix(sums ^ mix(seg.astype(_U) + _U(band) * _C2))
+    return mix(sums ^ mix(seg.astype(_U) + _salt(band)))
 
 
 def _segment_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
@@ -140,6 +148,16 @@ def _segment_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
     return _keys(sums, np.arange(m), band)
 
 
+def _sketch(bits: np.ndarray) -> np.ndarray:
+    """Parity bits of a set: a token flips one of 64 * 2**k bits, as many as the set has tokens or more.
+
+    Two sets differ in at least as many tokens as their sketches differ in bits.
+    """
+    width = 1 << max(6, (len(bits) - 1).bit_length())
+    parity = np.bincount((bits & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _list_array(values: np.ndarray, lengths: list[int], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values, kind))
 
@@ -149,7 +167,7 @@ def _ids(batch: pa.RecordBatch) -> pa.Array:
 
 
 def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: set size, two set hashes, and its segment keys (none for a set just seen)."""
+    """Per document: set size, two set hashes, a parity sketch, and its segment keys (none for a set just seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, reach = Bands(percent), set(), {}
@@ -163,6 +181,8 @@ def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 c2 = mix(one[bounds[1:]] - one[bounds[:-1]] + size.astype(_U))
                 keys: list[np.ndarray] = []
                 lengths = []
+                bits = mix(tokens ^ _C4)
+                sketches = [_sketch(bits[b:e]) for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 for r, k in enumerate(size.tolist()):
                     mark, before = int(c1[r]), len(keys)
                     if k and mark not in seen:
@@ -175,8 +195,8 @@ def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     lengths.append(sum(map(len, keys[before:])))
                 flat = np.concatenate(keys) if keys else np.zeros(0, _U)
                 yield pa.RecordBatch.from_arrays(
-                    [_ids(part), pa.array(size, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_array(flat.view(np.int64), lengths, pa.int64())],
-                    ["doc_id", "n_shingles", "c1", "c2", "keys"],
+                    [_ids(part), pa.array(size, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_array(np.concatenate(sketches), list(map(len, sketches)), pa.int64()), _list_array(flat.view(np.int64), lengths, pa.int64())],
+                    ["doc_id", "n_shingles", "c1", "c2", "sketch", "keys"],
                 )
 
     return run
@@ -223,39 +243,96 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def _compared(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with both set sizes, the tokens in which the whole sets differ, and whether they are linked."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(_texts_of(docs, ids).mapInArrow(_sets(n), "doc_id long, tokens array<long>").dropDuplicates(["doc_id", "tokens"]))
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    hit = 100 * common >= percent * (F.size("sa") + F.size("sb") - common)
-    return pairs.join(right, "b").join(left, "a").where(hit).select("a", "b").distinct()
+    differ = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    met = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), differ.alias("delta"))
+    return written(met.withColumn("linked", F.size("delta") <= _budget("na", "nb", percent)))
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b").distinct()
+
+
+def _budget(a: str, b: str, percent: int):
+    """Tokens in which linked sets of these sizes differ at most."""
+    return F.expr(f"({100 - percent} * ({a} + {b})) DIV {100 + percent}")
+
+
+def _around_pivots(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among the sets compared with one pivot ``a``.
+
+    The tokens in which x and y differ are those in which exactly one of them
+    differs from the pivot.  So with dx and dy such tokens and a budget h, a
+    link needs o = (dx + dy - h) / 2 tokens that both have in their difference.
+    Where o is positive, a common token stands among the first dx - o + 1 of x
+    and the first dy - o + 1 of y, in the order of rising frequency around the
+    pivot.  Otherwise the link is certain, and one partner is linked with the
+    pivot; a partner for each size and distance is enough for its component.
+    """
+    of = comps.select(F.col("node").alias("b"), "component")
+    near = compared.select(F.col("a").alias("pivot"), "b", F.col("nb").alias("n"), F.size("delta").alias("d"), "delta", "linked").join(of, "b", "left")
+    near = near.withColumn("comp", F.coalesce("component", "b")).drop("component")
+    several = near.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("pivot")
+    near = written(near.join(several, "pivot", "left_semi"))
+
+    tokens = near.select("pivot", "b", "n", "d", "comp", F.explode("delta").alias("token"))
+    often = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(often, ["pivot", "token"]).selectExpr("*", "row_number() OVER (PARTITION BY pivot, b ORDER BY df, token) - 1 AS r")
+    most = F.expr(f"({100 - percent} * (n + (100 * n) DIV {percent})) DIV {100 + percent}")  # budget with the largest partner
+    index = written(ranked.where((F.col("df") > 1) & (F.col("r") <= most)).select("pivot", "token", "b", "n", "d", "comp", "r"))
+    x, y = (index.select("pivot", "token", *[F.col(c).alias(c + side) for c in ("b", "n", "d", "comp", "r")]) for side in "xy")
+    common = F.expr(f"(dx + dy - {_sql_budget('nx', 'ny', percent)} + 1) DIV 2")
+    met = x.join(y, ["pivot", "token"]).where((F.col("bx") < F.col("by")) & (F.col("compx") != F.col("compy")) & (common >= 1) & (common <= F.col("dx") - F.col("rx")) & (common <= F.col("dy") - F.col("ry")) & _sizes("nx", "ny", percent))
+    pairs = met.select(F.col("bx").alias("a"), F.col("by").alias("b")).distinct()
+
+    inner = near.where("linked").groupBy("pivot", "n", "d").agg(F.min_by(F.struct("b", "comp"), "b").alias("x")).select("pivot", F.col("n").alias("nx"), F.col("d").alias("dx"), "x")
+    outer = near.where("NOT linked").where(F.col("d") <= most).select("pivot", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("comp").alias("compy"))
+    sure = outer.join(inner, "pivot").where((F.col("dx") + F.col("dy") <= _budget("nx", "ny", percent)) & (F.col("x.comp") != F.col("compy")))
+    sure = sure.groupBy("y", "x.comp").agg(F.min("x.b").alias("x")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(sure).distinct()
+
+
+def _sketch_distance(a: str, b: str) -> Column:
+    """Bits in which two sketches differ; the wider one is folded to the other's width, at most one step."""
+    folded = lambda x, y: f"CASE WHEN size({x}) > size({y}) THEN transform(sequence(0, size({x}) DIV 2 - 1), i -> {x}[i] ^ {x}[i + size({x}) DIV 2]) ELSE {x} END"
+    return F.expr(f"aggregate(zip_with({folded(a, b)}, {folded(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)")
+
+
+def _sql_budget(a: str, b: str, percent: int) -> str:
+    return f"(({100 - percent} * ({a} + {b})) DIV {100 + percent})"
 
 
 def _cross(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components from (key, rep, n, comp) rows, each key with a bounded number of components.
+    """Pairs of different components and pivots from (key, rep, n, comp, pivot) rows; keys have a bounded number of pivots.
 
-    The members of a key's largest component are paired with the others only, not among themselves.
+    The members of a key's largest pivot are paired with the others only, not among themselves.
     """
-    per_comp = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = per_comp.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
-    marked = entries.join(main, "key").withColumn("rest", F.col("comp") != F.col("main"))
-    x = marked.where("rest").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    y = marked.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("rest").alias("ry"))
-    met = x.join(y, "key").where((F.col("cx") != F.col("cy")) & (~F.col("ry") | (F.col("x") < F.col("y"))) & _sizes("nx", "ny", percent))
+    per_pivot = entries.groupBy("key", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    main = per_pivot.groupBy("key").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("main"))
+    marked = entries.join(main, "key").withColumn("rest", F.col("pivot") != F.col("main"))
+    x = marked.where("rest").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("pivot").alias("px"), F.col("sketch").alias("sx"))
+    y = marked.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("pivot").alias("py"), F.col("sketch").alias("sy"), F.col("rest").alias("ry"))
+    met = x.join(y, "key").where((F.col("px") != F.col("py")) & (F.col("cx") != F.col("cy")) & (~F.col("ry") | (F.col("x") < F.col("y"))) & _may_link("x", "y", percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches allow a link of records with columns n* and s*."""
+    return _sizes(f"n{x}", f"n{y}", percent) & (_sketch_distance(f"s{x}", f"s{y}") <= _budget(f"n{x}", f"n{y}", percent))
+
+
 def _sizes(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, comps: DataFrame, n: int, percent: int) -> DataFrame:
+def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs that hot subsets hide, through the allowances of the records that hold such a subset."""
     holders = entries.join(hot, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     parts = written(_texts_of(docs, holders).mapInArrow(_neighbourhoods(n, percent), "rep long, band int, seg int, key long, less array<long>").dropDuplicates(["rep", "band", "seg", "key"]))
-    size = entries.select("rep", "n").distinct()
     cost = parts.select("rep", "band", "seg", "key").join(hot, "key", "left").withColumn("cost", F.coalesce("groups", F.lit(0)))
     # a record's own segments: as many rows as its budget, a bounded window
     of_record = "PARTITION BY rep, band"
@@ -264,54 +341,61 @@ def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, comps: DataF
     allowance = F.when(F.col("at") > F.col("m") - F.col("r"), -1).when(F.col("at") <= F.col("r"), 1).otherwise(0)
     chosen = written(cost.select("rep", "band", "seg", "key", "cost", allowance.alias("allow")))
     raised = chosen.where("allow = 1").select("rep", "band", "seg")
-    whole = parts.select(F.col("key"), F.col("rep").alias("y"))
-    less = parts.select(F.explode("less").alias("key"), F.col("rep").alias("y"))
-    up = parts.join(raised, ["rep", "band", "seg"])
-    by_deletion = up.select(F.explode("less").alias("key"), F.col("rep").alias("x")).join(whole, "key")
-    by_insertion = up.select("key", F.col("rep").alias("x")).join(less, "key")
-    kept = chosen.where("allow = 0 AND cost > 0").select("key", F.col("rep").alias("x")).join(whole, "key")
-    pairs = by_deletion.unionByName(by_insertion).unionByName(kept).where("x <> y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    comp = comps.select(F.col("node"), F.col("component"))
-    pairs = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(_sizes("na", "nb", percent))
-    return pairs.select("a", "b")
+    record = entries.select("rep", "n", "sketch", "comp").dropDuplicates(["rep"])
+    side = lambda df, z: df.select("key", "rep").join(record, "rep").toDF(z, "key", f"n{z}", f"s{z}", f"c{z}")
+    whole, less = side(parts, "y"), side(parts.select("rep", F.explode("less").alias("key")), "y")
+    up = written(parts.join(raised, ["rep", "band", "seg"]))
+    by_deletion = side(up.select("rep", F.explode("less").alias("key")), "x"), whole
+    by_insertion = side(up, "x"), less
+    kept = side(chosen.where("allow = 0 AND cost > 0"), "x"), whole
+    met = [x.join(y, "key").where((F.col("cx") != F.col("cy")) & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for x, y in (by_deletion, by_insertion, kept)]
+    return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = written(docs.mapInArrow(_signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>"))
+    sig = written(docs.mapInArrow(_signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>"))
     filled = sig.where("n_shingles > 0")
-    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")))
+    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
 
     keyed = filled.where("size(keys) > 0").select(F.explode("keys").alias("key"), "c1")
     shared = keyed.selectExpr("key", "c1", "min(c1) OVER (PARTITION BY key) AS lo", "max(c1) OVER (PARTITION BY key) AS hi").where("lo <> hi").select("key", "c1").distinct()
     named = shared.join(classes.where("rep IS NOT NULL").select("c1", "rep", "n"), "c1").select("key", "rep", "n")
     entries = written(named)
 
-    hubs = entries.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("hub"))
-    first = entries.join(hubs, "key").where((F.col("rep") != F.col("hub.rep")) & _sizes("n", "hub.n", percent))
-    pairs = written(first.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct())
-    links = written(_linked(docs, pairs, n, percent))
+    crowd = entries.join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key")
+    weight = crowd.groupBy("rep").agg(F.sum("k").alias("weight"))
+    weighed = written(entries.join(weight, "rep").select("key", "n", F.struct("weight", -F.col("rep")).alias("at"), "rep"))
+    hubs = weighed.groupBy("key").agg(F.max("at").alias("hub"))
+    pivots = written(weighed.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub"), F.first("n").alias("n")).select("rep", "n", (-F.col("hub.col2")).alias("pivot")))
+    records = classes.where("rep IS NOT NULL").dropDuplicates(["rep"]).select("rep", "n", "sketch")
+    x, y = (records.toDF(*(c + side for c in ("rep", "n", "s"))) for side in "xy")
+    tried = pivots.where("rep <> pivot").join(x, pivots.rep == x.repx).join(y, F.col("pivot") == y.repy)
+    # farther sets are compared in their subsets, if at all; the factor only shifts work
+    near = written(tried.where(_sizes("nx", "ny", percent) & (_sketch_distance("sx", "sy") <= 2 * _budget("nx", "ny", percent))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    compared = _compared(docs, near, n, percent)
+    links = written(_links(compared))
     comps = written(components(links))
 
+    more = _around_pivots(compared, comps, percent)
     known = entries.join(comps, entries.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    several = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_keys = written(known.join(several, "key", "left_semi"))
-    groups = open_keys.groupBy("key").agg(F.count_distinct("comp").alias("groups"))
+    known = known.join(near.toDF("pivot", "rep"), "rep", "left").withColumn("pivot", F.coalesce("pivot", "rep"))
+    spread = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pivot").alias("p"), F.max("pivot").alias("q"))
+    open_keys = written(known.join(spread.where("lo <> hi AND p <> q").select("key"), "key", "left_semi").join(records.select("rep", "sketch"), "rep"))
+    groups = open_keys.groupBy("key").agg(F.count_distinct("pivot").alias("groups"))
     hot = written(groups.where(F.col("groups") >= HOT_KEY))
-    more = _cross(open_keys.join(hot, "key", "left_anti"), percent)
+    more = more.unionByName(_cross(open_keys.join(hot, "key", "left_anti"), percent))
     if not hot.isEmpty():
-        more = more.unionByName(_allocated(docs, open_keys, hot, comps, n, percent)).distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"))
+        more = more.unionByName(_allocated(docs, open_keys, hot, n, percent))
+    more = written(more.distinct())
     if not more.isEmpty():
-        comps = written(components(links.unionByName(_linked(docs, more, n, percent))))
+        comps = written(components(links.unionByName(_links(_compared(docs, more, n, percent)))))
 
     of_class = classes.join(comps, classes.rep == comps.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     salts = 16  # a class may hold a third of all rows
     spread = of_class.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = filled.drop("keys").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = filled.drop("keys", "sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     grouped = rows.join(spread, ["c1", "c2", "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone)
