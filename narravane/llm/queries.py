@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from narravane.functions.scratch import folder
 from narravane.llm.decontamination import contaminated
 from narravane.llm.line_quality import quality
 from narravane.llm.merge_dropout import round_trip
 from narravane.llm.ngram_join import near_duplicate_groups
 from narravane.llm.personal_data import personal_report
 from narravane.llm.phrase_fingerprint import with_next
-from narravane.llm.scratch import folder
 from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
 from narravane.llm.token_ledger import rollup_after_deduplication

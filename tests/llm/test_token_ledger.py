@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 from narravane.llm import token_ledger as tl
-from narravane.llm.scratch import folder
+from narravane.functions.scratch import folder
 
 
 @pytest.fixture()
