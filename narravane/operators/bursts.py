@@ -8,6 +8,14 @@ from narravane.functions.dialect import operator, rounded
 WINDOW_US, BURST_AUTHORS, NORMAL_CHARS = 90_000_000, 5, 280
 
 
+def authors_within(d, group: str) -> str:
+    """Authors in the 90 seconds up to a row, bounds included, inside a group."""
+    frame = f"PARTITION BY {group} ORDER BY at_us RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW"
+    if d.name == "spark":
+        return f"CAST(size(collect_set(author_id) OVER ({frame})) AS BIGINT)"
+    return f"count(DISTINCT author_id) OVER ({frame})"
+
+
 @operator("posts")
 def normalized(d):
     """Posts with their normal text: lower case, white space collapsed, the first characters."""
@@ -16,11 +24,11 @@ def normalized(d):
 
 @operator("normal_posts")
 def exact_copies(d):
-    """Texts that several posts share: posts, authors, span and shortest gap in seconds, and the first text."""
+    """Texts that several posts share: posts, authors, span and shortest gap in seconds, bursts, and the first text."""
     return f"""
-    WITH g AS (SELECT *, at_us - lag(at_us) OVER (PARTITION BY normal ORDER BY at_us, post_id) AS gap FROM normal_posts WHERE normal <> '')
+    WITH g AS (SELECT *, at_us - lag(at_us) OVER (PARTITION BY normal ORDER BY at_us, post_id) AS gap, {authors_within(d, "normal")} AS near FROM normal_posts WHERE normal <> '')
     SELECT min(post_id) AS first_post, count(*) AS posts, count(DISTINCT author_id) AS authors, {d.join_set("author_id")} AS author_ids,
-           {rounded("CAST(max(at_us) - min(at_us) AS DOUBLE) / 1e6", 1)} AS span_s, {rounded("CAST(min(gap) AS DOUBLE) / 1e6", 1)} AS gap_s, substring(min_by(text, post_id), 1, 240) AS sample
+           {rounded("CAST(max(at_us) - min(at_us) AS DOUBLE) / 1e6", 1)} AS span_s, {rounded("CAST(min(gap) AS DOUBLE) / 1e6", 1)} AS gap_s, max(near) AS burst_authors, max(near) >= {BURST_AUTHORS} AS burst, substring(min_by(text, post_id), 1, 240) AS sample
     FROM g GROUP BY normal HAVING count(*) >= 2"""
 
 
@@ -30,17 +38,11 @@ def copy_keys(d):
     return "SELECT narrative, author_id, at_us, count(*) AS copies FROM posts GROUP BY narrative, author_id, at_us HAVING count(*) > 1"
 
 
-def _window(d, inner: str) -> str:
-    if d.name == "spark":
-        return f"size(collect_set(author_id) OVER ({inner} RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW))"
-    return f"count(DISTINCT author_id) OVER ({inner} RANGE BETWEEN {WINDOW_US} PRECEDING AND CURRENT ROW)"
-
-
 @operator("posts")
 def bursts(d):
     """Most authors of a narrative within 90 seconds, bounds included."""
     return f"""
-    WITH w AS (SELECT narrative, CAST({_window(d, "PARTITION BY narrative ORDER BY at_us")} AS BIGINT) AS authors FROM posts)
+    WITH w AS (SELECT narrative, {authors_within(d, "narrative")} AS authors FROM posts)
     SELECT narrative, max(authors) AS most_authors, max(authors) >= {BURST_AUTHORS} AS burst FROM w GROUP BY narrative"""
 
 

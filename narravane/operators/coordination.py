@@ -15,15 +15,29 @@ def overlays(d):
     SELECT t.theme, c.kind, c.cluster, count(*) AS shared FROM themes t JOIN clusters c ON t.post_id = c.post_id GROUP BY t.theme, c.kind, c.cluster"""
 
 
-@operator("shares", "themes")
+@operator("shares", "sizes", "clusters")
 def coordination_tiers(d):
-    """Tier of a theme from its overlaps: exact copies with many posts weigh most."""
+    """Tier of a theme, the first rule that holds: burst or wide exact copies, near copies, a shared frame, context."""
+    return """
+    WITH o AS (
+      SELECT s.theme, max(CASE WHEN s.kind = 'exact' AND c.burst AND c.authors >= 3 THEN 1 ELSE 0 END) AS exact_burst, max(CASE WHEN s.kind = 'exact' AND c.authors >= 3 THEN 1 ELSE 0 END) AS exact_wide,
+             max(CASE WHEN s.kind = 'fuzzy' AND c.burst THEN 1 ELSE 0 END) AS fuzzy_burst, max(CASE WHEN s.kind = 'fuzzy' THEN 1 ELSE 0 END) AS fuzzy
+      FROM shares s JOIN clusters c ON s.kind = c.kind AND s.cluster = c.cluster GROUP BY s.theme),
+    r AS (
+      SELECT n.theme, n.posts, n.authors, CASE WHEN o.exact_burst = 1 THEN 1 WHEN o.exact_wide = 1 THEN 2 WHEN o.fuzzy_burst = 1 THEN 3 WHEN o.fuzzy = 1 THEN 4 WHEN n.authors >= 3 AND n.emerging THEN 5 WHEN n.authors >= 2 AND n.posts >= 3 THEN 6 WHEN n.posts <= 2 THEN 7 ELSE 8 END AS rule
+      FROM sizes n LEFT JOIN o ON n.theme = o.theme)
+    SELECT theme, posts, authors, CASE WHEN rule <= 2 THEN 'high' WHEN rule <= 6 THEN 'medium' WHEN rule = 7 THEN 'context' ELSE 'low' END AS tier,
+           CASE rule WHEN 1 THEN 'Template amplification' WHEN 2 THEN 'Exact duplicate campaign' WHEN 3 THEN 'Near-copy burst' WHEN 4 THEN 'Near-copy campaign' WHEN 5 THEN 'Shared frame (emerging)' WHEN 6 THEN 'Shared frame' WHEN 7 THEN 'Context only' ELSE 'Distributed narrative' END AS label FROM r"""
+
+
+@operator("totals", "stats", "graphs", "copies", "fuzzy")
+def provenance(d):
+    """What a snapshot is made of: ratios, truncation at 250 posts, coverage and signal counts, by narrative."""
     return f"""
-    WITH n AS (SELECT theme, count(*) AS posts FROM themes GROUP BY theme),
-    o AS (SELECT theme, CAST(sum(CASE WHEN kind = 'exact' THEN shared ELSE 0 END) AS BIGINT) AS exact, CAST(sum(CASE WHEN kind = 'fuzzy' THEN shared ELSE 0 END) AS BIGINT) AS fuzzy, CAST(sum(CASE WHEN kind = 'author' THEN shared ELSE 0 END) AS BIGINT) AS own FROM shares GROUP BY theme)
-    SELECT n.theme, n.posts, coalesce(o.exact, 0) AS exact, coalesce(o.fuzzy, 0) AS fuzzy, coalesce(o.own, 0) AS own, {rounded("CAST(coalesce(o.exact, 0) + coalesce(o.fuzzy, 0) AS DOUBLE) / n.posts")} AS coverage,
-           CASE WHEN coalesce(o.exact, 0) >= 5 AND coalesce(o.fuzzy, 0) >= 3 THEN 'high' WHEN coalesce(o.exact, 0) >= 5 OR coalesce(o.fuzzy, 0) >= 3 THEN 'elevated' WHEN coalesce(o.exact, 0) + coalesce(o.fuzzy, 0) + coalesce(o.own, 0) > 0 THEN 'watch' ELSE 'organic' END AS tier
-    FROM n LEFT JOIN o ON n.theme = o.theme"""
+    WITH k AS (SELECT (SELECT count(*) FROM copies) AS copied, (SELECT count(*) FROM fuzzy) AS fuzzy)
+    SELECT t.narrative, t.n AS posts, least(t.n, 250) AS in_snapshot, t.n > 250 AS truncated, {rounded("CAST(least(t.n, 250) AS DOUBLE) / nullif(g.authors, 0)", 2)} AS posts_per_author, s.mean_score, s.compressed,
+           g.edges, {rounded("CASE WHEN g.authors = 0 THEN 0e0 ELSE 1e2 * g.connected / g.authors END", 1)} AS coverage_pct, g.edges >= 10 AND g.authors > 0 AND CAST(g.connected AS DOUBLE) / g.authors >= 5e-2 AS sufficient, k.copied + k.fuzzy AS signals
+    FROM totals t JOIN stats s ON t.narrative = s.narrative JOIN graphs g ON t.narrative = g.narrative CROSS JOIN k"""
 
 
 @operator("weekly")

@@ -90,24 +90,24 @@ def suspicion(d):
 
 @operator("edges")
 def topology(d):
-    """Isolated, sparse, star or distributed, for each narrative."""
-    return """
-    WITH e AS (SELECT DISTINCT narrative, source, target FROM edges), n AS (SELECT narrative, source AS a FROM e UNION SELECT narrative, target FROM e),
-    g AS (SELECT narrative, count(*) AS k FROM (SELECT narrative, source AS a FROM e UNION ALL SELECT narrative, target FROM e) x GROUP BY narrative, a),
-    t AS (SELECT n.narrative, count(*) AS nodes FROM n GROUP BY n.narrative), m AS (SELECT narrative, count(*) AS edges FROM e GROUP BY narrative), h AS (SELECT narrative, max(k) AS top FROM g GROUP BY narrative)
-    SELECT t.narrative, t.nodes, m.edges, h.top AS largest_degree,
-           CASE WHEN m.edges < 3 THEN 'isolated' WHEN h.top >= 5e-1 * m.edges THEN 'star' WHEN m.edges < t.nodes THEN 'sparse' ELSE 'distributed' END AS shape
-    FROM t JOIN m ON t.narrative = m.narrative JOIN h ON t.narrative = h.narrative"""
+    """Sparse, star or distributed, for each narrative, by the share of the author with the most interactions."""
+    return f"""
+    WITH o AS (SELECT narrative, source, count(*) AS k FROM edges GROUP BY narrative, source),
+    t AS (SELECT narrative, CAST(sum(k) AS BIGINT) AS edges, max(k) AS top, count(*) AS sources, max_by(source, struct_of) AS hub FROM (SELECT *, row_number() OVER (PARTITION BY narrative ORDER BY k, source DESC) AS struct_of FROM o) x GROUP BY narrative)
+    SELECT narrative, edges, sources, hub, {rounded("CAST(top AS DOUBLE) / edges")} AS hub_share,
+           CASE WHEN CAST(top AS DOUBLE) / edges > 5e-1 AND top >= 2 THEN 'star' WHEN edges < 3 OR sources <= 1 THEN 'sparse' ELSE 'distributed' END AS shape FROM t"""
 
 
 @operator("posts", "degrees")
-def priority_quadrants(d):
-    """Authors by the medians of reach and score; those without an edge have reach zero."""
+def priority_authors(d):
+    """Authors by reach and score; critical ones are above both medians, or in the upper quartile if all scores are low."""
     return """
-    WITH a AS (SELECT author_id, count(*) AS posts, max(score_u) AS largest_u FROM posts GROUP BY author_id),
-    j AS (SELECT coalesce(a.author_id, g.author_id) AS author_id, coalesce(a.posts, 0) AS posts, coalesce(a.largest_u, 0) AS largest_u, coalesce(g.out_degree + g.in_degree, 0) AS reach FROM a FULL JOIN degrees g ON a.author_id = g.author_id),
-    m AS (SELECT median(reach) AS mid_reach, median(largest_u) AS mid_score FROM j)
-    SELECT j.author_id, j.posts, j.reach, j.largest_u, CASE WHEN j.reach > m.mid_reach AND j.largest_u > m.mid_score THEN 'act' WHEN j.reach > m.mid_reach THEN 'watch_reach' WHEN j.largest_u > m.mid_score THEN 'watch_score' ELSE 'low' END AS quadrant
+    WITH a AS (SELECT author_id, count(*) AS posts, max(score_u) AS y FROM posts GROUP BY author_id),
+    j AS (SELECT coalesce(a.author_id, g.author_id) AS author_id, coalesce(a.posts, 0) AS posts, coalesce(a.y, 0) AS y, coalesce(g.out_degree, 0) AS x FROM a FULL JOIN degrees g ON a.author_id = g.author_id),
+    r AS (SELECT *, row_number() OVER (ORDER BY y, author_id) - 1 AS k, count(*) OVER () AS n FROM j),
+    m AS (SELECT median(x) AS mid_x, median(y) AS mid_y, max(y) AS top, max(CASE WHEN k = least(n - 1, CAST(floor(n * 75e-2) AS BIGINT)) THEN y END) AS p75 FROM r)
+    SELECT j.author_id, j.posts, j.x AS reach, j.y AS largest_u,
+           CASE WHEN m.top <= 150000 THEN j.y >= m.p75 AND j.x >= m.mid_x ELSE j.x >= m.mid_x AND j.y >= m.mid_y AND (j.x > 0 OR j.y >= 250000) END AS critical
     FROM j CROSS JOIN m"""
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narravane.functions.dialect import operator, rounded
+from narravane.operators.bursts import BURST_AUTHORS, authors_within
 from narravane.operators.components import components
 
 #: Fixed value: default threshold in hundredths.
@@ -73,11 +74,13 @@ SELECT node AS post_id, min(other) AS group_id FROM r GROUP BY node"""
 
 @operator("groups", "posts", "pairs")
 def group_report(d):
-    """Size, authors, largest similarity and longest text of each group."""
-    return """
+    """Size, authors, largest similarity, bursts and longest text of each group."""
+    return f"""
     WITH s AS (SELECT g.group_id, max(p.similarity) AS similarity FROM pairs p JOIN groups g ON p.a = g.post_id JOIN groups h ON p.b = h.post_id AND g.group_id = h.group_id GROUP BY g.group_id),
-    t AS (SELECT g.group_id, p.post_id, p.author_id, p.text, row_number() OVER (PARTITION BY g.group_id ORDER BY length(p.text) DESC, p.post_id) AS k FROM groups g JOIN posts p ON g.post_id = p.post_id)
-    SELECT t.group_id, count(*) AS posts, count(DISTINCT t.author_id) AS authors, max(s.similarity) AS similarity, max(CASE WHEN t.k = 1 THEN substring(t.text, 1, 160) END) AS sample FROM t JOIN s ON t.group_id = s.group_id GROUP BY t.group_id"""
+    m AS (SELECT g.group_id, p.post_id, p.author_id, p.at_us, p.text FROM groups g JOIN posts p ON g.post_id = p.post_id),
+    t AS (SELECT *, {authors_within(d, "group_id")} AS near, row_number() OVER (PARTITION BY group_id ORDER BY length(text) DESC, post_id) AS k FROM m)
+    SELECT t.group_id, count(*) AS posts, count(DISTINCT t.author_id) AS authors, max(s.similarity) AS similarity, max(t.near) AS burst_authors, max(t.near) >= {BURST_AUTHORS} AS burst, max(CASE WHEN t.k = 1 THEN substring(t.text, 1, 160) END) AS sample
+    FROM t JOIN s ON t.group_id = s.group_id GROUP BY t.group_id"""
 
 
 @operator("groups", "posts")
@@ -99,9 +102,20 @@ def copypasta(d):
     SELECT s.post_id, {rounded(f"CAST({inter} AS DOUBLE) / {union}")} AS score FROM sets s CROSS JOIN t"""
 
 
-@operator("copies", "groups")
+@operator("copies", "reports", "hits")
 def text_coordination(d):
-    """Text score by the ladder of fixed floors, from bursts, copies and fuzzy groups."""
+    """Text score, the largest of the fixed floors that hold: bursts, copies, fuzzy groups, and actors of other narratives."""
+    return f"""
+    WITH c AS (SELECT count(*) AS n, CAST(count_if(burst) AS BIGINT) AS bursts, CAST(count_if(authors >= 2) AS BIGINT) AS shared FROM copies),
+    f AS (SELECT count(*) AS n, CAST(count_if(burst) AS BIGINT) AS bursts, CAST(count_if(authors >= 3) AS BIGINT) AS three, CAST(count_if(authors >= 2) AS BIGINT) AS two FROM reports), h AS (SELECT count(*) AS n FROM hits)
+    SELECT c.n AS copied, f.n AS fuzzy, h.n AS hits, {rounded("greatest(CASE WHEN c.bursts > 0 THEN 72e-2 WHEN c.shared > 0 THEN 32e-2 ELSE 0e0 END, CASE WHEN f.bursts > 0 THEN 72e-2 WHEN f.three > 0 THEN 55e-2 WHEN f.two > 0 THEN 38e-2 ELSE 0e0 END, CASE WHEN h.n >= 3 THEN 6e-1 WHEN h.n >= 1 THEN 45e-2 ELSE 0e0 END)")} AS text_score
+    FROM c CROSS JOIN f CROSS JOIN h"""
+
+
+@operator("text_scores", "graph_scores", "shapes")
+def combined_score(d):
+    """The larger of graph and text score, its complement, and whether the graph is large enough to tell."""
     return f"""
-    WITH c AS (SELECT count(*) AS copied, coalesce(max(authors), 0) AS authors FROM copies), f AS (SELECT count(*) AS fuzzy, coalesce(max(n), 0) AS largest FROM (SELECT group_id, count(*) AS n FROM groups GROUP BY group_id) x)
-    SELECT c.copied, c.authors, f.fuzzy, f.largest, {rounded("greatest(CASE WHEN c.authors >= 5 THEN 72e-2 WHEN c.copied > 0 THEN 32e-2 ELSE 0e0 END, CASE WHEN f.largest >= 10 THEN 72e-2 WHEN f.largest >= 5 THEN 55e-2 WHEN f.fuzzy > 0 THEN 38e-2 ELSE 0e0 END)")} AS text_score FROM c CROSS JOIN f"""
+    SELECT t.text_score, g.suspicion AS graph_score, {rounded("least(1e0, greatest(t.text_score, g.suspicion))")} AS combined, {rounded("1e0 - least(1e0, greatest(t.text_score, g.suspicion))")} AS organic,
+           {rounded("CASE WHEN s.authors = 0 THEN 0e0 ELSE 1e2 * s.connected / s.authors END", 1)} AS coverage_pct, s.edges >= 10 AND s.authors > 0 AND CAST(s.connected AS DOUBLE) / s.authors >= 5e-2 AS sufficient
+    FROM text_scores t CROSS JOIN graph_scores g CROSS JOIN (SELECT CAST(sum(edges) AS BIGINT) AS edges, CAST(sum(authors) AS BIGINT) AS authors, CAST(sum(connected) AS BIGINT) AS connected FROM shapes) s"""

@@ -85,11 +85,10 @@ def divergence_days(d):
 
 @operator("buckets")
 def peak_days(d):
-    """The busiest day of a narrative and the day of its highest mean; divergent if they differ."""
-    return """
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY narrative ORDER BY n DESC, day) AS v, row_number() OVER (PARTITION BY narrative ORDER BY mean_score DESC, day) AS s FROM buckets)
-    SELECT narrative, max(CASE WHEN v = 1 THEN day END) AS busiest_day, max(CASE WHEN s = 1 THEN day END) AS highest_day,
-           max(CASE WHEN v = 1 THEN day END) <> max(CASE WHEN s = 1 THEN day END) AS divergent FROM r GROUP BY narrative"""
+    """The busiest day of a narrative, and whether it is a spike of mild posts."""
+    return f"""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY narrative ORDER BY n DESC, day) AS k FROM buckets), m AS (SELECT narrative, median(n) AS mid FROM buckets GROUP BY narrative)
+    SELECT r.narrative, r.day, r.n, r.mean_score, r.n >= greatest({DIVERGENCE_POSTS}e0, {DIVERGENCE_FACTOR} * m.mid) AND r.mean_score < {DIVERGENCE_MEAN} AS divergent FROM r JOIN m ON r.narrative = m.narrative WHERE r.k = 1"""
 
 
 @operator("buckets")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, bursts, coordination, graph, relational, scoring, similarity, text, themes, trend, upkeep
+from narravane.operators import actors, bursts, coordination, graph, keywords, relational, scoring, similarity, text, themes, trend, upkeep
 from narravane.sources import tables
 
 
@@ -74,6 +74,8 @@ _own = Node(lambda p: similarity.groups_of(p, True), {"pairs": _pairs}, similari
 _cross = Node(lambda p: similarity.groups_of(p, False), {"pairs": _pairs}, similarity.groups_sql(False), keep=True)
 _templates = _node(similarity.token_sets, _node(bursts.normalized, _node(Operator(lambda d: "SELECT item_id AS post_id, 'b' AS narrative, 'b' AS author_id, item_id AS at_us, text FROM benchmark", "benchmark"), "benchmark")))
 _copies = _node(bursts.exact_copies, _normal)
+_fuzzy = _node(similarity.group_report, _cross, _docs, _pairs)
+_text_score = _node(similarity.text_coordination, _copies, _fuzzy, _node(actors.actor_hits, _rollup, _top))
 _hits = _node(scoring.lexicon_hits, _docs)
 _scores = _node(scoring.outrage_scores, _hits)
 _markets = _node(scoring.market_scores, _docs)
@@ -107,6 +109,8 @@ _groups = _node(
     ),
     _normal, _own, _cross,
 )
+_sizes = _node(Operator(lambda d: "SELECT narrative AS theme, count(*) AS posts, count(DISTINCT author_id) AS authors, false AS emerging FROM posts GROUP BY narrative", "posts"), _docs)
+_facts = _node(Operator(lambda d: "SELECT 'exact' AS kind, first_post AS cluster, authors, burst FROM copies UNION ALL SELECT 'fuzzy', group_id, authors, burst FROM reports", "copies", "reports"), _copies, _fuzzy)
 _overlays = _node(coordination.overlays, _themes, _groups)
 _weekly = _node(Operator(lambda d: f"SELECT DISTINCT {d.div('at_us', '604800000000')} AS week, narrative AS cluster, author_id AS member FROM posts", "posts"), _posts)
 _lineage = _node(coordination.lineage, _weekly)
@@ -121,9 +125,9 @@ NODES: dict[str, Node] = {
     "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _posts), "bursts": _node(bursts.bursts, _posts), "gaps": _node(bursts.gaps, _posts),
     "edge_weights": _weights, "heavy_edges": _node(graph.heavy_edges, _weights), "degrees": _degrees, "top_amplifiers": _node(graph.top_amplifiers, _degrees), "graph_stats": _node(graph.graph_stats, _edges, _posts),
     "edge_kinds": _node(graph.edge_kinds, _edges), "density_and_hub": _node(graph.density_and_hub, _edges), "author_components": _parts, "dense_clusters": _dense, "graph_suspicion": _node(graph.suspicion, _shape, _dense),
-    "topology": _node(graph.topology, _edges), "priority_quadrants": _node(graph.priority_quadrants, _posts, _degrees),
-    "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _pairs), "cross_group_report": _node(similarity.group_report, _cross, _docs, _pairs),
-    "author_spam": _node(similarity.author_spam, _own, _docs), "copypasta": _node(similarity.copypasta, _sets, _templates), "text_coordination": _node(similarity.text_coordination, _copies, _cross),
+    "topology": _node(graph.topology, _edges), "priority_authors": _node(graph.priority_authors, _posts, _degrees),
+    "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _pairs), "cross_group_report": _fuzzy,
+    "author_spam": _node(similarity.author_spam, _own, _docs), "copypasta": _node(similarity.copypasta, _sets, _templates), "text_coordination": _text_score,
     "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
     "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),
     "cleaned_text": _node(text.cleaned, _docs), "hashtags": _node(text.hashtags, _docs), "stripped_html": _node(text.stripped_html, "pages"), "token_counts": _node(text.token_counts, _topics), "phrase_counts": _phrases,
@@ -140,10 +144,17 @@ NODES: dict[str, Node] = {
 }
 
 NODES |= {
-    "overlays": _overlays, "coordination_tiers": _node(coordination.coordination_tiers, _overlays, _themes), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
+    "overlays": _overlays, "coordination_tiers": _node(coordination.coordination_tiers, _overlays, _sizes, _facts), "combined_score": _node(similarity.combined_score, _text_score, _node(graph.suspicion, _shape, _dense), _node(graph.graph_stats, _edges, _posts)),
+    "provenance": _node(coordination.provenance, _node(trend.score_stats, _posts), _node(trend.score_stats, _posts), _node(graph.graph_stats, _edges, _posts), _copies, _fuzzy), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
     "snapshot": _snapshot, "brief": _node(coordination.brief, _snapshot), "failed_gates": _node(coordination.failed_gates, _snapshot),
 }
 
+_queries = _node(Operator(lambda d: "SELECT DISTINCT p_name AS query FROM part", "part"), "part")
+_existing = _node(Operator(lambda d: "SELECT DISTINCT p_type AS keyword FROM part", "part"), "part")
+NODES |= {
+    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _stats, _stats),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
