@@ -21,62 +21,89 @@ def token_sets(d):
     return f"WITH t AS (SELECT post_id, author_id, {sort}({tokens}) AS tokens FROM normal_posts) SELECT post_id, author_id, tokens, {d.size('tokens')} AS n FROM t WHERE {d.size('tokens')} > 0"
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """Distinct token sets: (class_id, n, tokens), named by the smallest post."""
+    return sets.groupBy("tokens").agg(F.min("post_id").alias("class_id"), F.first("n").alias("n"))
+
+
 def similar_pairs(sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """Pairs (a < b) of token sets of at least this similarity, by a prefix join.
+    """Pairs (a < b) of classes of equal token sets of at least this similarity, by a prefix join.
 
-    Equal sets are compared once: each distinct set has its tokens ordered by
-    rising frequency, and two sets that are similar enough share a token of
-    their prefixes of n - ceil(t n) + 1 tokens.  Pairs of equal sets follow.
+    Tokens are ordered by rising frequency; two sets that are similar enough
+    share a token of their prefixes of n - ceil(t n) + 1 tokens.
     """
-    uniq = sets.groupBy("tokens").agg(F.min("post_id").alias("id"), F.first("n").alias("n"))
-    tokens = uniq.select("id", "n", F.explode("tokens").alias("token"))
+    uniq = set_classes(sets)
+    tokens = uniq.select("class_id", "n", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     prefix = F.expr(f"n - ({percent} * n + 99) DIV 100 + 1")
-    ranked = tokens.join(often, "token").selectExpr("id", "n", "token", "row_number() OVER (PARTITION BY id ORDER BY df, token) AS r")
-    index = ranked.where(F.col("r") <= prefix).select("id", "n", "token")
-    x, y = index.toDF("x", "nx", "token"), index.toDF("y", "ny", "token")
-    near = x.join(y, "token").where((F.col("x") < F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))).select("x", "y").distinct()
-    full = uniq.select("id", "tokens")
-    common = F.size(F.array_intersect("tx", "ty"))
-    union = F.size("tx") + F.size("ty") - common
-    met = near.join(full.toDF("x", "tx"), "x").join(full.toDF("y", "ty"), "y").where(100 * common >= percent * union)
-    between = met.select("x", "y", common.cast("long").alias("common"), union.cast("long").alias("total"))
-    members = sets.join(uniq.select("tokens", "id"), "tokens").select("id", "post_id", "author_id", "n")
-    left, right = members.toDF("x", "pa", "aa", "n"), members.select(F.col("id").alias("y"), F.col("post_id").alias("pb"), F.col("author_id").alias("ab"))
-    different = between.join(left.drop("n"), "x").join(right, "y").select("pa", "aa", "pb", "ab", "common", "total")
-    equal = left.join(right, F.col("x") == F.col("y")).where("pa < pb").select("pa", "aa", "pb", "ab", F.col("n").alias("common"), F.col("n").alias("total"))
-    both = different.unionByName(equal)
-    swap = F.col("pa") > F.col("pb")
-    pick = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    return both.select(pick("pa", "pb").alias("a"), pick("pb", "pa").alias("b"), (F.col("aa") == F.col("ab")).alias("same_author"), F.expr(rounded("CAST(common AS DOUBLE) / total")).alias("similarity"))
+    ranked = tokens.join(often, "token").selectExpr("class_id", "n", "token", "row_number() OVER (PARTITION BY class_id ORDER BY df, token) AS r")
+    index = ranked.where(F.col("r") <= prefix).select("class_id", "n", "token")
+    x, y = index.toDF("a", "na", "token"), index.toDF("b", "nb", "token")
+    near = x.join(y, "token").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    full = uniq.select("class_id", "tokens")
+    common = F.size(F.array_intersect("ta", "tb"))
+    union = F.size("ta") + F.size("tb") - common
+    met = near.join(full.toDF("a", "ta"), "a").join(full.toDF("b", "tb"), "b").where(100 * common >= percent * union)
+    return met.select("a", "b", common.cast("double").alias("c"), union.alias("t")).selectExpr("a", "b", rounded("c / t") + " AS similarity")
 
 
 #: DuckDB text for ``similar_pairs`` over ``sets``.
 PAIRS_SQL = f"""
-WITH p AS (SELECT a.post_id AS a, b.post_id AS b, a.author_id = b.author_id AS same_author, len(list_intersect(a.tokens, b.tokens)) AS common, a.n + b.n AS total FROM sets a JOIN sets b ON a.post_id < b.post_id AND 100 * least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n))
-SELECT a, b, same_author, {rounded("CAST(common AS DOUBLE) / (total - common)")} AS similarity FROM p WHERE 100 * common >= {THRESHOLD} * (total - common)"""
+WITH u AS (SELECT tokens, min(post_id) AS class_id, max(n) AS n FROM sets GROUP BY tokens),
+p AS (SELECT a.class_id AS a, b.class_id AS b, len(list_intersect(a.tokens, b.tokens)) AS common, a.n + b.n AS total FROM u a JOIN u b ON a.class_id < b.class_id AND 100 * least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n))
+SELECT a, b, {rounded("CAST(common AS DOUBLE) / (total - common)")} AS similarity FROM p WHERE 100 * common >= {THRESHOLD} * (total - common)"""
+
+
+def links_across_authors(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) that connect posts of different authors, as many as classes and pairs.
+
+    All posts of a class with two authors hang together, and so do all posts of
+    two similar classes that have two authors between them.
+    """
+    classes = sets.join(set_classes(sets).select("tokens", "class_id"), "tokens").groupBy("class_id").agg(F.min("author_id").alias("lo"), F.max("author_id").alias("hi"), F.max("post_id").alias("last"))
+    inside = classes.where("lo <> hi").select(F.col("class_id").alias("a"), F.col("last").alias("b"), F.lit(1.0).alias("similarity"))
+    x, y = classes.select(F.col("class_id").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha")), classes.select(F.col("class_id").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    between = pairs.join(x, "a").join(y, "b").where(F.least("la", "lb") != F.greatest("ha", "hb")).select("a", "b", "similarity")
+    return inside.unionByName(between)
+
+
+def links_within_authors(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) between posts of one author; equal sets of an author are linked through the first."""
+    members = sets.join(set_classes(sets).select("tokens", "class_id"), "tokens").groupBy("class_id", "author_id").agg(F.min("post_id").alias("first"), F.max("post_id").alias("last"))
+    inside = members.where("first <> last").select(F.col("first").alias("a"), F.col("last").alias("b"), F.lit(1.0).alias("similarity"))
+    x = members.select(F.col("class_id").alias("a"), "author_id", F.col("first").alias("pa"))
+    y = members.select(F.col("class_id").alias("b"), "author_id", F.col("first").alias("pb"))
+    between = pairs.join(x, "a").join(y, ["b", "author_id"]).select(F.col("pa").alias("a"), F.col("pb").alias("b"), "similarity")
+    return inside.unionByName(between)
 
 
-def groups_of(pairs: DataFrame, same_author: bool) -> DataFrame:
-    """(post_id, group_id) of posts linked within an author, or across authors."""
-    chosen = pairs.where("same_author" if same_author else "NOT same_author")
-    return components(chosen.select("a", "b")).toDF("post_id", "group_id")
+def groups_of(sets: DataFrame, links: DataFrame, same_author: bool) -> DataFrame:
+    """(post_id, group_id) of posts that hang together; a group is named by its smallest post."""
+    key = ["tokens", "author_id"] if same_author else ["tokens"]
+    roots = components(links.select("a", "b"))
+    classes = sets.groupBy(*key).agg(F.min("post_id").alias("node"))
+    return sets.join(classes, key).join(roots, "node").select("post_id", F.col("component").alias("group_id"))
 
 
-def groups_sql(same_author: bool) -> str:
-    """DuckDB text for ``groups_of`` over ``pairs``."""
-    condition = "same_author" if same_author else "NOT same_author"
+def post_pairs_sql(same_author: bool) -> str:
+    """DuckDB text for all linked pairs of posts over ``sets``, by comparing them all."""
     return f"""
-WITH RECURSIVE l AS (SELECT a, b FROM pairs WHERE {condition} UNION ALL SELECT b, a FROM pairs WHERE {condition}),
+WITH p AS (SELECT a.post_id AS a, b.post_id AS b, len(list_intersect(a.tokens, b.tokens)) AS common, a.n + b.n AS total FROM sets a JOIN sets b ON a.post_id < b.post_id AND a.author_id {"=" if same_author else "<>"} b.author_id)
+SELECT a, b, {rounded("CAST(common AS DOUBLE) / (total - common)")} AS similarity FROM p WHERE 100 * common >= {THRESHOLD} * (total - common)"""
+
+
+#: DuckDB text for ``groups_of`` over ``links``.
+GROUPS_SQL = """
+WITH RECURSIVE l AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 r(node, other) AS (SELECT a, a FROM l UNION SELECT r.node, l.b FROM r JOIN l ON r.other = l.a)
 SELECT node AS post_id, min(other) AS group_id FROM r GROUP BY node"""
 
 
-@operator("groups", "posts", "pairs")
+@operator("groups", "posts", "links")
 def group_report(d):
     """Size, authors, largest similarity, bursts and longest text of each group."""
     return f"""
-    WITH s AS (SELECT g.group_id, max(p.similarity) AS similarity FROM pairs p JOIN groups g ON p.a = g.post_id JOIN groups h ON p.b = h.post_id AND g.group_id = h.group_id GROUP BY g.group_id),
+    WITH s AS (SELECT g.group_id, max(l.similarity) AS similarity FROM links l JOIN groups g ON l.a = g.post_id GROUP BY g.group_id),
     m AS (SELECT g.group_id, p.post_id, p.author_id, p.at_us, p.text FROM groups g JOIN posts p ON g.post_id = p.post_id),
     t AS (SELECT *, {authors_within(d, "group_id")} AS near, row_number() OVER (PARTITION BY group_id ORDER BY length(text) DESC, post_id) AS k FROM m)
     SELECT t.group_id, count(*) AS posts, count(DISTINCT t.author_id) AS authors, max(s.similarity) AS similarity, max(t.near) AS burst_authors, max(t.near) >= {BURST_AUTHORS} AS burst, max(CASE WHEN t.k = 1 THEN substring(t.text, 1, 160) END) AS sample

@@ -70,11 +70,13 @@ _dense = _node(graph.dense_clusters, _sparse, _parts)
 _shape = _node(graph.density_and_hub, _sparse)
 _sets = _node(similarity.token_sets, _normal, keep=True)
 _pairs = Node(similarity.similar_pairs, {"sets": _sets}, similarity.PAIRS_SQL, keep=True)
-_own = Node(lambda p: similarity.groups_of(p, True), {"pairs": _pairs}, similarity.groups_sql(True), keep=True)
-_cross = Node(lambda p: similarity.groups_of(p, False), {"pairs": _pairs}, similarity.groups_sql(False), keep=True)
+_own_links = Node(similarity.links_within_authors, {"sets": _sets, "pairs": _pairs}, similarity.post_pairs_sql(True), keep=True)
+_cross_links = Node(similarity.links_across_authors, {"sets": _sets, "pairs": _pairs}, similarity.post_pairs_sql(False), keep=True)
+_own = Node(lambda sets, links: similarity.groups_of(sets, links, True), {"sets": _sets, "links": _own_links}, similarity.GROUPS_SQL, keep=True)
+_cross = Node(lambda sets, links: similarity.groups_of(sets, links, False), {"sets": _sets, "links": _cross_links}, similarity.GROUPS_SQL, keep=True)
 _templates = _node(similarity.token_sets, _node(bursts.normalized, _node(Operator(lambda d: "SELECT item_id AS post_id, 'b' AS narrative, 'b' AS author_id, item_id AS at_us, text FROM benchmark", "benchmark"), "benchmark")))
 _copies = _node(bursts.exact_copies, _normal)
-_fuzzy = _node(similarity.group_report, _cross, _docs, _pairs)
+_fuzzy = _node(similarity.group_report, _cross, _docs, _cross_links)
 _text_score = _node(similarity.text_coordination, _copies, _fuzzy, _node(actors.actor_hits, _rollup, _top))
 _hits = _node(scoring.lexicon_hits, _docs)
 _scores = _node(scoring.outrage_scores, _hits)
@@ -126,7 +128,7 @@ NODES: dict[str, Node] = {
     "edge_weights": _weights, "heavy_edges": _node(graph.heavy_edges, _weights), "degrees": _degrees, "top_amplifiers": _node(graph.top_amplifiers, _degrees), "graph_stats": _node(graph.graph_stats, _edges, _posts),
     "edge_kinds": _node(graph.edge_kinds, _edges), "density_and_hub": _node(graph.density_and_hub, _edges), "author_components": _parts, "dense_clusters": _dense, "graph_suspicion": _node(graph.suspicion, _shape, _dense),
     "topology": _node(graph.topology, _edges), "priority_authors": _node(graph.priority_authors, _posts, _degrees),
-    "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _pairs), "cross_group_report": _fuzzy,
+    "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _own_links), "cross_group_report": _fuzzy,
     "author_spam": _node(similarity.author_spam, _own, _docs), "copypasta": _node(similarity.copypasta, _sets, _templates), "text_coordination": _text_score,
     "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
     "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),

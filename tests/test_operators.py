@@ -65,20 +65,33 @@ def test_market_chatter_and_prefilter(spark):
     assert [r.reason for r in scoring.prefilter(rows, markets).orderBy("post_id").collect()] == ["market", "narrative", "promo", "short", "non_english"]
 
 
-def test_pairs_equal_all_pairs(spark):
+def test_groups_equal_all_pairs(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.sample(base, 20) if rng.random() < 0.5 else base[:20] + [rng.choice(base)]) for _ in range(60)] + ["a b c"] * 3
-    sets = similarity.token_sets(bursts.normalized(posts(spark, [("n", f"u{i % 4}", i, "d", 0, t) for i, t in enumerate(texts)])))
-    got = {(r.a, r.b): (r.same_author, r.similarity) for r in similarity.similar_pairs(sets, 75).collect()}
-    tokens = [set(t[:280].split()) for t in texts]
-    want = {}
-    for i in range(len(texts)):
-        for j in range(i + 1, len(texts)):
-            common, total = len(tokens[i] & tokens[j]), len(tokens[i] | tokens[j])
-            if 100 * common >= 75 * total:
-                want[(i, j)] = (i % 4 == j % 4, pytest.approx(common / total, abs=1e-4))
-    assert got == want and len(want) > 20
+    texts = [" ".join(rng.sample(base, 20) if rng.random() < 0.5 else base[:20] + [rng.choice(base)]) for _ in range(60)] + ["a b c"] * 3 + ["x y z"] * 2
+    authors = [f"u{i % 4}" for i in range(63)] + ["u9", "u9"]
+    sets = similarity.token_sets(bursts.normalized(posts(spark, [("n", a, i, "d", 0, t) for i, (a, t) in enumerate(zip(authors, texts, strict=True))])))
+    pairs = similarity.similar_pairs(sets, 75)
+    tokens = [frozenset(t[:280].split()) for t in texts]
+    alike = {(i, j) for i in range(65) for j in range(i + 1, 65) if 100 * len(tokens[i] & tokens[j]) >= 75 * len(tokens[i] | tokens[j])}
+    first = {t: tokens.index(t) for t in tokens}
+    assert {(r.a, r.b) for r in pairs.collect()} == {tuple(sorted((first[tokens[i]], first[tokens[j]]))) for i, j in alike if tokens[i] != tokens[j]}
+    for same, links in ((True, similarity.links_within_authors(sets, pairs)), (False, similarity.links_across_authors(sets, pairs))):
+        root = list(range(65))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        linked = set()
+        for i, j in alike:
+            if (authors[i] == authors[j]) == same:
+                linked |= {i, j}
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+        got = {r.post_id: r.group_id for r in similarity.groups_of(sets, links, same).collect()}
+        assert got == {i: find(i) for i in linked} and len(got) > 10
 
 
 def test_components_partition_the_nodes(spark):
