@@ -17,7 +17,7 @@ FAMILIES = {
     "threat": r"shoot them|bring guns|armed and ready|heads on pikes|string them up|lynch|burn it down|firebomb|assassinate",
 }
 INSULT = r"bitch"
-AFFECTION = r"i love you|ily|ilysm|thank u|thank you|my fave|with my whole heart|spreads love|❤|💕|proud of you|grateful for"
+AFFECTION = r"i love you|ily|ilysm|thank u|thank you|my fave|with my whole heart|spreads love|proud of you|grateful for"  # and the signs ❤ and 💕
 TICKERS = (
     "ath binance bitcoin bnb btc call calls coin coinbase crypto defi djt dji doge dow eth ethereum etf etfs fomc futures gld goog iv iwm macd meme memes meta mkt msft "
     "nasdaq ndx nft nfts nvda oi option options pp ppi put puts qqq rsi slv sol spx spy token tokens tsla vix xrp yield"
@@ -34,13 +34,23 @@ def _word(d, terms: str) -> str:
     return f"(?i){d.boundary}(?:{terms}){d.boundary}"
 
 
+def _ascii_word(terms: str) -> str:
+    """For text without other characters, in which both engines see the same word boundaries, and find them fast."""
+    return rf"(?i)\b(?:{terms})\b"
+
+
+def _ascii(d) -> str:
+    return d.replace("text", "[^\\x00-\\x7F]", " ")
+
+
 @operator("posts")
 def lexicon_hits(d):
     """Matches of each family in each post, and whether the insult and an affection phrase stand in it."""
-    counts = ", ".join(f"{d.hits('text', _word(d, terms))} AS {name}" for name, terms in FAMILIES.items())
+    counts = ", ".join(f"{d.hits('plain', _ascii_word(terms))} AS {name}" for name, terms in FAMILIES.items())
     return f"""
-    SELECT post_id, {counts}, {d.like("text", _word(d, INSULT))} AS insult, {d.like("text", _word(d, AFFECTION))} AS affection,
-           CAST(length(text) AS BIGINT) AS chars, {d.hits("text", "[A-Z]")} AS capitals, {d.hits("text", "!")} AS bangs FROM posts"""
+    WITH t AS (SELECT post_id, text, {_ascii(d)} AS plain FROM posts)
+    SELECT post_id, {counts}, {d.like("plain", _ascii_word(INSULT))} AS insult, {d.like("plain", _ascii_word(AFFECTION))} OR ((contains(text, '❤') OR contains(text, '💕')) AND {d.like("text", _word(d, "❤|💕"))}) AS affection,
+           CAST(length(text) AS BIGINT) AS chars, CAST(length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT) AS capitals, CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS bangs FROM t"""
 
 
 @operator("hits")
@@ -72,13 +82,14 @@ def market_scores(d):
     tokens = d.all("lower(text)", "[a-z0-9']{2,}")
     alpha = d.keep("tokens", d.like("x", "^[a-z]+$"))
     tickers = d.keep("tokens", "x IN (" + ", ".join(f"'{t}'" for t in TICKERS) + ")")
-    forms = " + ".join(f"CASE WHEN {d.like('text', '(?i)' + f.replace('@b', d.boundary))} THEN 1 ELSE 0 END" for f in MARKET_FORMS)
-    political = " OR ".join([f"contains(lower(text), '{p}')" for p in PHRASES] + [d.like("lower(text)", _word(d, "|".join(POLITICAL)).replace("(?i)", ""))])
+    forms = " + ".join(f"CASE WHEN {d.like('text', '(?i)' + f.replace('@b', chr(92) + 'b'))} THEN 1 ELSE 0 END" for f in MARKET_FORMS)
+    political = " OR ".join([f"contains(lower(plain), '{p}')" for p in PHRASES] + [d.like("plain", _ascii_word("|".join(POLITICAL)))])
     emoji = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
+    forms = forms.replace("text", "plain")
     return f"""
-    WITH t AS (SELECT post_id, text, {tokens} AS tokens FROM posts),
-    s AS (SELECT post_id, text, CASE WHEN {d.size("tokens")} = 0 THEN 0e0 ELSE least(1e0, 5e-1 * CAST({d.size(tickers)} AS DOUBLE) / greatest({d.size(alpha)}, 1) + 2e-1 * least(1e0, ({forms}) / 2e0)
-          + 15e-2 * least(1e0, {d.hits("text", emoji)} / 8e0) + 15e-2 * least(1e0, {d.hits("lower(text)", "[a-z]{2,5}/[a-z]{2,5}")} / 3e0)) END AS score FROM t)
+    WITH t AS (SELECT post_id, text, {_ascii(d)} AS plain, {tokens} AS tokens FROM posts),
+    s AS (SELECT post_id, plain, CASE WHEN {d.size("tokens")} = 0 THEN 0e0 ELSE least(1e0, 5e-1 * CAST({d.size(tickers)} AS DOUBLE) / greatest({d.size(alpha)}, 1) + 2e-1 * least(1e0, ({forms}) / 2e0)
+          + 15e-2 * least(1e0, {d.hits("text", emoji)} / 8e0) + 15e-2 * least(1e0, {d.hits("lower(plain)", "[a-z]{2,5}/[a-z]{2,5}")} / 3e0)) END AS score FROM t)
     SELECT post_id, {rounded("score")} AS market_score, score >= {MARKET_LEAST} AND NOT (score < {RESCUE_BELOW} AND ({political})) AS market FROM s"""
 
 

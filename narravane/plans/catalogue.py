@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, bursts, coordination, graph, keywords, relational, scoring, similarity, text, themes, trend, upkeep
+from narravane.operators import actors, bursts, coordination, graph, keywords, relational, scoring, similarity, text, themes, trend, upkeep, watch
 from narravane.sources import tables
 
 
@@ -79,7 +79,8 @@ _copies = _node(bursts.exact_copies, _normal)
 _fuzzy = _node(similarity.group_report, _cross, _docs, _cross_links)
 _text_score = _node(similarity.text_coordination, _copies, _fuzzy, _node(actors.actor_hits, _rollup, _top))
 _hits = _node(scoring.lexicon_hits, _docs)
-_scores = _node(scoring.outrage_scores, _hits)
+# stored, as the domain does: a filter on the tier would otherwise be pushed through the whole formula
+_scores = _node(scoring.outrage_scores, _hits, keep=True)
 _markets = _node(scoring.market_scores, _docs)
 _reasons = _node(scoring.prefilter, _docs, _markets)
 _keywords = _node(Operator(lambda d: "SELECT 'the' AS keyword UNION ALL SELECT ' Tion ' UNION ALL SELECT 'que' UNION ALL SELECT ''", "region"), "region")
@@ -157,6 +158,13 @@ NODES |= {
     "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _stats, _stats),
 }
 
+_watched = _node(watch.watch_list, _posts, _edges)
+NODES |= {
+    "timelines": _node(watch.timelines, _posts), "watch_list": _watched, "next_poll": _node(watch.next_poll, _watched), "watched_without_bots": _node(watch.watched_without_bots, _watched, _bots), "resolved_targets": _node(watch.resolved_targets, _edges, _posts),
+    "ingest_counts": _node(watch.ingest_counts, _node(upkeep.upsert_actions, _target, _batch)), "section_sizes": _node(watch.section_sizes, _snapshot), "ranking_checks": _node(watch.ranking_checks, _scores, "labels"), "investigation": _node(watch.investigation, _docs, _scores),
+    "session_counts": _node(watch.session_counts, _posts), "platform_cube": _node(watch.platform_cube, _posts),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
