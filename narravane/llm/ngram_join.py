@@ -3,17 +3,19 @@
 Method: partition of the token universe and the pigeonhole principle.  Sets
 that reach the similarity differ in at most H tokens, with H fixed by the
 largest sizes of a size band.  A hash deals the tokens of the universe into
-m = H + 1 segments, so two such sets agree in at least one segment, and more
-generally: if a record gives each segment an allowance of -1 (skip), 0 (equal
+m segments, H + 1 or a few more; with H + 1, two such sets agree in at least
+one segment, and more generally: if a record gives each segment an allowance of -1 (skip), 0 (equal
 subset) or 1 (subset after at most one deletion), and the allowances plus one
 sum up to at least H + 1, some segment differs by no more than its allowance.
 
 * Every set is indexed by the hash of its subset in each segment (allowance 0).
 * Cost-based allocation: where a subset is shared by many sets that stay
-  unlinked (``HOT_KEY`` groups or more), the records that hold it skip it and
-  raise as many of their cheapest other segments to allowance 1.  Only records
-  with such a subset need the one-deletion neighbourhoods: a pair that loses
-  its last shared subset by the skip shares the skipped one.
+  unlinked (``HOT_KEY`` groups or more), the records that hold it skip it.  One
+  skip is free for each segment beyond H + 1; for each further one a record
+  raises one of its cheapest other segments to allowance 1.  Only records with
+  more such subsets than free skips need the one-deletion neighbourhoods: a
+  pair that loses its last shared subset by skips shares skipped ones only, so
+  both of its records hold more of them than they may skip for free.
 * A parity sketch of a set, in which a token flips one bit, bounds the tokens
   in which two sets differ from below; it drops most false candidates in the
   join that makes them.  The rest is verified on the whole sets.
@@ -130,6 +132,13 @@ def _salt(band: int) -> np.uint64:
     return _U((band + 1) * int(_C2) & 0xFFFFFFFFFFFFFFFF)
 
 
+def _spare(bands: Bands, band: int) -> int:
+    """Segments beyond the budget plus one: as many as are expected to hold at most one token."""
+    need = bands.budget(band) + 1
+    mean = 0.85 * (bands.lows[band + 1] - 1) / need
+    return int(np.ceil(need * np.exp(-mean) * (1 + mean)))
+
+
 def _segments(tokens: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment of each token, and the term it adds to the segment's subset hash."""
     seg = (mix(tokens ^ _salt(band)) >> _U(11)) % _U(m)
@@ -167,7 +176,7 @@ def _ids(batch: pa.RecordBatch) -> pa.Array:
 
 
 def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: set size, two set hashes, a parity sketch, and its segment keys (none for a set just seen)."""
+    """Per document: set size, two set hashes, a parity sketch, its segment keys (none for a set just seen), and how many it may skip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen, reach = Bands(percent), set(), {}
@@ -180,7 +189,7 @@ def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 c1 = mix(zero[bounds[1:]] - zero[bounds[:-1]] + size.astype(_U))
                 c2 = mix(one[bounds[1:]] - one[bounds[:-1]] + size.astype(_U))
                 keys: list[np.ndarray] = []
-                lengths = []
+                lengths, spare = [], []
                 bits = mix(tokens ^ _C4)
                 sketches = [_sketch(bits[b:e]) for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
                 for r, k in enumerate(size.tolist()):
@@ -189,14 +198,15 @@ def _signatures(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
                         if len(seen) < SEEN:
                             seen.add(mark)
                         if k not in reach:
-                            reach[k] = [(b, bands.budget(b) + 1) for b in bands.memberships(k)]
+                            reach[k] = [(b, bands.budget(b) + 1, _spare(bands, b)) for b in bands.memberships(k)]
                         own = tokens[bounds[r] : bounds[r + 1]]
-                        keys += [_segment_keys(own, b, m) for b, m in reach[k]]
+                        keys += [_segment_keys(own, b, need + more) for b, need, more in reach[k]]
+                    spare.append(min((_spare(bands, b) for b in bands.memberships(k)), default=0) if k else 0)
                     lengths.append(sum(map(len, keys[before:])))
                 flat = np.concatenate(keys) if keys else np.zeros(0, _U)
                 yield pa.RecordBatch.from_arrays(
-                    [_ids(part), pa.array(size, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_array(np.concatenate(sketches), list(map(len, sketches)), pa.int64()), _list_array(flat.view(np.int64), lengths, pa.int64())],
-                    ["doc_id", "n_shingles", "c1", "c2", "sketch", "keys"],
+                    [_ids(part), pa.array(size, pa.int64()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), _list_array(np.concatenate(sketches), list(map(len, sketches)), pa.int64()), _list_array(flat.view(np.int64), lengths, pa.int64()), pa.array(spare, pa.int32())],
+                    ["doc_id", "n_shingles", "c1", "c2", "sketch", "keys", "spare"],
                 )
 
     return run
@@ -224,7 +234,7 @@ def _neighbourhoods(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]]
                 for r, doc in enumerate(ids):
                     own = tokens[bounds[r] : bounds[r + 1]]
                     for band in bands.memberships(len(own)) if len(own) else []:
-                        m = bands.budget(band) + 1
+                        m = bands.budget(band) + 1 + _spare(bands, band)
                         seg, term = _segments(own, band, m)
                         order = np.argsort(seg, kind="stable")
                         sums = np.zeros(m, _U)
@@ -331,14 +341,16 @@ def _sizes(a: str, b: str, percent: int):
 
 def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs that hot subsets hide, through the allowances of the records that hold such a subset."""
-    holders = entries.join(hot, "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    parts = written(_texts_of(docs, holders).mapInArrow(_neighbourhoods(n, percent), "rep long, band int, seg int, key long, less array<long>").dropDuplicates(["rep", "band", "seg", "key"]))
+    held = entries.join(hot, "key", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("h"), F.min("spare").alias("spare")).where("h > spare")
+    holders = written(held.select(F.col("rep").alias("doc_id"), "spare"))
+    parts = written(_texts_of(docs, holders.select("doc_id")).mapInArrow(_neighbourhoods(n, percent), "rep long, band int, seg int, key long, less array<long>").dropDuplicates(["rep", "band", "seg", "key"]))
     cost = parts.select("rep", "band", "seg", "key").join(hot, "key", "left").withColumn("cost", F.coalesce("groups", F.lit(0)))
+    cost = cost.join(holders.toDF("rep", "spare"), "rep")
     # a record's own segments: as many rows as its budget, a bounded window
     of_record = "PARTITION BY rep, band"
     cost = cost.selectExpr("*", f"count(*) OVER ({of_record}) AS m", f"count_if(cost > 0) OVER ({of_record}) AS h", f"row_number() OVER ({of_record} ORDER BY cost, seg) AS at")
-    cost = cost.selectExpr("*", "least(h, m DIV 2) AS r")
-    allowance = F.when(F.col("at") > F.col("m") - F.col("r"), -1).when(F.col("at") <= F.col("r"), 1).otherwise(0)
+    cost = cost.selectExpr("*", "least(greatest(h - spare, 0), (m - spare) DIV 2) AS r")
+    allowance = F.when(F.col("at") > F.col("m") - F.col("r") - F.col("spare"), -1).when(F.col("at") <= F.col("r"), 1).otherwise(0)
     chosen = written(cost.select("rep", "band", "seg", "key", "cost", allowance.alias("allow")))
     raised = chosen.where("allow = 1").select("rep", "band", "seg")
     record = entries.select("rep", "n", "sketch", "comp").dropDuplicates(["rep"])
@@ -355,9 +367,9 @@ def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, n: int, perc
 def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sig = written(docs.mapInArrow(_signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>"))
+    sig = written(docs.mapInArrow(_signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>, spare int"))
     filled = sig.where("n_shingles > 0")
-    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.min("spare").alias("spare")))
 
     keyed = filled.where("size(keys) > 0").select(F.explode("keys").alias("key"), "c1")
     shared = keyed.selectExpr("key", "c1", "min(c1) OVER (PARTITION BY key) AS lo", "max(c1) OVER (PARTITION BY key) AS hi").where("lo <> hi").select("key", "c1").distinct()
@@ -369,8 +381,8 @@ def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> Dat
     weighed = written(entries.join(weight, "rep").select("key", "n", F.struct("weight", -F.col("rep")).alias("at"), "rep"))
     hubs = weighed.groupBy("key").agg(F.max("at").alias("hub"))
     pivots = written(weighed.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub"), F.first("n").alias("n")).select("rep", "n", (-F.col("hub.col2")).alias("pivot")))
-    records = classes.where("rep IS NOT NULL").dropDuplicates(["rep"]).select("rep", "n", "sketch")
-    x, y = (records.toDF(*(c + side for c in ("rep", "n", "s"))) for side in "xy")
+    records = classes.where("rep IS NOT NULL").dropDuplicates(["rep"]).select("rep", "n", "sketch", "spare")
+    x, y = (records.drop("spare").toDF(*(c + side for c in ("rep", "n", "s"))) for side in "xy")
     tried = pivots.where("rep <> pivot").join(x, pivots.rep == x.repx).join(y, F.col("pivot") == y.repy)
     # farther sets are compared in their subsets, if at all; the factor only shifts work
     near = written(tried.where(_sizes("nx", "ny", percent) & (_sketch_distance("sx", "sy") <= 2 * _budget("nx", "ny", percent))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
@@ -382,7 +394,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> Dat
     known = entries.join(comps, entries.rep == comps.node, "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     known = known.join(near.toDF("pivot", "rep"), "rep", "left").withColumn("pivot", F.coalesce("pivot", "rep"))
     spread = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pivot").alias("p"), F.max("pivot").alias("q"))
-    open_keys = written(known.join(spread.where("lo <> hi AND p <> q").select("key"), "key", "left_semi").join(records.select("rep", "sketch"), "rep"))
+    open_keys = written(known.join(spread.where("lo <> hi AND p <> q").select("key"), "key", "left_semi").join(records.select("rep", "sketch", "spare"), "rep"))
     groups = open_keys.groupBy("key").agg(F.count_distinct("pivot").alias("groups"))
     hot = written(groups.where(F.col("groups") >= HOT_KEY))
     more = more.unionByName(_cross(open_keys.join(hot, "key", "left_anti"), percent))
@@ -395,7 +407,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> Dat
     of_class = classes.join(comps, classes.rep == comps.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     salts = 16  # a class may hold a third of all rows
     spread = of_class.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
-    rows = filled.drop("keys", "sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    rows = filled.drop("keys", "sketch", "spare").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     grouped = rows.join(spread, ["c1", "c2", "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = sig.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone)
