@@ -36,6 +36,8 @@ VOCABULARY_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEY = ["doc_id", "version"]
 GROUP = ["source", "lang", "version"]
+#: Parts into which the copies of a text are dealt.
+SALTS = 16
 CHANGES = "doc_id long, version string, source string, lang string, n_tokens long, seq long"
 
 
@@ -124,10 +126,12 @@ class TokenLedger:
 
 
 def repeated_copies(docs: DataFrame) -> DataFrame:
-    """Ids of documents whose text an earlier id has too."""
+    """Ids of documents whose text an earlier id has too; the rows of a large group of copies are spread by a salt."""
     hashed = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), F.length("text").alias("n"))
     first = hashed.groupBy("h", "c", "n").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return hashed.join(first, ["h", "c", "n"]).where("doc_id <> first").select("doc_id").distinct()
+    salted = hashed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    first = first.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(first, ["h", "c", "n", "salt"]).where("doc_id <> first").select("doc_id").distinct()
 
 
 def rollup_after_deduplication(docs: DataFrame, root: str, version: str = "byte_bpe_50k", path: str = VOCABULARY_PATH) -> DataFrame:
