@@ -355,13 +355,16 @@ def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, n: int, perc
     raised = chosen.where("allow = 1").select("rep", "band", "seg")
     record = entries.select("rep", "n", "sketch", "comp").dropDuplicates(["rep"])
     side = lambda df, z: df.select("key", "rep").join(record, "rep").toDF(z, "key", f"n{z}", f"s{z}", f"c{z}")
-    whole, less = side(parts, "y"), side(parts.select("rep", F.explode("less").alias("key")), "y")
     up = written(parts.join(raised, ["rep", "band", "seg"]))
-    by_deletion = side(up.select("rep", F.explode("less").alias("key")), "x"), whole
-    by_insertion = side(up, "x"), less
-    kept = side(chosen.where("allow = 0 AND cost > 0"), "x"), whole
-    met = [x.join(y, "key").where((F.col("cx") != F.col("cy")) & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for x, y in (by_deletion, by_insertion, kept)]
-    return met[0].unionByName(met[1]).unionByName(met[2]).distinct()
+    whole, less = parts.select("key", F.col("rep").alias("y")), parts.select(F.explode("less").alias("key"), F.col("rep").alias("y"))
+    # few keys of these meet, so they travel without sketches
+    by_deletion = up.select(F.explode("less").alias("key"), F.col("rep").alias("x")).join(whole, "key")
+    by_insertion = up.select("key", F.col("rep").alias("x")).join(less, "key")
+    named = lambda z: record.toDF(z, f"n{z}", f"s{z}", f"c{z}")
+    close = by_deletion.unionByName(by_insertion).where("x <> y").select("x", "y").distinct().join(named("x"), "x").join(named("y"), "y")
+    kept = side(chosen.where("allow = 0 AND cost > 0"), "x").join(side(parts, "y"), "key")
+    met = [df.where((F.col("cx") != F.col("cy")) & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for df in (close, kept)]
+    return met[0].unionByName(met[1]).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
