@@ -357,12 +357,14 @@ def _allocated(docs: DataFrame, entries: DataFrame, hot: DataFrame, n: int, perc
     side = lambda df, z: df.select("key", "rep").join(record, "rep").toDF(z, "key", f"n{z}", f"s{z}", f"c{z}")
     up = written(parts.join(raised, ["rep", "band", "seg"]))
     whole, less = parts.select("key", F.col("rep").alias("y")), parts.select(F.explode("less").alias("key"), F.col("rep").alias("y"))
+    # the allowances of one record of a pair are enough: the one with the smaller id searches
     # few keys of these meet, so they travel without sketches
     by_deletion = up.select(F.explode("less").alias("key"), F.col("rep").alias("x")).join(whole, "key")
     by_insertion = up.select("key", F.col("rep").alias("x")).join(less, "key")
     named = lambda z: record.toDF(z, f"n{z}", f"s{z}", f"c{z}")
-    close = by_deletion.unionByName(by_insertion).where("x <> y").select("x", "y").distinct().join(named("x"), "x").join(named("y"), "y")
-    kept = side(chosen.where("allow = 0 AND cost > 0"), "x").join(side(parts, "y"), "key")
+    close = by_deletion.unionByName(by_insertion).where("x < y").select("x", "y").distinct().join(named("x"), "x").join(named("y"), "y")
+    # equal subsets of all segments that are not skipped; those that are not hot meet in _cross
+    kept = side(chosen.where("allow >= 0 AND cost > 0"), "x").join(side(parts, "y"), "key").where("x < y")
     met = [df.where((F.col("cx") != F.col("cy")) & _may_link("x", "y", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for df in (close, kept)]
     return met[0].unionByName(met[1]).distinct()
 

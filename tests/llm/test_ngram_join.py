@@ -77,3 +77,24 @@ def test_empty_table_nulls_and_repeated_rows(spark, docs_of):
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (None, None), (7, "q r s"), (3, "Q R  S")]
     got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS component_id", "2 AS c1")).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 5), (3, 1, 3), (5, 2, 5), (5, 2, 5), (7, 1, 3)]
+
+
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (1, 90)])
+def test_allocation_finds_all_links_if_every_subset_is_hot(spark, docs_of, n, percent):
+    texts = []
+    for words in (8, 14, 20, 26, 33, 40, 60):
+        base = [f"t{words}x{i}" for i in range(words)]
+        for slots in range(3):
+            filled = [f"s{slots}" if i in (words // 3, words // 3 + 1) else w for i, w in enumerate(base)]
+            texts += [" ".join(filled + ["e", "f", "g"][:tail]) for tail in range(4)]
+    docs = docs_of(texts)
+    sig = docs.mapInArrow(ngram_join._signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>, spare int")
+    entries = sig.selectExpr("explode(keys) AS key", "doc_id AS rep", "n_shingles AS n", "doc_id AS comp", "sketch", "spare").localCheckpoint()
+    shared = entries.groupBy("key").count().where("count > 1").selectExpr("key", "count AS groups").localCheckpoint()
+    got = {(r.a, r.b) for r in ngram_join._allocated(docs, entries, shared, n, percent).collect()}
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in map(str.split, texts)]
+    links = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= percent * len(a | b)}
+    # a pair whose records skip few subsets for free shares one that is not hot; here there is none
+    spare = {r.rep: (r.h, r.spare) for r in entries.join(shared, "key").groupBy("rep").agg({"key": "count", "spare": "min"}).toDF("rep", "h", "spare").collect()}
+    sought = {p for p in links if all(spare[d][0] > spare[d][1] for d in p)}
+    assert len(sought) > 20 and sought <= got
