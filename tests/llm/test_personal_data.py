@@ -88,3 +88,20 @@ def test_report_and_redaction(spark, docs_of):
     clean = {r.doc_id: r for r in pd_.without_personal_data(docs_of(texts)).collect()}
     assert clean[2].text == "call [PHONE] now" and clean[2].n_chars == 16 and clean[0].text is None
     assert pd_.personal_report(docs_of([])).count() == 0
+
+
+def test_every_window_is_decoded():
+    weights = pd_.trained().weights
+    find, field = pd_.finder(weights), SegmentField(weights)
+    spoken = ["JANE AT EXAMPLE DOT COM", "jane at example (dot) com", "write to jane at example\tdot com", "jane AT example[DOT]org"]
+    spaced = ["call 4 3 7 5 5 5 0 6 8 9", "phone: 4-3-7-5-5-5-0-6-8-9", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "ip 1.2.3.4", "no 5 of them at noon"]
+    added = 0
+    for text in spoken + spaced:
+        want = []
+        for low, high in pd_.windows(text):
+            window = Window(text, low, high)
+            want += [(kind, window.spans[i][0], window.spans[j - 1][1]) for i, j, kind in field.decode(window)]
+        base, got = find(text)
+        assert got == pd_.outside(want, base)
+        added += text in spoken and bool(got)
+    assert added == len(spoken)
