@@ -4,6 +4,7 @@ import re
 import pytest
 from narravane.llm import ngram_join
 from narravane.llm.ngram_join import Bands, near_duplicate_groups
+from pyspark.sql import functions as F
 
 
 def brute(texts, n=3, percent=90):
@@ -67,9 +68,10 @@ def test_memberships_cover_all_pairs_in_reach():
         for big in range(1, 400):
             band = bands.of(big)
             for small in range(-(-percent * big // 100), big + 1):
-                if bands.budget(band):
-                    assert band in bands.memberships(small) and band in bands.memberships(big)
-                assert bands.budget(band) >= (100 - percent) * (small + big) // (100 + percent)
+                differ = (100 - percent) * (small + big) // (100 + percent)
+                if differ:
+                    assert all(dict(bands.memberships(k))[band] >= differ for k in (small, big))
+                    assert differ < bands.segments(band) - 1
 
 
 def test_empty_table_nulls_and_repeated_rows(spark, docs_of):
@@ -79,6 +81,50 @@ def test_empty_table_nulls_and_repeated_rows(spark, docs_of):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 2, 5), (3, 1, 3), (5, 2, 5), (5, 2, 5), (7, 1, 3)]
 
 
+def dense(seed, docs=700, vocabulary=60, planted=250):
+    """Short texts from so few words that most subsets are shared by many, with planted pairs."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.sample([f"v{i}" for i in range(vocabulary)], rng.randrange(20, 23))) for _ in range(docs)]
+    for at in rng.sample(range(docs), planted):
+        copy = texts[rng.randrange(docs)].split()
+        copy[rng.randrange(len(copy))] = f"v{rng.randrange(vocabulary)}"
+        texts[at] = " ".join(copy)
+    return texts
+
+
+@pytest.mark.parametrize("hot", [2, 4, 64])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_dense_vocabulary(docs_of, monkeypatch, hot, percent):
+    monkeypatch.setattr(ngram_join, "HOT_KEY", hot)
+    texts = dense(hot)
+    want, links = brute(texts, 1, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs_of(texts), 1, percent).collect()}
+    assert links > 100 and got == want
+
+
+@pytest.mark.parametrize("hot", [4, 64])
+def test_templates_with_passages_of_many(docs_of, monkeypatch, hot):
+    """Texts that mostly consist of a few passages, so most of their subsets are hot, and unlinked variants of them."""
+    monkeypatch.setattr(ngram_join, "HOT_KEY", hot)
+    rng = random.Random(hot)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(5)]
+    texts = []
+    for i in range(300):
+        parts = rng.sample(passages, rng.choice([1, 2, 3])) + [" ".join(f"u{rng.randrange(40)}" for _ in range(rng.randrange(4, 60)))]
+        texts.append(" ".join(parts))
+        if rng.random() < 0.3:
+            texts.append(texts[-1] + f" end{i} of {i}")
+    want, links = brute(texts, 5, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs_of(texts), 5, 80).collect()}
+    assert links > 100 and got == want
+
+
+def test_repeated_ids_with_other_texts_are_one_node(spark):
+    rows = [(5, "a b c d"), (5, "m n o p"), (9, "m n o p"), (2, "A B C D"), (4, "z"), (4, None), (4, "y"), (8, "Y")]
+    got = near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (4, 4), (4, 4), (4, 4), (5, 2), (5, 2), (8, 4), (9, 2)]
+
+
 @pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (1, 90)])
 def test_allocation_finds_all_links_if_every_subset_is_hot(spark, docs_of, n, percent):
     texts = []
@@ -88,13 +134,18 @@ def test_allocation_finds_all_links_if_every_subset_is_hot(spark, docs_of, n, pe
             filled = [f"s{slots}" if i in (words // 3, words // 3 + 1) else w for i, w in enumerate(base)]
             texts += [" ".join(filled + ["e", "f", "g"][:tail]) for tail in range(4)]
     docs = docs_of(texts)
-    sig = docs.mapInArrow(ngram_join._signatures(n, percent), "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, keys array<long>, spare int")
-    entries = sig.selectExpr("explode(keys) AS key", "doc_id AS rep", "n_shingles AS n", "doc_id AS comp", "sketch", "spare").localCheckpoint()
-    shared = entries.groupBy("key").count().where("count > 1").selectExpr("key", "count AS groups").localCheckpoint()
-    got = {(r.a, r.b) for r in ngram_join._allocated(docs, entries, shared, n, percent).collect()}
+    sig = docs.mapInArrow(ngram_join._signatures(n, percent), "doc_id long, n_shingles long, c1 long, sketch array<long>, crowded array<long>")
+    classes = sig.selectExpr("c1 AS node", "doc_id AS id", "n_shingles AS n", "sketch")
+    rows = docs.mapInArrow(ngram_join._index_rows(n, percent), "key long, c1 long, band int, need int")
+    hot = rows.groupBy("key").count().where("count > 1").selectExpr("key", "count AS groups")
+    held = rows.join(hot, "key").groupBy("c1", "band").agg(F.count(F.lit(1)).alias("h"), F.min("need").alias("need")).where("h >= need").withColumnRenamed("c1", "rep")
+    records = classes.selectExpr("node AS rep", "n", "sketch", "node AS comp")
+    id_of = {r.node: r.id for r in classes.collect()}
+    got = {frozenset((id_of[r.a], id_of[r.b])) for r in ngram_join._allocated(docs, classes, held.select("rep", "band"), hot, records, n, percent).collect()}
     sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in map(str.split, texts)]
-    links = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= percent * len(a | b)}
-    # a pair whose records skip few subsets for free shares one that is not hot; here there is none
-    spare = {r.rep: (r.h, r.spare) for r in entries.join(shared, "key").groupBy("rep").agg({"key": "count", "spare": "min"}).toDF("rep", "h", "spare").collect()}
-    sought = {p for p in links if all(spare[d][0] > spare[d][1] for d in p)}
+    links = {frozenset((i, j)) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= percent * len(a | b)}
+    # a pair with a record that doesn't skip more than it may for free shares a subset that is not hot
+    hidden = {(id_of[r.rep], r.band) for r in held.collect()}
+    bands = ngram_join.Bands(percent)
+    sought = {p for p in links if all((d, bands.of(max(len(sets[i]) for i in p))) in hidden for d in p)}
     assert len(sought) > 20 and sought <= got
