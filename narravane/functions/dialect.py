@@ -7,7 +7,6 @@ that checks it in DuckDB.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -155,6 +154,31 @@ def with_inputs(text: str, inputs: dict[str, str]) -> str:
     return f"WITH {head}, {text[5:]}" if text[:5].upper() == "WITH " else f"WITH {head} {text}"
 
 
+def steps(text: str) -> tuple[list[tuple[str, str]], str]:
+    """The common table expressions of ``WITH a AS (...), b AS (...) rest`` as (name, body), and the rest."""
+    text, out = text.strip(), []
+    if text[:5].upper() != "WITH ":
+        return out, text
+    at = 5
+    while True:
+        name, at = text[at : text.index("(", at)], text.index("(", at) + 1
+        begin, depth, quote = at, 1, None
+        while depth:
+            c = text[at]
+            if quote:
+                quote = None if c == quote else quote
+            elif c in "'\"":
+                quote = c
+            else:
+                depth += (c == "(") - (c == ")")
+            at += 1
+        out.append((name.split()[0], text[begin : at - 1]))
+        rest = text[at:].lstrip()
+        if not rest.startswith(","):
+            return out, rest
+        at = len(text) - len(rest) + 1
+
+
 class Operator:
     """A relational operator over named inputs."""
 
@@ -162,18 +186,29 @@ class Operator:
         self.text, self.inputs, self.__doc__ = text, inputs, doc
 
     def __call__(self, *frames: DataFrame, **named: DataFrame) -> DataFrame:
+        """The plan of the text.
+
+        Its common table expressions are analysed one by one, as views, so no plan that others share holds a CTE node.
+        Views of the session with the same names are there again afterwards.
+        """
         given = dict(zip(self.inputs, frames, strict=False)) | named
         if set(given) != set(self.inputs):
             raise TypeError(f"inputs are {', '.join(self.inputs)}")
         spark = next(iter(given.values())).sparkSession
-        views = {name: f"_{name}_{uuid.uuid4().hex}" for name in given}
-        for name, frame in given.items():
-            frame.createOrReplaceTempView(views[name])
+        parts, text = steps(self.text(SPARK))
+        names = {*given, *(name for name, _ in parts)}
+        held = {name: spark.table(name) for name in names if spark.catalog.tableExists(name)}
         try:
-            return spark.sql(with_inputs(self.text(SPARK), {name: f"SELECT * FROM {view}" for name, view in views.items()}))
+            for name, frame in given.items():
+                frame.createOrReplaceTempView(name)
+            for name, body in parts:
+                spark.sql(body).createOrReplaceTempView(name)
+            return spark.sql(text)
         finally:
-            for view in views.values():
-                spark.catalog.dropTempView(view)
+            for name in names:
+                spark.catalog.dropTempView(name)
+            for name, frame in held.items():
+                frame.createOrReplaceTempView(name)
 
     def reference(self, **inputs: str) -> str:
         """DuckDB text; ``inputs`` gives the text of each input that is not a table itself."""

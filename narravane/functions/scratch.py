@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _of_this_process() -> str:
+    return tempfile.mkdtemp(prefix="narravane-")
+
+
 def folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that is unset, below a folder of this process."""
+    """A new path below ``spark.checkpoint.dir``.
+
+    Where that is unset, a master in this process (``local``) uses a folder of its own; a cluster has no folder that
+    its executors are known to share, so the setting is an error there.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="narravane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _of_this_process()
     return f"{base.rstrip('/')}/narravane-{uuid.uuid4().hex}"
 
 

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from narravane.functions.dialect import operator, steps
 from narravane.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -36,3 +37,21 @@ def test_equals_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(catalogue.MODELS))
 def test_models_give_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["actor_hits", "actor_pairs", "text_coordination", "snapshot"])
+def test_shared_inputs_in_a_fresh_session(spark, name):
+    assert catalogue.QUERIES[name](spark.newSession(), SF).count() > 0
+
+
+def test_operators_leave_the_views_of_the_session_alone(spark):
+    spark.range(3).createOrReplaceTempView("a")
+    out = operator("b")(lambda d: "WITH a AS (SELECT id + 1 AS id FROM b WHERE ')' <> ''), c AS (SELECT * FROM a JOIN b USING (id)) SELECT count(*) AS n FROM c")(spark.range(5))
+    assert out.first().n == 4 and spark.table("a").count() == 3
+    assert not spark.catalog.tableExists("b") and not spark.catalog.tableExists("c")
+    spark.catalog.dropTempView("a")
+
+
+def test_steps_of_a_text():
+    assert steps("SELECT 1") == ([], "SELECT 1")
+    assert steps(" WITH a AS (SELECT '(' AS x), b AS (SELECT f(1)) SELECT (2)") == ([("a", "SELECT '(' AS x"), ("b", "SELECT f(1)")], "SELECT (2)")
