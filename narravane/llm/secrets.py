@@ -10,7 +10,8 @@ The dictionary is a ranked word list, taken from a public tokenizer's
 vocabulary file whose path is a parameter.
 
 Cases: null and empty texts have no spans; repeated rows get equal results;
-very long texts and values are scanned whole; other input columns are ignored
+very long texts and values are scanned whole, in time that grows with their
+length; other input columns are ignored
 (report) or kept (redaction).
 """
 
@@ -19,7 +20,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -44,6 +48,7 @@ _ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _PLACE = {c: (x + 0.5 * y, y) for y, row in enumerate(_ROWS) for x, c in enumerate(row)}
 #: A context match holds one of these in lower case.
 _STEMS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
+_DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[[*range(48, 58), *range(97, 103)]] = True
 #: Guesses from which a value of several words counts as a secret, and not as prose.
@@ -65,6 +70,11 @@ def ranked_words(path: str) -> dict[str, int]:
     return ranks
 
 
+@lru_cache(maxsize=2)
+def word_list(path: str) -> Words:
+    return Words.of(ranked_words(path))
+
+
 def _character(c: str) -> float:
     """Cost of a brute-force character by the size of its class."""
     if c.isdigit():
@@ -72,75 +82,153 @@ def _character(c: str) -> float:
     return math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def _word(part: str, ranks: dict[str, int]) -> float | None:
-    low = part.lower()
-    plain = low.translate(_SUBSTITUTES)
-    best = None
-    for form, extra in ((low, 0.0), (low[::-1], _JOIN), (plain, 2 * _JOIN)):
-        rank = ranks.get(form)
-        if rank and (best is None or math.log10(rank) + extra < best):
-            best = math.log10(rank) + extra
-    if best is None:
-        return None
-    upper = sum(c.isupper() for c in part)
-    if upper and upper < len(part) and not (upper == 1 and part[0].isupper()):
-        return best + math.log10(sum(math.comb(len(part), i) for i in range(1, min(upper, len(part) - upper) + 1)))
-    return best + (_JOIN if upper else 0.0)
-
-
-def _walk(text: str, i: int) -> list[tuple[int, float]]:
-    """Ends and costs of keyboard walks and letter or digit sequences of three characters or more from ``i``."""
-    out, low = [], text.lower()
-    j, turns, last = i, 0, None
-    while j + 1 < len(low) and low[j] in _PLACE and low[j + 1] in _PLACE:
-        (x, y), (u, v) = _PLACE[low[j]], _PLACE[low[j + 1]]
-        if max(abs(u - x), abs(v - y)) > 1 or low[j] == low[j + 1]:
-            break
-        turns += (u - x, v - y) != last
-        last = (u - x, v - y)
-        j += 1
-        if j - i >= 2:
-            out.append((j + 1, math.log10(47) + turns * math.log10(5) + math.log10(j + 1 - i)))
-    j = i
-    if i + 1 < len(low) and abs(step := ord(low[i + 1]) - ord(low[i])) == 1 and low[i].isalnum():
-        while j + 1 < len(low) and ord(low[j + 1]) - ord(low[j]) == ord(low[i + 1]) - ord(low[i]) and low[j + 1].isalnum():
+@dataclass(frozen=True)
+class Words:
+    """A ranked word list with the prefixes of its words and of their reversals."""
+
+    ranks: dict[str, int]
+    prefixes: frozenset[str]
+    reversed_prefixes: frozenset[str]
+
+    @classmethod
+    def of(cls, ranks: dict[str, int]) -> Words:
+        cut = lambda word: (word[:k] for k in range(1, len(word) + 1))
+        return cls(ranks, frozenset(p for w in ranks for p in cut(w)), frozenset(p for w in ranks for p in cut(w[::-1])))
+
+
+def _case_cost(upper: int, length: int, first: bool) -> float:
+    """Choices of the upper-case letters of a word."""
+    if upper and upper < length and not (upper == 1 and first):
+        return math.log10(sum(math.comb(length, i) for i in range(1, min(upper, length - upper) + 1)))
+    return _JOIN if upper else 0.0
+
+
+class _Value:
+    """The segments of a value, by their first character.
+
+    A repeat, walk or sequence goes on to the end of its run, or starts with its run (a repeat: in the first unit);
+    so there are as many of each kind as characters, a few times over, and not as many as pairs of them.
+    """
+
+    def __init__(self, value: str, words: Words) -> None:
+        self.value, self.words, self.n = value, words, len(value)
+        low = value.lower()
+        # a lower-case form of other length would shift the places
+        self.low = low if len(low) == self.n else value
+        self.plain = self.low.translate(_SUBSTITUTES)
+        self.upper = list(accumulate((c.isupper() for c in value), initial=0))
+        self.letters = list(accumulate(map(_character, value), initial=0.0))
+        self.repeats = [0] * 17  # characters that equal the one a unit on, from the current place
+        self.walk = self.turns = self.same_step = 0
+
+    def word(self, i: int, j: int) -> float | None:
+        """Cost of value[i:j] as a word: plain, backwards or with substitutes."""
+        ranks, best = self.words.ranks, None
+        for form, extra in ((self.low[i:j], 0.0), (self.low[i:j][::-1], _JOIN), (self.plain[i:j], 2 * _JOIN)):
+            rank = ranks.get(form)
+            if rank and (best is None or math.log10(rank) + extra < best):
+                best = math.log10(rank) + extra
+        return None if best is None else best + _case_cost(self.upper[j] - self.upper[i], j - i, self.value[i].isupper())
+
+    def _word_ends(self, i: int) -> set[int]:
+        ends = set()
+        for text, prefixes in ((self.low, self.words.prefixes), (self.plain, self.words.prefixes)):
+            j = i + 1
+            while j <= self.n and text[i:j] in prefixes:
+                ends.add(j)
+                j += 1
+        # a word backwards ends in value[i]: its reversal starts there
+        j = i + 1
+        while j <= self.n and self.low[i:j] in self.words.reversed_prefixes:
+            ends.add(j)
             j += 1
-            if j - i >= 2:
-                out.append((j + 1, _character(low[i]) + step * math.log10(2) + math.log10(j + 1 - i)))
-    return out
-
-
-def guess_cost(value: str, ranks: dict[str, int], longest: int | None = None) -> float:
-    """Decimal logarithm of the guesses of the cheapest segmentation of ``value``."""
+        return {j for j in ends if j - i >= 3}
+
+    def segments(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, cost) of the segments from ``i``; to be called for falling places, from the last on."""
+        value, n = self.value, self.n
+        for j in self._word_ends(i):
+            if (cost := self.word(i, j)) is not None:
+                yield j, cost
+        if value[i].isdigit() and (m := _DATE.match(value, i)):
+            yield m.end(), math.log10(365 * 80 if m.end() - i > 4 else 80)
+        yield from self._walks(i)
+        yield from self._sequences(i)
+        for unit in range(1, 17):
+            self.repeats[unit] = self.repeats[unit] + 1 if i + unit < n and value[i] == value[i + unit] else 0
+            count = self.repeats[unit] // unit + 1
+            if count >= (3 if unit == 1 else 2):
+                inner = self.letters[i + unit] - self.letters[i]
+                inner = min(inner, (self.word(i, i + unit) if unit >= 3 else None) or inner)
+                first = i < unit or value[i - unit : i] != value[i : i + unit]
+                for k in range(3 if unit == 1 else 2, count + 1) if first else (count,):
+                    yield i + k * unit, inner + math.log10(k)
+
+    def _step(self, i: int) -> tuple[float, int] | None:
+        """Direction of a keyboard walk from place ``i`` to the next, if the keys are neighbours."""
+        if not 0 <= i < self.n - 1 or self.low[i] == self.low[i + 1]:
+            return None
+        here, there = _PLACE.get(self.low[i]), _PLACE.get(self.low[i + 1])
+        if not here or not there or max(abs(there[0] - here[0]), abs(there[1] - here[1])) > 1:
+            return None
+        return there[0] - here[0], there[1] - here[1]
+
+    def _walks(self, i: int) -> Iterator[tuple[int, float]]:
+        step = self._step(i)
+        if not step:
+            self.walk = self.turns = 0
+            return
+        self.turns = 1 if not self.walk else self.turns + (self._step(i + 1) != step)
+        self.walk += 1
+        if self.walk < 2:
+            return
+        cost = lambda keys, turns: math.log10(47) + turns * math.log10(5) + math.log10(keys)
+        if self._step(i - 1):
+            yield i + self.walk + 1, cost(self.walk + 1, self.turns)
+            return
+        turns, last = 1, step
+        for k in range(1, self.walk):
+            now = self._step(i + k)
+            turns, last = turns + (now != last), now
+            yield i + k + 2, cost(k + 2, turns)
+
+    def _rise(self, i: int) -> int:
+        """1 or -1 where the next character is the one after or before this in its alphabet, else 0."""
+        if not 0 <= i < self.n - 1 or not (self.low[i].isalnum() and self.low[i + 1].isalnum()):
+            return 0
+        rise = ord(self.low[i + 1]) - ord(self.low[i])
+        return rise if abs(rise) == 1 else 0
+
+    def _sequences(self, i: int) -> Iterator[tuple[int, float]]:
+        rise = self._rise(i)
+        self.same_step = 0 if not rise else self.same_step + 1 if self._rise(i + 1) == rise else 1
+        if self.same_step < 2:
+            return
+        cost = lambda keys: _character(self.low[i]) + (_JOIN if rise < 0 else 0.0) + math.log10(keys)
+        for k in (self.same_step,) if self._rise(i - 1) == rise else range(2, self.same_step + 1):
+            yield i + k + 1, cost(k + 1)
+
+
+def guess_costs(value: str, words: Words) -> list[float]:
+    """Decimal logarithm of the guesses of the cheapest segmentation of each suffix of ``value``."""
     n = len(value)
-    longest = longest or max(map(len, ranks), default=0)
-    best = [0.0] + [math.inf] * n
-    brute = [math.inf] * (n + 1)  # the last segment is a brute-force span that can go on
-
-    def offer(end: int, cost: float) -> None:
-        if cost < best[end]:
-            best[end] = cost
-
-    for i in range(n):
-        base = min(best[i], brute[i])
-        start = base + (_JOIN if i else 0.0)
-        brute[i + 1] = min(brute[i], start) + _character(value[i])
-        for j in range(i + 3, min(n, i + longest) + 1):
-            if (cost := _word(value[i:j], ranks)) is not None:
-                offer(j, start + cost)
-        if m := _DATE.match(value, i):
-            offer(m.end(), start + math.log10(365 * 80 if m.end() - i > 4 else 80))
-        for end, cost in _walk(value, i):
-            offer(end, start + cost)
-        for unit in range(1, min(16, (n - i) // 2) + 1):
-            count = 1
-            while value.startswith(value[i : i + unit], i + count * unit):
-                count += 1
-                if unit > 1 or count > 2:
-                    inner = sum(map(_character, value[i : i + unit]))
-                    inner = min(inner, _word(value[i : i + unit], ranks) or inner)
-                    offer(i + count * unit, start + inner + math.log10(count))
-    return min(best[n], brute[n])
+    tail = [math.inf] * n + [-_JOIN]  # a segment that ends the value joins nothing
+    brute = math.inf  # the first segment is a brute-force span
+    parts = _Value(value, words)
+    for i in range(n - 1, -1, -1):
+        brute = _character(value[i]) + min(brute, _JOIN + tail[i + 1])
+        best = brute
+        for end, cost in parts.segments(i):
+            cost += _JOIN + tail[end]
+            if cost < best:
+                best = cost
+        tail[i] = best
+    return tail[:n]
+
+
+def guess_cost(value: str, words: Words) -> float:
+    """Decimal logarithm of the guesses of the cheapest segmentation of ``value``."""
+    return guess_costs(value, words)[0] if value else 0.0
 
 
 def _long_hex(text: str) -> bool:
@@ -163,32 +251,41 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def guessed_spans(text: str, ranks: dict[str, int], least: float = LEAST) -> list[Span]:
-    """Values in credential contexts that need at least 10**``least`` guesses."""
+def guessed_spans(text: str, words: Words, least: float = LEAST) -> list[Span]:
+    """Values in credential contexts that need at least 10**``least`` guesses.
+
+    A context may stand inside the value of another one; it is looked at if that value is no secret.  Such values end
+    at one place, so the costs of the suffixes of the outer one are used again.
+    """
     out: list[Span] = []
-    longest = max(map(len, ranks), default=0)
-    at = 0
+    at, known, known_end, costs = 0, -1, -1, []
     while m := _CONTEXT.search(text, at):
         group = m.lastindex or 3
         start, value = m.start(group), m[group]
         kept = value.rstrip(".,:!?") if group == 3 else value
-        said = text[m.end(0) - len(m[0]) : start].rstrip(" \"'").endswith(("is", "IS", "Is"))
-        mixed = any(c.isdigit() for c in kept) and any(c.isalpha() for c in kept)
-        if len(kept) >= 6 and (mixed or not said) and guess_cost(kept, ranks, longest) >= (LEAST_PHRASE if " " in kept else least):
-            out.append(("guess", start, start + len(kept)))
-        at = max(m.start(group), m.start() + 1)
+        end = start + len(kept)
+        at = max(start, m.start() + 1)
+        said = text[max(m.start(), start - 8) : start].rstrip(" \"'").lower().endswith("is")
+        mixed = _DIGIT.search(kept) and _LETTER.search(kept)
+        if len(kept) < 6 or (said and not mixed):
+            continue
+        if not (end == known_end and start >= known):
+            known, known_end, costs = start, end, guess_costs(kept, words)
+        if costs[start - known] >= (LEAST_PHRASE if " " in kept else least):
+            out.append(("guess", start, end))
+            at = end
     return out
 
 
 def finder(words_path: str = WORDS_PATH, least: float = LEAST):
     """A function from a text to its base spans and its added spans."""
-    ranks = ranked_words(words_path)
+    words = word_list(words_path)
 
     def find(text: str) -> tuple[list[Span], list[Span]]:
         base, low = base_spans(text), text.lower()
         if not any(stem in low for stem in _STEMS):
             return base, []
-        return base, outside(guessed_spans(text, ranks, least), base)
+        return base, outside(guessed_spans(text, words, least), base)
 
     return find
 

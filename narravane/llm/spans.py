@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -22,8 +23,13 @@ def joined(spans: list[Span]) -> str:
 
 def outside(spans: Iterable[Span], taken: Iterable[Span]) -> list[Span]:
     """The spans that overlap none of ``taken``."""
-    taken = list(taken)
-    return [x for x in spans if not any(x[1] < e and s < x[2] for _, s, e in taken)]
+    starts, reach, far = [], [], 0
+    for _, start, end in sorted(taken, key=lambda x: x[1]):
+        far = max(far, end)
+        starts.append(start)
+        reach.append(far)
+    # those that start before the end of a span: none may reach beyond its start
+    return [x for x in spans if not (k := bisect_left(starts, x[2])) or reach[k - 1] <= x[1]]
 
 
 def replaced(text: str, spans: Iterable[Span], mark: Callable[[str], str]) -> str:
