@@ -11,10 +11,13 @@ Ranks are taken inside buckets of bounded expected size plus an offset, so no
 task ever sorts a whole shard.  Everything is a function of the rows and the
 seed: a task that is run again makes the same rows.
 
-Cases: a null text counts as empty (size 8, checksum 0); an empty table gives
-an empty result; repeated rows are dealt like any others, and rows equal in all
-columns are interchangeable; columns of the input with the names of the output
-columns are replaced.
+Repeated rows are numbered, and their numbers are hashed with them, so they are
+dealt like any others; they are interchangeable.  The rows (without texts) are
+written once before, with a number that tells repeated ones apart.
+
+Cases: a null text counts as empty (size 8, checksum 0), a null id is an id of
+its own; very long texts are only measured; an empty table gives an empty
+result; columns of the input with the names of the output columns are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narravane.functions.scratch import written
+
 #: Expected rows of a bucket in which ranks are taken by a sort.
 BUCKET_ROWS = 20_000
+#: Draws that are made one by one.
+FEW_DRAWS = 32
 
 
 def shard_sizes(rows: int, shards: int) -> list[int]:
@@ -41,9 +48,7 @@ def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int)
         row, rest, total = np.zeros(len(left), np.int64), int(n), int(left.sum())
         for j, free in enumerate(left):  # conditional draws; each is a plain hypergeometric one
             total -= int(free)
-            if not rest:
-                break
-            row[j] = rest if not total else _hypergeometric(rng, int(free), total, rest)
+            row[j] = _hypergeometric(rng, int(free), total, rest)
             rest -= int(row[j])
         left -= row
         matrix.append(row.tolist())
@@ -51,19 +56,31 @@ def communication_matrix(partition_rows: list[int], sizes: list[int], seed: int)
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy takes populations below 1e9; a larger urn is drawn from in two halves."""
-    if good == 0 or draws == 0:
-        return 0
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, draws))
-    mean = draws * good / (good + bad)
-    spread = mean * (bad / (good + bad)) * ((good + bad - draws) / max(1, good + bad - 1))
-    return int(min(max(round(rng.normal(mean, spread**0.5)), draws - bad, 0), good, draws))
-
+    """How many of ``draws`` items of an urn are good, exactly in law for urns of any size.
 
-def _ranked(df: DataFrame, group: str, key: Column, buckets: int, name: str) -> DataFrame:
+    Each item is taken with the same chance, so that about ``draws`` are; both numbers are binomial.  Given how many
+    that are, they are a uniform subset, so the difference to ``draws`` is drawn from them or from the rest.  It is
+    about the square root of ``draws``; a few items are drawn one by one.
+    """
+    if not 0 <= draws <= good + bad:
+        raise ValueError("draws must be from 0 to the number of items")
+    if 2 * draws > good + bad:
+        return good - _hypergeometric(rng, good, bad, good + bad - draws)
+    if draws <= FEW_DRAWS:
+        taken = 0
+        for i in range(draws):
+            taken += int(rng.integers(good + bad - i)) < good - taken
+        return taken
+    share = draws / (good + bad)
+    a, b = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    if a + b >= draws:
+        return a - _hypergeometric(rng, a, b, a + b - draws)
+    return a + _hypergeometric(rng, good - a, bad - b, draws - a - b)
+
+
+def _ranked(df: DataFrame, group: str, key: Column, buckets: int | Column, name: str) -> DataFrame:
     """Adds the 0-based rank of each row in its group by ``key``, a uniform 64-bit hash."""
-    df = df.withColumn("_key", key).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_key", 20), F.lit(buckets)))
+    df = df.withColumn("_key", key).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_key", 20), buckets if isinstance(buckets, Column) else F.lit(buckets)))
     sizes = df.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -72,6 +89,16 @@ def _ranked(df: DataFrame, group: str, key: Column, buckets: int, name: str) ->
     return ranked.withColumn(name, (F.col("_rank") + F.col("_offset")).cast("long")).drop("_key", "_bucket", "_rank", "_offset")
 
 
+def _numbered(df: DataFrame, identity: list[str]) -> DataFrame:
+    """Adds ``_copy``, which numbers the rows of equal ``identity`` from 0; a large group is numbered by parts."""
+    columns = df.columns
+    df = written(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_same", F.xxhash64(*identity)))
+    repeated = written(df.groupBy("_same").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1"))
+    alone = df.join(repeated, "_same", "left_anti").select(*columns, F.lit(0).cast("long").alias("_copy"))
+    several = _ranked(df.join(repeated, "_same"), "_same", F.xxhash64("_row"), F.expr(f"_copies DIV {BUCKET_ROWS} + 1"), "_copy")
+    return alone.unionByName(several.select(*columns, "_copy"))
+
+
 def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int, seed: int = 0, partitions: int = 64) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard) to the rows of ``df``.
 
@@ -79,8 +106,8 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int, seed: i
     """
     if shards < 1 or partitions < 1:
         raise ValueError("shards and partitions must be positive")
-    df = df.drop("shard", "slot")
-    hashed = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), *identity)
+    df = _numbered(df.drop("shard", "slot"), identity)
+    hashed = lambda salt: F.xxhash64(F.lit(f"{seed}/{salt}"), *identity, "_copy")
     dealt = df.withColumn("_part", F.pmod(hashed("deal"), F.lit(partitions)).cast("int"))
     counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
     per_part = [counts.get(p, 0) for p in range(partitions)]
@@ -91,7 +118,7 @@ def shuffle_into_shards(df: DataFrame, identity: list[str], shards: int, seed: i
     local = _ranked(dealt, "_part", hashed("local"), rows // (partitions * BUCKET_ROWS) + 1, "_at")
     cut = F.size(F.filter(table[F.col("_part")], lambda end: end <= F.col("_at")))
     sent = local.withColumn("shard", cut.cast("int")).drop("_part", "_at")
-    return _ranked(sent, "shard", hashed("final"), rows // (shards * BUCKET_ROWS) + 1, "slot")
+    return _ranked(sent, "shard", hashed("final"), rows // (shards * BUCKET_ROWS) + 1, "slot").drop("_copy")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
