@@ -7,9 +7,10 @@ to a one-permutation minimum-hash signature, and the share of equal positions
 of two signatures estimates the Jaccard similarity of the phrase sets.
 
 ``with_next`` also fingerprints an edited form of each text, and compares with
-the next document in descending order of doc_id.  Documents are dealt into
-ranges of doc_id by one shuffle; the first row of each range is sent to the
-range before it as well, so a range finds all its successors inside.
+the next document in descending order of doc_id.  One shuffle deals the texts
+into ranges of that order.  A range judges all of its rows but the last, whose
+next document is the first row of the following range: these pairs, one a range,
+are joined from the ends of the ranges, which are read from the same shuffle.
 
 Cases: null and empty texts have the empty fingerprint, which is like itself
 (1.0) and unlike others (0.0); the next document of a single one is itself;
@@ -20,7 +21,6 @@ null ids last; very long texts are parsed whole; other input columns are ignored
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,47 +168,67 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of a range, each range closed by the first row of the following one."""
+    """Results of the rows of a range, in its order, but for the last one."""
     ids: list = []
     texts: list[str] = []
     size = 0
     for batch in batches:
-        for doc_id, text, closing in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["closing"].to_pylist(), strict=True):
-            if closing and not ids:  # equal rows may close a range twice
-                continue
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(text or "")
             size += len(texts[-1])
-            if closing or size > STEP_BYTES:
-                if len(ids) > 1:
-                    yield _rows(ids, texts)
-                keep = 0 if closing else 1
-                ids, texts = ids[len(ids) - keep :], texts[len(texts) - keep :]
-                size = sum(map(len, texts))
+            if size > STEP_BYTES and len(ids) > 1:
+                yield _rows(ids, texts)
+                ids, texts = ids[-1:], texts[-1:]
+                size = len(texts[0])
+    if len(ids) > 1:
+        yield _rows(ids, texts)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of a range and the last one (first: whether it is the first)."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is None:
+            yield _marked(batch.slice(0, 1), True)
+        last = batch.slice(batch.num_rows - 1, 1)
+    if last is not None:
+        yield _marked(last, False)
+
+
+def _marked(row: pa.RecordBatch, first: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([row["part"], pa.array([first]), row["doc_id"], row["text"]], ["part", "first", "doc_id", "text"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield _rows([row["doc_id"], None], [row["text"] or "", row["next"] or ""])
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited form, and their likeness; see the contract of the query."""
+    """Fingerprints of each text and of its edited form, and their likeness; see the contract of the query.
+
+    The ranges and their ends are read from one shuffle, so ``spark.sql.exchange.reuse`` must be on, as it is by default.
+    """
+    if docs.sparkSession.conf.get("spark.sql.exchange.reuse") != "true":
+        raise ValueError("spark.sql.exchange.reuse must be on")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    count = rows.count()
-    wanted = count // RANGE_ROWS + 1
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.1 / wanted))) if wanted > 1 else []
-    cuts = F.from_json(F.lit(json.dumps([int(b) for b in bounds])), "array<bigint>")
-    # range 0 holds the largest ids; null ids come last
-    at = F.coalesce(F.size(F.filter(cuts, lambda b: b >= F.col("doc_id"))), F.lit(len(bounds)))
-    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("range", at)
-    key = F.struct((-F.col("doc_id")).isNull().alias("missing"), (-F.col("doc_id")).alias("minus"), "h")
-    firsts = {r["range"]: r["key"] for r in rows.groupBy("range").agg(F.min(key).alias("key")).collect()}  # a row a range
-    ranges = sorted(firsts)
-    lead = [None] * (len(bounds) + 1)
-    for k, r in enumerate(ranges):
-        lead[r] = {"minus": firsts[r]["minus"], "h": firsts[r]["h"], "to": ranges[k - 1]}
-    table = F.from_json(F.lit(json.dumps(lead)), "array<struct<minus:bigint,h:bigint,to:int>>")
-    lead_of = table[F.col("range")]
-    is_first = (-F.col("doc_id")).eqNullSafe(lead_of["minus"]) & (F.col("h") == lead_of["h"])
-    here = F.struct(F.col("range").alias("range"), F.lit(False).alias("closing"))
-    there = F.struct(lead_of["to"].alias("range"), F.lit(True).alias("closing"))
-    sent = rows.select("doc_id", "text", "h", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("way"))
-    sent = sent.select("doc_id", "text", "h", "way.*")
-    dealt = sent.repartition(max(1, len(ranges)), "range").sortWithinPartitions("range", "closing", F.desc_nulls_last("doc_id"), "h")
-    return dealt.select("doc_id", "text", "closing").mapInArrow(_stream, SCHEMA)
+    ranges = rows.count() // RANGE_ROWS + 1
+    # the order of the documents; the last key splits rows that are equal in all, in any order
+    keys = {"_missing": F.col("doc_id").isNull(), "_falling": F.bitwise_not("doc_id"), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))), "_row": F.monotonically_increasing_id()}
+    rows = rows.select("doc_id", "text", *[k.alias(name) for name, k in keys.items()])
+    dealt = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    inside = dealt.mapInArrow(_stream, SCHEMA)
+    # The last row of a range meets the first one of the range after it.  Bounds of ranges are rows, so all ranges up to
+    # the last filled one are filled; two ends stay alone, the first of all and the last of all, and they meet.
+    ends = dealt.mapInArrow(_ends, "part int, first boolean, doc_id long, text string")
+    row = F.struct("doc_id", "text")
+    halves = ends.groupBy((F.col("part") - F.col("first").cast("int")).alias("gap")).agg(F.max(F.when(~F.col("first"), row)).alias("row"), F.max(F.when(F.col("first"), row)).alias("next"))
+    gap = F.when(F.col("row").isNull() | F.col("next").isNull(), -1).otherwise(F.col("gap"))
+    pairs = halves.groupBy(gap.alias("gap")).agg(F.max("row").alias("row"), F.max("next").alias("next")).where("row IS NOT NULL")
+    pairs = pairs.select("row.doc_id", "row.text", F.col("next.text").alias("next"))
+    return inside.unionByName(pairs.mapInArrow(_pairs, SCHEMA))

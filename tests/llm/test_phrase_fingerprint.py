@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,6 +76,27 @@ def test_rows_equal_brute_force(docs_of, monkeypatch, rows):
         assert r.near_next == pytest.approx((own == other).mean() if a and c else float(a == c))
 
 
+def test_ranges_and_their_ends_come_from_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(pf, "RANGE_ROWS", 40)
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        rows = [(i if i % 3 else None if i % 2 else 600, f"text {i % 50} of {i % 7}") for i in range(3000)]
+        out = pf.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(9))
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning") == 1 or "ReusedExchange" in plan
+    key = lambda doc, text: (doc is None, -(doc or 0), hashes[text])
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(rows, key=lambda r: key(*r))
+    want = Counter()
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        want[doc, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
 def test_cases(spark, docs_of):
     one = pf.with_next(docs_of(["abcdef"])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
