@@ -24,13 +24,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narravane.llm.textarrays import LOWER, mix, slices, span_hashes, words
 
 #: Labelled documents that training takes at most, the first ones in the order of a hash.
 TRAIN_DOCS = 2000
+#: Lines of those documents at most.
+TRAIN_LINES = 400_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -189,14 +191,22 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "lines", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Chain:
-    """Fits the chain on at most ``sample`` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Chain:
+    """Fits the chain on at most ``sample`` labelled documents outside the held-out fold, which have at most ``lines`` lines in all.
+
+    They are the first by a hash of their id; of rows that repeat an id the one with the least text counts.
+    """
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("good"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    lines = rows.mapInArrow(_feature_rows, "doc_id long, lines int, features array<float>").dropDuplicates(["doc_id"])
-    got = lines.join(F.broadcast(chosen), "doc_id").toArrow()  # at most ``sample`` rows
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # at most ``sample`` rows from here on
+    # a line ends at a line break, so there is at most one more than those
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    breaks = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1)).alias("lines"))
+    taken = breaks.withColumn("sum", F.sum("lines").over(so_far)).where(F.col("sum") <= lines).select("doc_id")
+    featured = rows.join(F.broadcast(taken), "doc_id", "left_semi").mapInArrow(_feature_rows, "doc_id long, lines int, features array<float>")
+    got = featured.join(F.broadcast(chosen), "doc_id").toArrow()  # at most ``lines`` lines
     if not got.num_rows:
         return Chain()
     n = got.column("lines").to_numpy()
