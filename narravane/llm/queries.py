@@ -13,7 +13,7 @@ from narravane.llm.personal_data import personal_report
 from narravane.llm.phrase_fingerprint import with_next
 from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
-from narravane.llm.token_ledger import rollup_after_deduplication
+from narravane.llm.token_ledger import rollup
 from narravane.llm.url_filter import judged
 
 
@@ -34,7 +34,7 @@ def op3_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup_after_deduplication(_table(spark, sf_dir, "documents"), folder(spark))
+    return rollup(_table(spark, sf_dir, "documents"), folder(spark))
 
 
 def op5_quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
