@@ -307,7 +307,7 @@ def training_sentences(count: int, seed: int) -> list[tuple[str, list[Span]]]:
         s, a, b, c = sep(), str(rng.randrange(2, 10)) + d(2), d(3), d(4)
         return rng.choice([
             f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}{s}{b}{s}{c}", f"1{s}{a}{s}{b}{s}{c}", f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {d(7)}",
-            f"00{rng.randrange(30, 50)} {d(3)} {d(7)}", f"0{d(3)} {d(7)}", f"0{d(2)}/{d(8)}", f"0{d(4)}-{d(6)}", f"+{rng.randrange(30, 50)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"({a}){b}-{c}",
+            f"00{rng.randrange(30, 50)} {d(rng.choice([2, 3]))} {d(7)}", f"0{d(2)} {d(7)}", f"0{d(3)} {d(7)}", f"0{d(2)}/{d(8)}", f"0{d(4)}-{d(6)}", f"+{rng.randrange(30, 50)} {d(2)} {d(2)} {d(2)} {d(2)} {d(2)}", f"({a}){b}-{c}",
         ])
 
     def mail() -> str:
@@ -331,6 +331,7 @@ def training_sentences(count: int, seed: int) -> list[tuple[str, list[Span]]]:
 
     def negative() -> str:
         return rng.choice([
+            f"{rng.choice('ADFGNS')}{rng.choice('EBTLR')}{d(2)} " + grouped(d(18), (4, 4, 4, 4, 2), " "), f"{rng.choice('ADFGNS')}{rng.choice('EBTLR')}{d(20)}", f"+{d(rng.choice([4, 5, 6, 7]))}", f"+{d(1)}.{d(2)}%",
             f"{rng.randrange(1900, 2100)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}", f"{rng.randrange(10, 29)}.{rng.randrange(10, 13)}.{rng.randrange(1900, 2100)}", f"{rng.randrange(1900, 2030)}", f"{d(2)}:{d(2)}:{d(2)}",
             f"{d(2)}.{d(2)}%", f"${d(3)},{d(3)}.{d(2)}", f"{d(1)}.{d(1)}.{d(2)}.{d(4)}", f"#{d(8)}", d(rng.choice([5, 6, 7, 8, 9, 10, 11, 12])), card(False), grouped(card(False), (4, 4, 4, 4), sep()),
             f"978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", f"{d(3)} {d(3)}", f"{d(4)} {d(4)}", f"{d(2)}x{d(2)}", f"{word()} at {word()}", f"@{word()}", f"{word()}{d(3)}", f"{d(4)}-{d(4)} {word()}", f"{d(3)},{d(3)},{d(3)}", f"{word()} at {word()} dot", f"{d(1)} {d(1)} {d(2)} {d(2)} {d(1)} {d(3)}",

@@ -7,9 +7,11 @@ casino win), path parts are cut at non-letters, and a multinomial naive Bayes
 classifier scores the tokens.
 
 Training is weakly supervised: a page whose host has one of the seed words is an
-unwanted example, any other page a wanted one.  Token counts are taken over all
-pages; tokens are hashed to a fixed number of buckets, so the model is bounded.
-Seed words teach the words that stand beside them.
+unwanted example, any other page a wanted one.  The seed word that makes an
+example is not counted in it, so the model learns the words that stand beside
+seed words (and seed words that stand beside others), not the list itself.
+Token counts are taken over all pages; tokens are hashed to a fixed number of
+buckets, so the model is bounded.
 
 The unigram model is the ranked word list of a public tokenizer's vocabulary
 file, whose path is a parameter.
@@ -104,6 +106,12 @@ def tokens(host: str, path: str, split: Segmenter) -> list[str]:
     return [f"h:{w}" for w in host_words(host, split)] + [f"p:{w}" for w in re.findall(r"[a-z]+", path.lower())]
 
 
+def example(names: list[str]) -> tuple[bool, list[str]]:
+    """Whether the tokens are an unwanted example, and those that count in it: a seed word needs another one beside it."""
+    seeds = {t for t in names if t[:2] == "h:" and t[2:] in SEEDS}
+    return bool(seeds), [t for t in names if t not in seeds] if len(seeds) == 1 else names
+
+
 def _bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
@@ -144,8 +152,7 @@ def train(pages: DataFrame, words_path: str = WORDS_PATH) -> Bayes:
         for frame in frames:
             seen: Counter = Counter()
             for host, path in zip(frame["host"], frame["path"], strict=True):
-                names = tokens(host, path, split)
-                label = any(t[2:] in SEEDS for t in names if t[0] == "h")
+                label, names = example(tokens(host, path, split))
                 seen[(-1, label)] += 1
                 seen.update((_bucket(t), label) for t in names)
             yield pd.DataFrame([(b, l, n) for (b, l), n in seen.items()], columns=["bucket", "label", "n"])

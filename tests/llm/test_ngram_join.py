@@ -1,8 +1,10 @@
+import os
 import random
 import re
 
+import duckdb
 import pytest
-from narravane.llm import ngram_join
+from narravane.llm import ngram_join, queries
 from narravane.llm.ngram_join import Bands, near_duplicate_groups
 from pyspark.sql import functions as F
 
@@ -149,3 +151,13 @@ def test_allocation_finds_all_links_if_every_subset_is_hot(spark, docs_of, n, pe
     bands = ngram_join.Bands(percent)
     sought = {p for p in links if all((d, bands.of(max(len(sets[i]) for i in p))) in hidden for d in p)}
     assert len(sought) > 20 and sought <= got
+
+
+def test_query_equals_its_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    path = f"{folder}/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    want = con.sql(queries.ORACLE_SQL["op7_ngram_jaccard"])
+    got = queries.op7_ngram_jaccard(spark, folder).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

@@ -105,3 +105,47 @@ def test_every_window_is_decoded():
         assert got == pd_.outside(want, base)
         added += text in spoken and bool(got)
     assert added == len(spoken)
+
+
+#: Sentences written by hand, not by the generator that the field is trained on, and their entities.
+HAND_WRITTEN = [
+    ("Please pay to IBAN DE44 5001 0517 5407 3249 31 by Friday", []),
+    ("the index rose +1234567 points overnight", []),
+    ("You can reach Maria under 030 1234567 during office hours", ["phone:030 1234567"]),
+    ("Call our office at (415) 555-0132 before noon.", ["phone:(415) 555-0132"]),
+    ("my number is 415-555-0198, text me", ["phone:415-555-0198"]),
+    ("write to john dot smith at example dot com please", ["email:john dot smith at example dot com"]),
+    ("contact jane [at] widgets [dot] org for details", ["email:jane [at] widgets [dot] org"]),
+    ("support(at)acme.io answers quickly", ["email:support(at)acme.io"]),
+    ("Version 10.4.2.1 was released", ["ip:10.4.2.1"]),
+    ("ISBN 978-3-16-148410-0 is out of print", []),
+    ("Order 4929 1023 4411 shipped on 2021-03-04", []),
+    ("Card 4111-1111-1111-1111 exp 12/26", ["card:4111-1111-1111-1111"]),
+    ("we paid with 5500/0000/0000/0004 last week", ["card:5500/0000/0000/0004"]),
+    ("The meeting is at 10 dot sharp", []),
+    ("Invoice 20230415-0093, total 1,204.50", []),
+    ("born 12.05.1987 in Graz", []),
+    ("tel. 0049 89 1234567", ["phone:0049 89 1234567"]),
+    ("Fax: 212.555.0147", ["phone:212.555.0147"]),
+    ("population 8 336 817 in 2019", []),
+    ("look at the dot on the map", []),
+    ("coordinates 48.1374, 11.5755", []),
+    ("Mobile 0171/9876543 (evenings)", ["phone:0171/9876543"]),
+    ("he scored 3-0 6-4 7-5", []),
+    ("bob @ company . net is my address", ["email:bob @ company . net"]),
+    ("serial 1234-5678-9012-3456", []),
+    ("the years 1914-1918 and 1939-1945", []),
+    ("ring +44 20 7946 0958 after six", ["phone:+44 20 7946 0958"]),
+    ("ticket #55512345 closed", []),
+    ("1 800 555 0199 is toll free", ["phone:1 800 555 0199"]),
+    ("phone 555 0199", []),
+]
+
+
+def test_sentences_written_by_hand():
+    find = pd_.finder(pd_.trained().weights)
+    right = wrong = missed = 0
+    for text, entities in HAND_WRITTEN:
+        got = {f"{kind}:{text[s:e]}" for part in find(text) for kind, s, e in part}
+        right, wrong, missed = right + len(got & set(entities)), wrong + len(got - set(entities)), missed + len(set(entities) - got)
+    assert right >= 13 and wrong <= 3 and missed <= 2

@@ -76,6 +76,10 @@ def test_run_gives_the_rows_of_the_stages(spark, stages):
 def test_odd_rows(spark, docs_of):
     docs = docs_of([None, "", "a b c d e f", "a b c d e f", None]).unionByName(docs_of(["repeat it", "repeat it"], 0).selectExpr("NULL AS doc_id", "text", "lang", "source", "n_chars"))
     kept = cp.keep_one_of_near_duplicates(spark, docs.unionByName(docs.where("doc_id = 2")), SF).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "4", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept) == ["0", "1", "2", "4", "None"]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    mixed = spark.createDataFrame([(None, item), (None, "clean text"), (7, item), (7, "clean text"), (8, None)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars", "0.25 AS score", "9 AS _key")
+    assert sorted((str(r.doc_id), r.text) for r in cp.drop_benchmark_leaks(spark, mixed, SF).where("text IS NOT NULL").collect()) == [("7", "clean text"), ("None", "clean text")]
+    assert {r.score for r in cp.keep_good_quality(spark, mixed, SF).collect()} <= {mixed.first().score}
     assert cp.redact_secrets(spark, docs, SF).count() == 7 and cp.drop_benchmark_leaks(spark, docs, SF).count() == 7
     assert cp.encode_with_dropout(spark, docs_of([]), SF).count() == 0
