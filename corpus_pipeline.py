@@ -4,7 +4,10 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the
 last return the columns of ``docs``; the last returns what it made of the rest.
 
 Rows keep their doc_id.  Null texts pass the stages that judge texts by their
-content if their score allows it; an empty table passes all of them.
+content if their score allows it; an empty table passes all of them.  Redaction
+leaves null and empty texts alone and takes texts of any length whole; encoding
+gives them no ids.  Rows that repeat others are treated as those are, but for
+near duplicates, where one of them stays.
 """
 
 from __future__ import annotations
@@ -23,29 +26,36 @@ from narravane.llm.secrets import without_secrets
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the line chain scores below its threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
+    other = "score" in docs.columns  # an input column of that name stays
+    judged = score(docs.withColumnRenamed("score", "_score") if other else docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
+    return judged.withColumnRenamed("_score", "score").select(docs.columns) if other else judged
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group (five-word shingles, similarity 0.8 or more).
 
-    Rows that repeat a doc_id are one document; one of them stays, and all rows without an id.
+    Rows that repeat an id are one document, of which the least row by text and columns stays.  Rows without an id are
+    told apart by their texts, and come after all ids.
     """
-    groups = near_duplicate_groups(docs, n=5, percent=80)
-    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    nameless = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("_pipeline_key", F.coalesce(F.col("doc_id").cast("long"), nameless))
+    groups = near_duplicate_groups(keyed.select(F.col("_pipeline_key").alias("doc_id"), "text"), n=5, percent=80)
+    others = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_pipeline_key")).distinct())
+    kept = keyed.join(others, "_pipeline_key", "left_anti")
+    repeated = written(kept.groupBy("_pipeline_key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("_pipeline_key"))
     if repeated.isEmpty():
-        return kept
-    first = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(first).select(docs.columns)
+        return kept.select(docs.columns)
+    row = F.struct("text", *[c for c in docs.columns if c != "text"])
+    first = kept.join(repeated, "_pipeline_key", "left_semi").groupBy("_pipeline_key").agg(F.min(row).alias("row")).select("row.*")
+    return kept.join(repeated, "_pipeline_key", "left_anti").select(docs.columns).unionByName(first).select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item occurs, up to its edit budget."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), errors=8)
-    leaking = written(found.select("doc_id").distinct())
-    return docs.join(leaking, "doc_id", "left_anti").select(docs.columns)
+    """Drops the documents in which a benchmark item occurs, up to its edit budget; the text alone decides."""
+    keyed = docs.withColumn("_pipeline_key", F.xxhash64("text"))
+    found = contaminated(keyed.select(F.col("_pipeline_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), errors=8)
+    leaking = written(found.select(F.col("doc_id").alias("_pipeline_key")).distinct())
+    return keyed.join(leaking, "_pipeline_key", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
