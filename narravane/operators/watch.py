@@ -40,11 +40,12 @@ def watched_without_bots(d):
 
 @operator("edges", "posts")
 def resolved_targets(d):
-    """The latest post of the answered author at or before each answer, if there is one."""
-    return """
-    WITH u AS (SELECT narrative, target AS author_id, at_us, edge_id, CAST(NULL AS BIGINT) AS post_id, 1 AS side FROM edges UNION ALL SELECT narrative, author_id, at_us, CAST(NULL AS BIGINT), post_id, 0 FROM posts),
-    w AS (SELECT edge_id, max(CASE WHEN side = 0 THEN at_us END) OVER (PARTITION BY narrative, author_id ORDER BY at_us, side, coalesce(edge_id, post_id) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS target_us, at_us FROM u)
-    SELECT edge_id, target_us, at_us - target_us AS delay_us FROM w WHERE edge_id IS NOT NULL"""
+    """The latest post of the answered author at or before each answer, if there is one, and the time between."""
+    posts = lambda x: f"last_value({x}) IGNORE NULLS" if d.name == "spark" else f"last_value({x} IGNORE NULLS)"
+    return f"""
+    WITH u AS (SELECT narrative, target AS author_id, at_us, edge_id, CAST(NULL AS BIGINT) AS post_id, CAST(NULL AS BIGINT) AS post_us, 1 AS side FROM edges UNION ALL SELECT narrative, author_id, at_us, CAST(NULL AS BIGINT), post_id, at_us, 0 FROM posts),
+    w AS (SELECT edge_id, at_us, {posts("post_id")} OVER o AS target_post, {posts("post_us")} OVER o AS target_us FROM u WINDOW o AS (PARTITION BY narrative, author_id ORDER BY at_us, side, coalesce(edge_id, post_id) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT edge_id, target_post, target_us, at_us - target_us AS delay_us FROM w WHERE edge_id IS NOT NULL"""
 
 
 @operator("actions")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, bursts, coordination, graph, keywords, relational, scoring, similarity, text, themes, trend, upkeep, watch
+from narravane.operators import actors, analyst, bursts, coordination, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
 from narravane.sources import tables
 
 
@@ -112,7 +112,13 @@ _groups = _node(
     ),
     _normal, _own, _cross,
 )
-_sizes = _node(Operator(lambda d: "SELECT narrative AS theme, count(*) AS posts, count(DISTINCT author_id) AS authors, false AS emerging FROM posts GROUP BY narrative", "posts"), _docs)
+_narrative_units = _node(Operator(lambda d: "SELECT u.vec_id, p.narrative AS label, u.v FROM units u JOIN posts p ON u.vec_id = p.post_id", "units", "posts"), _units, _docs)
+_narrative_cohesion = _node(Operator(lambda d: "SELECT label AS theme, cohesion FROM cohesions", "cohesions"), _node(themes.cohesion, _narrative_units))
+_facts_of_themes = _node(labels.theme_facts, _themes, _narrative_cohesion, _hits, _markets, _topics, keep=True)
+_sizes = _node(
+    Operator(lambda d: "SELECT p.narrative AS theme, count(*) AS posts, count(DISTINCT p.author_id) AS authors, max(coalesce(q.emerging, false)) AS emerging FROM posts p LEFT JOIN qualities q ON p.narrative = q.theme GROUP BY p.narrative", "posts", "qualities"),
+    _docs, _node(labels.theme_quality, _facts_of_themes),
+)
 _facts = _node(Operator(lambda d: "SELECT 'exact' AS kind, first_post AS cluster, authors, burst FROM copies UNION ALL SELECT 'fuzzy', group_id, authors, burst FROM reports", "copies", "reports"), _copies, _fuzzy)
 _overlays = _node(coordination.overlays, _themes, _groups)
 _weekly = _node(Operator(lambda d: f"SELECT DISTINCT {d.div('at_us', '604800000000')} AS week, narrative AS cluster, author_id AS member FROM posts", "posts"), _posts)
@@ -148,14 +154,15 @@ NODES: dict[str, Node] = {
 
 NODES |= {
     "overlays": _overlays, "coordination_tiers": _node(coordination.coordination_tiers, _overlays, _sizes, _facts), "combined_score": _node(similarity.combined_score, _text_score, _node(graph.suspicion, _shape, _dense), _node(graph.graph_stats, _edges, _posts)),
-    "provenance": _node(coordination.provenance, _node(trend.score_stats, _posts), _node(trend.score_stats, _posts), _node(graph.graph_stats, _edges, _posts), _copies, _fuzzy), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
+    "provenance": _node(coordination.provenance, _node(Operator(lambda d: "SELECT narrative, count(*) AS n FROM posts GROUP BY narrative", "posts"), _posts), _node(trend.score_stats, _node(analyst.filtered(least_u=100_000), _posts)), _node(graph.graph_stats, _edges, _posts), _copies, _fuzzy), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
     "snapshot": _snapshot, "brief": _node(coordination.brief, _snapshot), "failed_gates": _node(coordination.failed_gates, _snapshot),
 }
 
+_last_runs = _node(Operator(lambda d: "SELECT r.* FROM runs r CROSS JOIN (SELECT max(at_us) AS last_us FROM runs) m WHERE r.at_us >= m.last_us - 1209600000000", "runs"), _runs)
 _queries = _node(Operator(lambda d: "SELECT DISTINCT p_name AS query FROM part", "part"), "part")
 _existing = _node(Operator(lambda d: "SELECT DISTINCT p_type AS keyword FROM part", "part"), "part")
 NODES |= {
-    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _stats, _stats),
+    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _node(upkeep.keyword_stats, _last_runs), _stats),
 }
 
 _watched = _node(watch.watch_list, _posts, _edges)
@@ -165,6 +172,35 @@ NODES |= {
     "session_counts": _node(watch.session_counts, _posts), "platform_cube": _node(watch.platform_cube, _posts),
 }
 
+_pasta = NODES["copypasta"]
+_tiers = NODES["coordination_tiers"]
+_topterms = NODES["top_terms"]
+_known = _node(labels.known_phrases, _docs)
+_pmi = NODES["phrase_pmi"]
+_label_scores = _node(labels.label_scores, _pmi, _node(labels.phrase_quality, _phrases))
+_first_labels = _node(labels.first_labels, _label_scores)
+_related = _node(labels.relatedness, _topterms, _known)
+_centroids = _node(labels.centroid_edges, _narrative_units)
+_theme_quality = _node(labels.theme_quality, _facts_of_themes)
+_earlier = _node(analyst.filtered(before_us=1_705_500_000_000_000), _posts)
+_earlier_buckets = _node(trend.daily_buckets, _earlier)
+_state = _node(analyst.sentiment_state, _trends, _weeks, _days)
+_state_before = _node(analyst.sentiment_state, _node(trend.trend_class, _node(trend.theil_sen, _node(trend.rolling_mean, _earlier_buckets, keep=True))), _node(trend.week_over_week, _earlier_buckets), _node(trend.divergence_days, _earlier_buckets))
+_member_ids = _node(Operator(lambda d: "SELECT CAST(post_id % 7 AS BIGINT) AS theme, post_id FROM posts", "posts"), _docs)
+_merged_ids = _node(Operator(lambda d: "SELECT CAST(5 AS BIGINT) AS theme, CAST(2 AS BIGINT) AS into_theme UNION ALL SELECT CAST(6 AS BIGINT), CAST(3 AS BIGINT) FROM region WHERE r_regionkey = 0", "region"), "region")
+_split_ids = _node(Operator(lambda d: "SELECT CAST(2 AS BIGINT) AS theme, post_id, CAST(1 + post_id % 2 AS BIGINT) AS part FROM posts WHERE post_id % 7 = 5", "posts"), _docs)
+NODES |= {
+    "known_phrases": _known, "phrase_quality": _node(labels.phrase_quality, _phrases), "label_scores": _label_scores, "first_labels": _first_labels, "market_labels": _node(labels.market_labels, _first_labels), "relatedness": _related,
+    "theme_facts": _facts_of_themes, "theme_quality": _theme_quality, "theme_order": _node(labels.theme_order, _theme_quality), "theme_cards": _node(labels.theme_cards, _theme_quality), "centroid_edges": _centroids, "theme_merges": _node(labels.merges, _centroids, _related),
+    "theme_overrides": _node(labels.overridden, _member_ids, _merged_ids, _split_ids), "must_linked": _node(labels.must_linked, _themes, _cross),
+    "filtered_posts": _node(analyst.filtered("click", 500_000), _posts), "sensitive_posts": _node(analyst.sensitive, _docs), "shortened_texts": _node(analyst.shortened, _docs), "lexicon_strength": _node(analyst.lexicon_strength, _hits),
+    "post_projection": _node(analyst.projection, _docs, _scores, _own, _cross, _pasta), "best_posts": _node(analyst.best_posts, _docs, _scores), "client_filter": _node(analyst.client_filter, _docs, _scores), "author_vertices": _node(analyst.author_vertices, _posts, _bots),
+    "graph_posts": _node(analyst.graph_posts, _docs, _scores), "posts_by_author": _node(analyst.posts_by_author, _posts), "parent_theme": _node(analyst.parent_theme, _overlays), "copy_tiers": _node(analyst.copy_tiers, _facts), "copy_order": _node(analyst.copy_order, _copies),
+    "group_order": _node(analyst.group_order, _fuzzy), "frame_order": _node(analyst.frame_order, _tiers), "signals": _node(analyst.signals, _copies, _fuzzy), "filter_buckets": _node(analyst.filter_buckets, _reasons), "ingest_plan": _node(analyst.ingest_plan, _posts),
+    "sentiment_state": _state, "sentiment_alerts": _node(analyst.sentiment_alerts, _state, _state_before), "benchmark_run": _node(analyst.benchmark_run, _scores, "labels"), "label_summary": _node(analyst.label_summary, _docs, "labels"), "report_rows": _node(analyst.report_rows, _posts),
+    "discovered_authors": _node(analyst.discovered, _posts, _edges),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from narravane.functions.dialect import SPARK
-from narravane.operators import actors, bursts, coordination, graph, scoring, similarity, sinks, trend
+from narravane.operators import actors, analyst, bursts, coordination, graph, labels, scoring, similarity, sinks, trend
 from narravane.operators.components import components
 
 
@@ -152,3 +152,31 @@ def test_operators_check_their_inputs(spark):
     with pytest.raises(TypeError):
         graph.degrees(posts=spark.range(1))
     assert "row_number" in trend.rolling_mean.text(SPARK)
+
+
+def test_known_phrases_and_label_quality(spark):
+    posts = spark.createDataFrame([("a", "Red wave, RED WAVE and deep state"), ("a", "red waves"), ("b", "nothing")], "narrative string, text string")
+    assert {(r.narrative, r.phrase, r.n) for r in labels.known_phrases(posts).collect()} == {("a", "red wave", 3), ("a", "deep state", 1)}
+    want = {
+        "": 0.0, "he's purposely": 0.05, "red wave": 1.0, "governor": 1.0, "great": 0.0, "123": 0.0, "they won": 0.12, "word going": 0.18, "is being": 0.18, "will have": 0.08, "will vote": 0.22, "market would": 0.55,
+        "the red cat": 0.35, "border wall": 1.0,
+    }
+    got = labels.phrase_quality(spark.createDataFrame([(p,) for p in want], "phrase string")).collect()
+    assert {r.phrase: r.quality for r in got} == want
+    weights = spark.createDataFrame([("a", "red wave", 3, 2.0), ("a", "the red wave", 3, 2.0), ("a", "they won", 9, 5.0), ("a", "governor", 2, 1.0)], "narrative string, phrase string, n long, weight double")
+    scores = {r.phrase: (r.score, r.bonus) for r in labels.label_scores(weights, labels.phrase_quality(weights)).collect()}
+    assert scores == {"red wave": (2.9, 0.0), "the red wave": (2.5, 0.0), "they won": (0.0, 0.0), "governor": (1.0, 0.35)}
+
+
+def test_relatedness_of_themes(spark):
+    tops = spark.createDataFrame([(n, t) for n, ts in {"a": "border wall fence trump", "b": "border wall vote trump", "c": "trump vote senate good"}.items() for t in ts.split()], "narrative string, term string")
+    known = spark.createDataFrame([("a", "gun control"), ("c", "gun control")], "narrative string, phrase string")
+    got = {(r.a, r.b): (r.related, r.score) for r in labels.relatedness(tops, known).collect()}
+    assert got == {("a", "b"): (True, 0.5), ("a", "c"): (True, 1.0), ("b", "c"): (False, 0.0)}
+
+
+def test_sentiment_alerts_on_worse_states_only(spark):
+    kind = "narrative string, trend string, alert string, days long"
+    now = spark.createDataFrame([("a", "escalating", "none", 1), ("b", "escalating", "surge", 2), ("c", "stable", "surge", 0), ("d", "escalating", "none", 1)], kind)
+    before = spark.createDataFrame([("a", "stable", "surge", 1), ("b", "escalating", "surge", 3), ("c", "stable", "none", 0)], kind)
+    assert {(r.narrative, r.kind) for r in analyst.sentiment_alerts(now, before).collect()} == {("a", "trend_escalating"), ("c", "surge"), ("d", "trend_escalating"), ("d", "volume_divergence")}
