@@ -35,12 +35,12 @@ def _word(d, terms: str) -> str:
 
 
 def _ascii_word(terms: str) -> str:
-    """For text without other characters, in which both engines see the same word boundaries, and find them fast."""
-    return rf"(?i)\b(?:{terms})\b"
+    """For lower-case text without other characters, in which both engines see the same word boundaries, and find them fast."""
+    return rf"\b(?:{terms})\b"
 
 
 def _ascii(d) -> str:
-    return d.replace("text", "[^\\x00-\\x7F]", " ")
+    return f"lower({d.replace('text', '[^' + chr(92) + 'x00-' + chr(92) + 'x7F]', ' ')})"
 
 
 @operator("posts")

@@ -51,6 +51,9 @@ def token_counts(d):
 @operator("topics")
 def phrase_counts(d):
     """Bigrams and trigrams over the remaining tokens by narrative, those that occur ten times or more."""
+    if d.name == "spark":  # one pass over the tokens
+        gram = lambda n: f"IF(size(tokens) < {n}, CAST(array() AS ARRAY<STRING>), transform(sequence(0, size(tokens) - {n}), i -> concat_ws(' ', tokens[i], " + ", ".join(f"tokens[i + {k}]" for k in range(1, n)) + ")))"
+        return f"SELECT narrative, phrase, count(*) AS n FROM (SELECT narrative, phrase FROM topics LATERAL VIEW explode(concat({gram(2)}, {gram(3)})) p AS phrase) x GROUP BY narrative, phrase HAVING count(*) >= 10"
     two = f"SELECT narrative, phrase FROM topics {d.unnest(d.grams('tokens', 2), 'phrase')}"
     three = f"SELECT narrative, phrase FROM topics {d.unnest(d.grams('tokens', 3), 'phrase')}"
     return f"SELECT narrative, phrase, count(*) AS n FROM ({two} UNION ALL {three}) x GROUP BY narrative, phrase HAVING count(*) >= 10"
@@ -69,7 +72,8 @@ def top_terms(d):
 def phrase_pmi(d):
     """Pointwise mutual information of a phrase and a narrative, times the log of its count."""
     return f"""
-    WITH a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY narrative) AS DOUBLE) AS in_narrative, CAST(sum(n) OVER (PARTITION BY phrase) AS DOUBLE) AS of_phrase, CAST(sum(n) OVER () AS DOUBLE) AS total FROM counts)
+    WITH i AS (SELECT narrative, CAST(sum(n) AS DOUBLE) AS in_narrative FROM counts GROUP BY narrative), p AS (SELECT phrase, CAST(sum(n) AS DOUBLE) AS of_phrase FROM counts GROUP BY phrase), t AS (SELECT sum(in_narrative) AS total FROM i),
+    a AS (SELECT c.narrative, c.phrase, c.n, i.in_narrative, p.of_phrase, t.total FROM counts c JOIN i ON c.narrative = i.narrative JOIN p ON c.phrase = p.phrase CROSS JOIN t)
     SELECT narrative, phrase, n, {rounded("log2(n * total / (in_narrative * of_phrase)) * ln(1 + n)", 3)} AS weight FROM a"""
 
 
@@ -78,7 +82,8 @@ def term_lift(d):
     """Lift of a term in a narrative against all other narratives, from one pass of counts."""
     return f"""
     WITH c AS (SELECT narrative, term, count(*) AS n FROM topics {d.unnest("tokens", "term")} GROUP BY narrative, term),
-    a AS (SELECT *, CAST(sum(n) OVER (PARTITION BY narrative) AS BIGINT) AS own, CAST(sum(n) OVER (PARTITION BY term) AS BIGINT) AS everywhere, CAST(sum(n) OVER () AS BIGINT) AS total FROM c)
+    i AS (SELECT narrative, CAST(sum(n) AS BIGINT) AS own FROM c GROUP BY narrative), e AS (SELECT term, CAST(sum(n) AS BIGINT) AS everywhere FROM c GROUP BY term), t AS (SELECT CAST(sum(own) AS BIGINT) AS total FROM i),
+    a AS (SELECT c.narrative, c.term, c.n, i.own, e.everywhere, t.total FROM c JOIN i ON c.narrative = i.narrative JOIN e ON c.term = e.term CROSS JOIN t)
     SELECT narrative, term, n, {rounded("(CAST(n AS DOUBLE) / own) / (CAST(everywhere - n + 1 AS DOUBLE) / (total - own + 1))", 3)} AS lift FROM a WHERE n >= 5"""
 
 

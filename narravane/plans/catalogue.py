@@ -53,6 +53,8 @@ def _node(operator: Operator, *inputs: Node | str, keep: bool = False) -> Node:
 
 _posts = _node(tables.event_posts, "events")
 _docs = _node(tables.document_posts, "documents")
+# for work that is long for each text
+_texts = Node(tables.spread, {"posts": _docs}, "SELECT * FROM posts")
 _edges = _node(tables.event_edges, "events")
 _sparse = _node(tables.sparse_edges, "events")
 _bots = _node(tables.known_bots, "customer")
@@ -62,7 +64,7 @@ _series = _node(trend.rolling_mean, _buckets, keep=True)
 _lines = _node(trend.theil_sen, _series)
 _rollup = _node(actors.actor_rollup, _posts)
 _top = _node(actors.actors, _rollup)
-_normal = _node(bursts.normalized, _docs)
+_normal = _node(bursts.normalized, _texts)
 _weights = _node(graph.edge_weights, _edges)
 _degrees = _node(graph.degrees, _edges)
 _parts = Node(graph.author_components, {"edges": _sparse}, graph.COMPONENTS_SQL)
@@ -78,13 +80,13 @@ _templates = _node(similarity.token_sets, _node(bursts.normalized, _node(Operato
 _copies = _node(bursts.exact_copies, _normal)
 _fuzzy = _node(similarity.group_report, _cross, _docs, _cross_links)
 _text_score = _node(similarity.text_coordination, _copies, _fuzzy, _node(actors.actor_hits, _rollup, _top))
-_hits = _node(scoring.lexicon_hits, _docs)
+_hits = _node(scoring.lexicon_hits, _texts)
 # stored, as the domain does: a filter on the tier would otherwise be pushed through the whole formula
 _scores = _node(scoring.outrage_scores, _hits, keep=True)
-_markets = _node(scoring.market_scores, _docs)
+_markets = _node(scoring.market_scores, _texts)
 _reasons = _node(scoring.prefilter, _docs, _markets)
 _keywords = _node(Operator(lambda d: "SELECT 'the' AS keyword UNION ALL SELECT ' Tion ' UNION ALL SELECT 'que' UNION ALL SELECT ''", "region"), "region")
-_topics = _node(text.topic_tokens, _docs)
+_topics = _node(text.topic_tokens, _texts)
 _phrases = _node(text.phrase_counts, _topics)
 _tfidf = _node(text.tfidf, _topics)
 _units = _node(themes.unit_vectors, "embeddings")
@@ -175,7 +177,7 @@ NODES |= {
 _pasta = NODES["copypasta"]
 _tiers = NODES["coordination_tiers"]
 _topterms = NODES["top_terms"]
-_known = _node(labels.known_phrases, _docs)
+_known = _node(labels.known_phrases, _texts)
 _pmi = NODES["phrase_pmi"]
 _label_scores = _node(labels.label_scores, _pmi, _node(labels.phrase_quality, _phrases))
 _first_labels = _node(labels.first_labels, _label_scores)

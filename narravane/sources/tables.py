@@ -12,6 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as the cluster has cores, if a scan of few files gives fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @operator("events")
 def event_posts(d):
     """Posts from an event log: a type is a narrative, a user an author; scores in millionths."""
