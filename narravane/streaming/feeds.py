@@ -37,7 +37,11 @@ def daily_windows(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def sliding_bursts(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """About how many authors of a narrative post within 90 seconds, by windows that slide ten seconds."""
+    """About how many authors of a narrative post within 90 seconds, by windows that slide ten seconds.
+
+    A burst that spans more than 80 seconds may lie in no window as a whole, and authors are counted by a sketch; the
+    batch operator is exact.
+    """
     windows = stream.withWatermark("posted_at", late).groupBy("narrative", F.window("posted_at", "90 seconds", "10 seconds"))
     return windows.agg(F.approx_count_distinct("author_id").alias("authors")).select("narrative", F.col("window.start").alias("start"), "authors")
 
