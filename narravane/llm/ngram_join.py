@@ -68,6 +68,9 @@ SAMPLE = 64
 #: Sets already emitted by a task whose copies it doesn't emit again (only saves work).
 SEEN = 1 << 16
 
+#: Sets are compared with their pivot if their sketches differ by no more than this share of both sizes, or twice the budget (only shifts work).
+AROUND = 0.22
+
 #: Columns of the sketch folded to 256 bits.
 _COARSE = ("s0", "s1", "s2", "s3")
 
@@ -383,14 +386,24 @@ def _cross(entries: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     main = per_pivot.groupBy("key").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("main"))
     marked = entries.join(main, "key").withColumn("rest", F.col("pivot") != F.col("main"))
     side = lambda df, z: df.select("key", *[F.col(c).alias(c + z) for c in ("rep", "band", "n", "comp", "pivot", "least", "rest", *_COARSE)])
-    differ = "+".join(f"bit_count({c}x ^ {c}y)" for c in _COARSE)
     met = side(marked.where("rest"), "x").join(side(marked, "y"), "key")
-    met = met.where((F.col("pivotx") != F.col("pivoty")) & (F.col("compx") != F.col("compy")) & (~F.col("resty") | (F.col("repx") < F.col("repy"))) & _sizes("nx", "ny", percent) & F.expr(f"{differ} <= {_sql_budget('nx', 'ny', percent)}"))
+    met = met.where((F.col("pivotx") != F.col("pivoty")) & (~F.col("resty") | (F.col("repx") < F.col("repy"))) & _may_link(percent))
     pairs = met.select(F.least("repx", "repy").alias("x"), F.greatest("repx", "repy").alias("y"), F.col("bandx").alias("band"), F.greatest("leastx", "leasty").alias("least"))
     pairs = pairs.groupBy("x", "y", "band").agg(F.count(F.lit(1)).alias("k"), F.max("least").alias("least")).where("k >= least").select("x", "y").distinct()
     return _sketched(pairs, records, percent)
 
 
+def _folded() -> list[Column]:
+    """The columns of a sketch folded to 256 bits."""
+    return [F.expr(f"aggregate(filter(sketch, (v, i) -> i % 4 = {i}), 0L, (s, v) -> s ^ v)").alias(c) for i, c in enumerate(_COARSE)]
+
+
+def _may_link(percent: int) -> Column:
+    """Whether x and y are of different components, and their sizes and folded sketches allow a link; for use inside a join."""
+    differ = "+".join(f"bit_count({c}x ^ {c}y)" for c in _COARSE)
+    return (F.col("compx") != F.col("compy")) & _sizes("nx", "ny", percent) & F.expr(f"{differ} <= {_sql_budget('nx', 'ny', percent)}")
+
+
 def _sketched(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y), as (a, b), whose sizes and sketches allow a link."""
     named = lambda z: records.select(F.col("rep").alias(z), F.col("n").alias(f"n{z}"), F.col("sketch").alias(f"s{z}"))
@@ -424,8 +437,10 @@ def _allocated(docs: DataFrame, classes: DataFrame, holders: DataFrame, hot: Dat
     by_deletion = up.select(F.explode("less").alias("key"), F.col("rep").alias("x")).join(whole, "key")
     by_insertion = up.select("key", F.col("rep").alias("x")).join(less, "key")
     # equal subsets of all segments that are not skipped; those that are not hot meet in _cross
-    kept = chosen.where("allow >= 0 AND cost > 0").select("key", F.col("rep").alias("x")).join(whole, "key")
-    met = by_deletion.unionByName(by_insertion).unionByName(kept).where("x < y").select("x", "y").distinct()
+    coarse = written(records.join(holders.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "comp", *_folded()))
+    side = lambda df, z: df.select("key", "rep").join(coarse, "rep").select("key", *[F.col(c).alias(c + z) for c in ("rep", "n", "comp", *_COARSE)])
+    kept = side(chosen.where("allow >= 0 AND cost > 0"), "x").join(side(parts, "y"), "key").where((F.col("repx") < F.col("repy")) & _may_link(percent)).select(F.col("repx").alias("x"), F.col("repy").alias("y"))
+    met = by_deletion.unionByName(by_insertion).where("x < y").select("x", "y").unionByName(kept).distinct()
     of = lambda z: records.select(F.col("rep").alias(z), F.col("comp").alias(f"c{z}"))
     return _sketched(met.join(of("x"), "x").join(of("y"), "y").where("cx <> cy").select("x", "y"), records, percent)
 
@@ -456,8 +471,7 @@ def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> Dat
     classes = written(classes)
     records = classes.select(F.col("node").alias("rep"), "n", "sketch")
 
-    folded = [F.expr(f"aggregate(filter(sketch, (v, i) -> i % 4 = {i}), 0L, (s, v) -> s ^ v)").alias(c) for i, c in enumerate(_COARSE)]
-    entries = written(_shared_subsets(docs, n, percent).withColumnRenamed("c1", "rep").join(records.select("rep", "n", *folded), "rep"))
+    entries = written(_shared_subsets(docs, n, percent).withColumnRenamed("c1", "rep").join(records.select("rep", "n", *_folded()), "rep"))
 
     # the pivot of a record is the member of its subsets with the largest weight: the members of all of its subsets
     crowd = entries.join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key")
@@ -467,8 +481,9 @@ def near_duplicate_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> Dat
     pivots = written(weighed.join(hubs, "key").groupBy("rep").agg(F.max("hub").alias("hub")).select("rep", F.col("hub.rep").alias("pivot")))
     x, y = (records.toDF(*(c + side for c in ("rep", "n", "s"))) for side in "xy")
     tried = pivots.where("rep <> pivot").join(x, pivots.rep == x.repx).join(y, F.col("pivot") == y.repy)
-    # farther sets are compared in their subsets, if at all; the factor only shifts work
-    near = written(tried.where(_sizes("nx", "ny", percent) & (_sketch_distance("sx", "sy") <= 2 * _budget("nx", "ny", percent))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    # farther sets are compared in their subsets, if at all
+    reach = F.greatest(2 * _budget("nx", "ny", percent), F.expr(f"CAST({AROUND} * (nx + ny) AS LONG)"))
+    near = written(tried.where(_sizes("nx", "ny", percent) & (_sketch_distance("sx", "sy") <= reach)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
     compared = _compared(docs, classes, near, n, percent)
     links = written(_links(compared).unionByName(_same_id(filled)))
     comps = written(components(links))

@@ -94,10 +94,11 @@ def dense(seed, docs=700, vocabulary=60, planted=250):
     return texts
 
 
-@pytest.mark.parametrize("hot", [2, 4, 64])
+@pytest.mark.parametrize("hot, around", [(2, 0.22), (4, 0.22), (64, 0.22), (2, 0.0)])
 @pytest.mark.parametrize("percent", [80, 90])
-def test_dense_vocabulary(docs_of, monkeypatch, hot, percent):
+def test_dense_vocabulary(docs_of, monkeypatch, hot, around, percent):
     monkeypatch.setattr(ngram_join, "HOT_KEY", hot)
+    monkeypatch.setattr(ngram_join, "AROUND", around)
     texts = dense(hot)
     want, links = brute(texts, 1, percent)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicate_groups(docs_of(texts), 1, percent).collect()}
