@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.scratch import folder
+from narravane.llm.conversation_repair import repaired
 from narravane.llm.decontamination import contaminated
+from narravane.llm.licenses import license_report
 from narravane.llm.line_quality import quality
 from narravane.llm.merge_dropout import round_trip
+from narravane.llm.merkle_manifest import manifest
 from narravane.llm.ngram_join import near_duplicate_groups
 from narravane.llm.personal_data import personal_report
 from narravane.llm.phrase_fingerprint import with_next
+from narravane.llm.reference import CONVERSATION_SQL, MERKLE_SQL
 from narravane.llm.secrets import secret_report
 from narravane.llm.sharding import shard_documents
 from narravane.llm.token_ledger import rollup
@@ -61,6 +65,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), errors=8)
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_merge_dropout": op1_merge_dropout,
     "op2_url_filter": op2_url_filter,
@@ -72,6 +88,9 @@ QUERIES = {
     "op8_phrase_fingerprint": op8_phrase_fingerprint,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_license_rules": op11_license_rules,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 #: Sets of words, all pairs that share one, and the closure of the links.
 NGRAM_JACCARD_SQL = r"""
@@ -88,4 +107,4 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
 SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op7_ngram_jaccard": NGRAM_JACCARD_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_ngram_jaccard": NGRAM_JACCARD_SQL, "op12_merkle_manifest": MERKLE_SQL, "op13_conversation_repair": CONVERSATION_SQL}
