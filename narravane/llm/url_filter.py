@@ -7,17 +7,21 @@ casino win), path parts are cut at non-letters, and a multinomial naive Bayes
 classifier scores the tokens.
 
 Training is weakly supervised: a page whose host has one of the seed words is an
-unwanted example, any other page a wanted one.  The seed word that makes an
-example is not counted in it, so the model learns the words that stand beside
-seed words (and seed words that stand beside others), not the list itself.
+unwanted example, any other page a wanted one; each seed word stands for some
+unwanted pages beside, average ones but for the seed word, so that one that no
+page has weighs too.  All tokens of an example count.  So the model knows the
+seed words, the words that stand beside them (which block hosts without any seed
+word), and the words of wanted hosts, which can outweigh a seed word among them.
+Both classes count alike beforehand: how many pages of a crawl are unwanted says
+nothing about a host.
 Token counts are taken over all pages; tokens are hashed to a fixed number of
 buckets, so the model is bounded.
 
 The unigram model is the ranked word list of a public tokenizer's vocabulary
-file, whose path is a parameter.
+file, whose path is a parameter, and the seed words.
 
 Cases: a url that is null or has no ``://`` has an empty host and path, fits no
-rule and is judged by the class sizes alone (an empty table allows it); repeated
+rule and is allowed, as any page without known words; repeated
 rows get equal results; ids may be null; other input columns are ignored.
 """
 
@@ -51,6 +55,8 @@ SEEDS = frozenset(
     "casino poker gambling bet bets betting jackpot slots lottery adult porn xxx sex escort pills viagra pharma spam ads adserver "
     "banner popup tracker malware phishing warez torrent crack keygen loan payday".split()
 )
+#: Unwanted pages that each seed word stands for.
+SEED_EXAMPLES = 3
 BUCKETS = 1 << 16
 _LABEL = re.compile(r"[^a-z0-9]+")
 
@@ -93,7 +99,8 @@ class Segmenter:
 
 @lru_cache(maxsize=2)
 def segmenter(path: str) -> Segmenter:
-    return Segmenter(ranked_words(path))
+    ranks = ranked_words(path)
+    return Segmenter(dict.fromkeys(SEEDS, len(ranks)) | ranks)
 
 
 def host_words(host: str, split: Segmenter) -> list[str]:
@@ -106,10 +113,9 @@ def tokens(host: str, path: str, split: Segmenter) -> list[str]:
     return [f"h:{w}" for w in host_words(host, split)] + [f"p:{w}" for w in re.findall(r"[a-z]+", path.lower())]
 
 
-def example(names: list[str]) -> tuple[bool, list[str]]:
-    """Whether the tokens are an unwanted example, and those that count in it: a seed word needs another one beside it."""
-    seeds = {t for t in names if t[:2] == "h:" and t[2:] in SEEDS}
-    return bool(seeds), [t for t in names if t not in seeds] if len(seeds) == 1 else names
+def unwanted(names: list[str]) -> bool:
+    """Whether the tokens are an unwanted example: a word of the host is a seed word."""
+    return any(t[:2] == "h:" and t[2:] in SEEDS for t in names)
 
 
 def _bucket(token: str) -> int:
@@ -135,13 +141,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 @dataclass
 class Bayes:
-    """Log odds (unwanted to wanted) of the token buckets and of the classes."""
+    """Log odds (unwanted to wanted) of the token buckets."""
 
-    prior: float
     odds: np.ndarray
 
     def score(self, names: list[str]) -> float:
-        return self.prior + sum(float(self.odds[_bucket(t)]) for t in names)
+        return sum(float(self.odds[_bucket(t)]) for t in names)
 
 
 def train(pages: DataFrame, words_path: str = WORDS_PATH) -> Bayes:
@@ -152,22 +157,25 @@ def train(pages: DataFrame, words_path: str = WORDS_PATH) -> Bayes:
         for frame in frames:
             seen: Counter = Counter()
             for host, path in zip(frame["host"], frame["path"], strict=True):
-                label, names = example(tokens(host, path, split))
+                names = tokens(host, path, split)
+                label = unwanted(names)
                 seen[(-1, label)] += 1
                 seen.update((_bucket(t), label) for t in names)
             yield pd.DataFrame([(b, l, n) for (b, l), n in seen.items()], columns=["bucket", "label", "n"])
 
     rows = pages.select("host", "path").mapInPandas(count, "bucket int, label boolean, n long").groupBy("bucket", "label").agg(F.sum("n").alias("n")).collect()
-    counts, classes = np.zeros((2, BUCKETS)), [0, 0]  # at most two rows a bucket
+    counts, pages_seen = np.zeros((2, BUCKETS)), 0  # at most two rows a bucket
     for r in rows:
         if r.bucket < 0:
-            classes[r.label] = r.n
+            pages_seen += r.n
         else:
             counts[int(r.label), r.bucket] = r.n
+    counts[1] += SEED_EXAMPLES * len(SEEDS) * counts.sum(axis=0) / max(1, pages_seen)
+    for seed in SEEDS:
+        counts[1, _bucket(f"h:{seed}")] += SEED_EXAMPLES
     used = max(1, int((counts.sum(axis=0) > 0).sum()))
     smooth = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * used))
-    odds = np.where(counts.sum(axis=0) > 0, smooth[1] - smooth[0], 0.0)
-    return Bayes(math.log((classes[1] + 0.5) / (classes[0] + 1.5)), odds)
+    return Bayes(np.where(counts.sum(axis=0) > 0, smooth[1] - smooth[0], 0.0))
 
 
 def judged(pages: DataFrame, rules=RULES, words_path: str = WORDS_PATH) -> DataFrame:

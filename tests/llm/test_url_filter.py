@@ -50,16 +50,18 @@ def test_all_pages_by_rule_and_method(spark):
     names = {i: uf.tokens(*plain(u), SPLIT) for i, u in urls.items()}
     bad = {i: any(t[2:] in uf.SEEDS for t in n if t[0] == "h") for i, n in names.items()}
     model = uf.train(pages.select(*[c.alias(n) for c, n in zip(uf.host_and_path(pages.url), ("host", "path"), strict=True)]))
-    # a seed word counts in an unwanted example only beside another one
-    seeds = {i: {t for t in n if t[0] == "h" and t[2:] in uf.SEEDS} for i, n in names.items()}
-    kept = {i: [t for t in n if len(seeds[i]) != 1 or t not in seeds[i]] for i, n in names.items()}
-    every = [t for n in kept.values() for t in n]
-    used = len({uf._bucket(t) for t in every})
-    for token in set(every):
-        counts = [sum(uf._bucket(t) == uf._bucket(token) for i, n in kept.items() if bad[i] == label for t in n) for label in (False, True)]
-        totals = [sum(len(n) for i, n in kept.items() if bad[i] == label) for label in (False, True)]
-        want = math.log((counts[1] + 0.5) / (totals[1] + 0.5 * used)) - math.log((counts[0] + 0.5) / (totals[0] + 0.5 * used))
-        assert math.isclose(model.odds[uf._bucket(token)], want)
+    # each seed word is three unwanted pages more, of average tokens and the seed word
+    every = [t for n in names.values() for t in n]
+    more = uf.SEED_EXAMPLES * len(uf.SEEDS)
+    seeds = {uf._bucket(f"h:{w}") for w in uf.SEEDS}
+    used = len({uf._bucket(t) for t in every} | seeds)
+    total = {False: sum(len(n) for i, n in names.items() if not bad[i]), True: sum(len(n) for i, n in names.items() if bad[i]) + more * len(every) / len(names) + more}
+    for token in {*every, *(f"h:{w}" for w in uf.SEEDS)}:
+        here = uf._bucket(token)
+        counts = [sum(uf._bucket(t) == here for i, n in names.items() if bad[i] == label for t in n) for label in (False, True)]
+        counts[1] += more * sum(counts) / len(names) + uf.SEED_EXAMPLES * sum(uf._bucket(f"h:{w}") == here for w in uf.SEEDS)
+        want = math.log((counts[1] + 0.5) / (total[True] + 0.5 * used)) - math.log((counts[0] + 0.5) / (total[False] + 0.5 * used))
+        assert math.isclose(model.odds[here], want)
     for r in got:
         host, path = plain(urls[r.page_id])
         rule, verdict = plain_rule(host, path)
@@ -70,17 +72,31 @@ def test_all_pages_by_rule_and_method(spark):
     assert all(r.verdict == "allow" for r in got if r.rule is None and not bad[r.page_id])
 
 
-def test_held_out_hosts_are_found_by_the_words_beside_seed_words(spark):
-    """Trained on some hosts, on others with their seed words masked: unwanted ones score higher."""
-    good, bad, rng = [], [], random.Random(4)
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lone_seed_words_block_and_unknown_hosts_pass(spark, sf):
+    """Whether the table has such a host or not."""
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    model = uf.train(pages.select(*[c.alias(n) for c, n in zip(uf.host_and_path(pages.url), ("host", "path"), strict=True)]))
+    score = lambda host, path="": model.score(uf.tokens(host, path, SPLIT))
+    for seed in uf.SEEDS:
+        assert score(f"{seed}.info") > 0 and score(f"www.{seed}.example.com", "/en/7.html") > 0 and score(f"my-{seed}.biz") > 0
+    for host in ("library.info", "www.wikipedia.org", "garden-history.example.net", "musicmarket.co", "bethlehem.info", "assessments.org", "unknownxqz.com"):
+        assert score(host) <= 0 and score(host, "/en/7.html") <= 0
+
+
+def test_hosts_without_seed_words(spark):
+    """The method isn't its word list: words that stand beside seed words block hosts that have none of them, and words of wanted hosts can outweigh one."""
+    rng = random.Random(4)
     lead, tail = ["cheap", "free", "best", "online", "bonus"], ["market", "garden", "library", "history", "music"]
-    for i in range(400):
-        bad.append((f"{rng.choice(lead)}-{rng.choice(sorted(uf.SEEDS))}{rng.choice(lead)}.example.com", f"/win/{i}"))
-        good.append((f"{rng.choice(tail)}{rng.choice(tail + lead[:1])}.example.com", f"/read/{i}"))
-    model = uf.train(spark.createDataFrame(good[:300] + bad[:300], "host string, path string"))
-    masked = lambda host, path: [t for t in uf.tokens(host, path, SPLIT) if t[2:] not in uf.SEEDS]
-    assert sum(model.score(masked(*x)) > 0 for x in bad[300:]) >= 90
-    assert sum(model.score(masked(*x)) > 0 for x in good[300:]) <= 5
+    host = lambda words: "".join(words) + ".example.com"
+    pages = [(host([rng.choice(lead), rng.choice(sorted(uf.SEEDS)), rng.choice(lead)]), f"/en/{i}") for i in range(300)] + [(host(rng.choices(tail, k=2)), f"/en/{i}") for i in range(900)]
+    model = uf.train(spark.createDataFrame(pages, "host string, path string"))
+    score = lambda words: model.score(uf.tokens(host(words), "/en/1", SPLIT))
+    fresh = [rng.sample(lead, 2) for _ in range(50)]
+    assert all(score(w) > 0 for w in fresh)  # the list passes all of these
+    assert all(score(rng.choices(tail, k=3)) <= 0 for _ in range(50))
+    assert score(["spam", "library", "history", "garden", "music"]) <= 0  # and blocks this one
+    assert score(["spam", "library"]) > score(["library"]) and score(["spam"]) > 0
 
 
 @pytest.mark.parametrize(
