@@ -6,9 +6,12 @@ document), and a transition score ties neighbouring labels.  Forward-backward
 gives each line's probability of being good; the score of a document is their
 mean, weighted by line length.
 
-Training takes the documents of a bounded sample of labelled rows; each line of
-such a document carries the document's label.  Only their line features reach
-the driver.  Scoring runs over all documents in Arrow batches.
+Training takes the documents of a bounded sample of labelled rows.  A line of
+such a document carries the document's label.  So that labels change inside
+documents too, each of them is taken once more with a block of lines from a
+document of the other label put into it; its features (neighbours, repetition)
+are those of the mixed text.  Only line features reach the driver.  Scoring runs
+over all documents in Arrow batches.
 
 Cases: a null or empty text has one empty line and gets a score from it; very
 long texts are scored whole; repeated rows and null ids are scored like any
@@ -31,8 +34,8 @@ from narravane.llm.textarrays import LOWER, mix, slices, span_hashes, words
 
 #: Labelled documents that training takes at most, the first ones in the order of a hash.
 TRAIN_DOCS = 2000
-#: Lines of those documents at most.
-TRAIN_LINES = 400_000
+#: Lines of a document that may be among them, and of all of them at most.
+DOC_LINES, TRAIN_LINES = 20_000, 400_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -161,11 +164,11 @@ class Chain:
 
     @classmethod
     def fit(cls, x: np.ndarray, bounds: np.ndarray, good: np.ndarray, rounds: int = 100, rate: float = 0.1, shrink: float = 1e-3) -> Chain:
-        """Maximum likelihood by Adam; ``good`` is the 0/1 label of each row."""
-        model, n = cls(), max(1, len(good))
-        y = np.repeat(good.astype(float), np.diff(bounds))
-        steps = np.maximum(np.diff(bounds) - 1, 0)
-        seen = np.array([[steps[good == 0].sum(), 0], [0, steps[good == 1].sum()]], float)
+        """Maximum likelihood by Adam; ``good`` is the 0/1 label of each line."""
+        model, n, y = cls(), max(1, len(bounds) - 1), good.astype(float)
+        inside = np.ones(max(0, len(good) - 1), bool)
+        inside[bounds[1:-1] - 1] = False  # the last line of a document and the first of the next
+        seen = np.bincount(2 * good[:-1][inside] + good[1:][inside], minlength=4).reshape(2, 2).astype(float)
         flat = np.concatenate((model.weights, model.moves.ravel()))
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         for r in range(1, rounds + 1):
@@ -188,31 +191,56 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x, size, bounds = line_features(raw, off)
             n = np.diff(bounds)
             lists = pa.ListArray.from_arrays(pa.array(bounds * LINE_FEATURES, pa.int32()), pa.array(x.ravel(), pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")).cast(pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "lines", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), lists, part.column(part.schema.get_field_index("good"))], ["lines", "features", "good"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Chain:
-    """Fits the chain on at most ``sample`` labelled documents outside the held-out fold, which have at most ``lines`` lines in all.
-
-    They are the first by a hash of their id; of rows that repeat an id the one with the least text counts.
-    """
+def line_sample(docs: DataFrame, labels: DataFrame, sample: int, lines: int, doc_lines: int) -> DataFrame:
+    """(doc_id, good, text) of the labelled documents that training takes; see ``train``."""
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out())
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg("quality")).cast("int").alias("good"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text"))  # at most ``sample`` rows from here on
     # a line ends at a line break, so there is at most one more than those
+    breaks = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1)).alias("lines")).where(F.col("lines") <= doc_lines)
     so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    breaks = rows.select("doc_id", F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1)).alias("lines"))
     taken = breaks.withColumn("sum", F.sum("lines").over(so_far)).where(F.col("sum") <= lines).select("doc_id")
-    featured = rows.join(F.broadcast(taken), "doc_id", "left_semi").mapInArrow(_feature_rows, "doc_id long, lines int, features array<float>")
-    got = featured.join(F.broadcast(chosen), "doc_id").toArrow()  # at most ``lines`` lines
+    return rows.join(F.broadcast(taken), "doc_id", "left_semi")
+
+
+def spliced(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, good): each of the ``rows`` with the first half of a document of the other label put in; ``good`` has a label for each line.
+
+    Documents of a label are numbered by a hash, and take turns.
+    """
+    lined = rows.select("doc_id", "good", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("own"))
+    numbered = lined.withColumn("k", F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1)
+    counts = numbered.groupBy((1 - F.col("good")).alias("good")).agg(F.count(F.lit(1)).alias("others"))
+    turn = numbered.join(F.broadcast(counts), "good").withColumn("turn", F.pmod("k", "others")).withColumn("other_good", 1 - F.col("good"))
+    other = numbered.select(F.col("good").alias("other_good"), F.col("k").alias("turn"), F.expr("slice(own, 1, (size(own) + 1) DIV 2)").alias("block"))
+    # a place in the middle half
+    cut = F.expr("CAST(size(own) * (0.25 + pmod(xxhash64(doc_id, 1), 1000) / 2000D) AS INT)")
+    mixed = turn.join(other, ["other_good", "turn"]).withColumn("cut", cut)
+    text = F.expr("array_join(concat(slice(own, 1, cut), block, slice(own, cut + 1, size(own) - cut)), '\n')")
+    good = F.expr("concat(array_repeat(good, cut), array_repeat(1 - good, size(block)), array_repeat(good, size(own) - cut))")
+    return mixed.select("doc_id", text.alias("text"), good.alias("good"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: int = TRAIN_LINES, doc_lines: int = DOC_LINES) -> Chain:
+    """Fits the chain on at most ``sample`` labelled documents outside the held-out fold, which have at most ``lines`` lines in all.
+
+    They are the first by a hash of their id among those with at most ``doc_lines`` lines each; of rows that repeat an
+    id the one with the least text counts.  Mixed documents come on top, with at most one and a half times as many lines.
+    """
+    rows = line_sample(docs, labels, sample, lines, min(doc_lines, lines))
+    whole = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array_repeat("good", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("good"))
+    both = whole.unionByName(spliced(rows))
+    got = both.mapInArrow(_feature_rows, "lines int, features array<float>, good array<int>").toArrow()
     if not got.num_rows:
         return Chain()
-    n = got.column("lines").to_numpy()
-    x = got.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, LINE_FEATURES)
-    bounds = np.concatenate(([0], np.cumsum(n)))
-    return Chain.fit(with_neighbours(x, bounds), bounds, got.column("good").to_numpy())
+    x, good = (got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("features", "good"))
+    bounds = np.concatenate(([0], np.cumsum(got.column("lines").to_numpy())))
+    return Chain.fit(with_neighbours(x.astype(float).reshape(-1, LINE_FEATURES), bounds), bounds, good)
 
 
 def scores_of(model: Chain, raw: np.ndarray, off: np.ndarray) -> np.ndarray:

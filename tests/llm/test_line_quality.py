@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from narravane.llm import line_quality as lq
 from narravane.llm.textarrays import as_bytes
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -70,3 +71,53 @@ def test_cases(spark, docs_of):
     assert lq.quality(docs_of([]), labels).count() == 0
     kept = lq.score(docs, lq.Chain()).collect()
     assert len(kept) == 6 and kept[0].score == 0.5 and kept[0].lang == "en"
+
+
+def test_one_long_document_does_not_end_the_sample(spark):
+    """The first labelled document in the order of the hash gets more lines than a document may have."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    usable = lq.line_sample(docs, labels, lq.TRAIN_DOCS, lq.TRAIN_LINES, lq.DOC_LINES)
+    first = usable.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    long = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("a line\n"), lq.TRAIN_LINES + 1)).otherwise(F.col("text")))
+    assert lq.line_sample(long, labels, lq.TRAIN_DOCS, lq.TRAIN_LINES, lq.DOC_LINES).count() == usable.count() - 1
+    fold = [r.doc_id for r in labels.where(lq.held_out()).collect()]
+    before, after = ({r.doc_id: r.predicted for r in lq.quality(d, labels).where(F.col("doc_id").isin(fold)).collect()} for d in (docs, long))
+    assert sum(before[d] == after[d] for d in fold) >= 0.98 * len(fold) and len(set(after.values())) == 2
+
+
+def test_the_number_of_lines_is_bounded(spark, docs_of):
+    docs = docs_of(["a\nb\nc", "d", "e\nf", None, "g\nh\ni\nj\nk"])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int").where(~lq.held_out())
+    for lines, each in ((100, 3), (4, 2), (2, 2), (1, 1)):
+        texts = [r.text or "" for r in lq.line_sample(docs, labels, 10, lines, each).collect()]
+        assert all(t.count("\n") < each for t in texts) and sum(t.count("\n") + 1 for t in texts) <= lines and texts
+
+
+def test_mixed_documents_have_a_label_for_each_line(spark, docs_of):
+    texts = ["g1\ng2\ng3\ng4", "b1\nb2\nb3", None, "b9", "g7"]
+    rows = docs_of(texts).selectExpr("doc_id", "CASE WHEN doc_id IN (1, 3) THEN 0 ELSE 1 END AS good", "text")
+    got = {r.doc_id: (r.text.split("\n"), r.good) for r in lq.spliced(rows).collect()}
+    assert set(got) == set(range(5))
+    for d, (lines, good) in got.items():
+        assert len(lines) == len(good) and set(good) == {0, 1}
+        assert [x for x, g in zip(lines, good, strict=True) if g == (d not in (1, 3))] == (texts[d] or "").split("\n")
+        assert all((x[:1] != "b") == bool(g) for x, g in zip(lines, good, strict=True))
+    assert lq.spliced(rows.where("good = 1")).count() == 0
+
+
+def test_lines_of_mixed_documents(spark):
+    """Held-out documents spliced with one another: the chain tells the lines apart, not only the documents."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = lq.train(docs, labels)
+    fold = docs.join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id").where(lq.held_out()).select("doc_id", "good", "text")
+    right = lines = changed = plain = 0
+    for r in lq.spliced(fold).collect():
+        raw, off = as_bytes(pa.array([r.text]))
+        x, size, bounds = lq.line_features(raw, off)
+        p, _ = model.marginals(lq.with_neighbours(x, bounds), bounds)
+        right += ((p >= 0.5) == np.array(r.good)).sum()
+        lines += len(p)
+        plain += max(sum(r.good), len(r.good) - sum(r.good))
+        changed += 0 < (p >= 0.5).sum() < len(p)
+    assert lines > 500 and changed > 20
+    assert right / lines > max(0.85, plain / lines), (right / lines, plain / lines)
