@@ -53,7 +53,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item occurs, up to its edit budget; the text alone decides."""
     keyed = docs.withColumn("_pipeline_key", F.xxhash64("text"))
-    found = contaminated(keyed.select(F.col("_pipeline_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), errors=8)
+    found = contaminated(keyed.select(F.col("_pipeline_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), errors=10)
     leaking = written(found.select(F.col("doc_id").alias("_pipeline_key")).distinct())
     return keyed.join(leaking, "_pipeline_key", "left_anti").select(docs.columns)
 
