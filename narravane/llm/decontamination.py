@@ -41,9 +41,9 @@ BLOCK_CHARS = 20_000_000
 #: Lengths of pieces; an item takes the largest that leaves enough of them.
 PIECES = (1, 2, 3, 4, 5, 6, 8, 12, 24)
 #: Characters of a text that are hashed in one step.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Texts of one slice, in characters (a longer one is a slice of its own).
-SLICE = 1 << 20
+SLICE = 1 << 18
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 
 _SOLID = re.compile(r"\S+")

@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narravane.functions.scratch import written
 from narravane.llm.textarrays import LOWER, mix, slices, span_hashes, words
 
 #: Labelled documents that training takes at most, the first ones in the order of a hash.
 TRAIN_DOCS = 2000
 #: Lines of a document that may be among them, and of all of them at most.
 DOC_LINES, TRAIN_LINES = 20_000, 400_000
+#: Bytes of text that one step of a task works on.
+SLICE = 1 << 18
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -187,7 +190,7 @@ def held_out() -> Column:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, raw, off in slices(batch, "text"):
+        for part, raw, off in slices(batch, "text", SLICE):
             x, size, bounds = line_features(raw, off)
             n = np.diff(bounds)
             lists = pa.ListArray.from_arrays(pa.array(bounds * LINE_FEATURES, pa.int32()), pa.array(x.ravel(), pa.float32()))
@@ -232,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: i
     They are the first by a hash of their id among those with at most ``doc_lines`` lines each; of rows that repeat an
     id the one with the least text counts.  Mixed documents come on top, with at most one and a half times as many lines.
     """
-    rows = line_sample(docs, labels, sample, lines, min(doc_lines, lines))
+    rows = written(line_sample(docs, labels, sample, lines, min(doc_lines, lines)))  # read twice
     whole = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array_repeat("good", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).alias("good"))
     both = whole.unionByName(spliced(rows))
     got = both.mapInArrow(_feature_rows, "lines int, features array<float>, good array<int>").toArrow()
@@ -258,7 +261,7 @@ def score(docs: DataFrame, model: Chain) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.zeros(0)]
-            for _, raw, off in slices(batch, "text"):
+            for _, raw, off in slices(batch, "text", SLICE):
                 values.append(scores_of(model, raw, off))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(values))], [*batch.schema.names, "score"])
 
@@ -273,7 +276,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            values = [scores_of(model, raw, off) for _, raw, off in slices(batch, "text")]
+            values = [scores_of(model, raw, off) for _, raw, off in slices(batch, "text", SLICE)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([np.zeros(0), *values]))], ["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
