@@ -19,6 +19,18 @@ def unit_vectors(d):
     return f"WITH n AS (SELECT vec_id, label, embedding, {d.dot('embedding', 'embedding')} AS s FROM embeddings) SELECT vec_id, label, {scaled} AS v FROM n WHERE s > 0"
 
 
+@operator("units")
+def lifted_vectors(d):
+    """Unit vectors with themes in them: each is moved towards an axis of its label, of a pair of labels, and of a part of it.
+
+    The given embeddings are noise around the origin; so there is something to find, from the same rows.
+    """
+    i = "i" if d.name == "spark" else "i - 1"
+    moved = f"x + CASE WHEN {i} = label THEN 1e0 WHEN {i} = 10 + {d.div('label', '2')} THEN 6e-1 WHEN {i} = 20 + vec_id % 3 + 3 * (label % 2) THEN 6e-1 ELSE 0e0 END"
+    each = (lambda body, array: f"transform({array}, (x, i) -> {body})") if d.name == "spark" else (lambda body, array: f"list_transform({array}, lambda x, i: {body})")
+    return f"WITH m AS (SELECT vec_id, label, {each(moved, 'v')} AS w FROM units), n AS (SELECT vec_id, label, w, sqrt({d.dot('w', 'w')}) AS size FROM m) SELECT CAST(0 AS BIGINT) AS scope, vec_id, label, {each('x / size', 'w')} AS v FROM n"
+
+
 @operator("units")
 def neighbours(d):
     """Ordered pairs of the same label whose cosine distance is at most the radius."""

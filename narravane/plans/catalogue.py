@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, coordination, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
 from narravane.sources import tables
 
 
@@ -220,6 +220,26 @@ NODES |= {
     "discovered_authors": _node(analyst.discovered, _posts, _edges),
 }
 
+# themes that are found, not given
+_lifted = _node(themes.lifted_vectors, _units, keep=True)
+_knn = Node(clustering.knn, {"vectors": _lifted}, clustering.KNN_SQL)
+_radii = _node(clustering.radius(), _node(Operator(lambda d: "SELECT scope, distance, 1 AS n FROM distances", "distances"), _knn))
+# the radius is an input of the reference alone
+_found = Node(lambda vectors, radii: clustering.density_clusters(vectors), {"vectors": _lifted, "radii": _radii}, clustering.DENSITY_SQL, keep=True)
+_inside = Node(lambda vectors, members: clustering.inner_vectors(vectors, members, clustering.REFINE), {"vectors": _lifted, "members": _found}, "SELECT m.cluster AS scope, m.vec_id, v.v FROM members m JOIN vectors v ON v.vec_id = m.vec_id WHERE m.cluster >= 0 AND m.cluster IN (SELECT cluster FROM members GROUP BY cluster HAVING count(*) >= 8)", keep=True)
+_inside_radii = _node(clustering.radius(), _node(Operator(lambda d: "SELECT scope, distance, 1 AS n FROM distances", "distances"), Node(clustering.knn, {"vectors": _inside}, clustering.KNN_SQL)))
+_inside_found = Node(lambda vectors, radii: clustering.density_clusters(vectors), {"vectors": _inside, "radii": _inside_radii}, clustering.DENSITY_SQL, keep=True)
+_quarters = _node(Operator(lambda d: "SELECT scope, vec_id, min(vec_id) OVER (PARTITION BY label, vec_id % 4) AS cluster FROM vectors", "vectors"), _lifted, keep=True)
+_centres_sql = "SELECT cluster, size, list_transform(list(m ORDER BY i), lambda x: x / norm) AS v FROM (SELECT cluster, i, avg(x) AS m, count(*) AS size, sqrt(sum(avg(x) * avg(x)) OVER (PARTITION BY cluster)) AS norm FROM (SELECT m.cluster, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS i FROM members m JOIN vectors v ON v.vec_id = m.vec_id WHERE m.cluster >= 0) f GROUP BY cluster, i) g GROUP BY cluster, size, norm"
+_quarter_centres = Node(clustering.centroids, {"vectors": _lifted, "members": _quarters}, _centres_sql, keep=True)
+_merge_pairs = Node(clustering.merge_pairs, {"centres": _quarter_centres}, "SELECT a.cluster AS l, b.cluster AS r, floor(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) * 1e6 + 5e-1) / 1e6 AS cosine FROM centres a JOIN centres b ON a.cluster < b.cluster WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) >= 93e-2", keep=True)
+_cap = _node(Operator(lambda d: "SELECT CAST(least(48, greatest(12, floor(count(*) * 32e-2))) AS BIGINT) AS cap FROM members", "members"), _quarters)
+_greedy = Node(lambda pairs, sizes, cap: clustering.greedy_merges(pairs, sizes, cap.first().cap), {"pairs": _merge_pairs, "sizes": _quarter_centres, "cap": _cap}, clustering.GREEDY_SQL)
+NODES |= {
+    "knn_distances": _knn, "adaptive_radius": _radii, "theme_clusters": _found, "refined_themes": _node(clustering.split_clusters, _found, _inside_found), "merge_pairs": _merge_pairs, "merged_themes": _greedy,
+    "merge_tree": Node(clustering.merge_tree, {"centres": _quarter_centres}, clustering.TREE_SQL),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
