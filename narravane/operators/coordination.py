@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 from narravane.functions.dialect import operator, rounded
 
 
@@ -84,22 +81,3 @@ def failed_gates(d):
     return """
     SELECT 'has posts' AS gate, CAST(count_if(posts = 0) AS BIGINT) AS failed FROM snapshots UNION ALL SELECT 'authors within posts', CAST(count_if(authors > posts) AS BIGINT) FROM snapshots
     UNION ALL SELECT 'has trend', CAST(count_if(trend IS NULL) AS BIGINT) FROM snapshots UNION ALL SELECT 'graph adds up', CAST(count_if(connected + isolated <> authors) AS BIGINT) FROM snapshots"""
-
-
-def drift(overlap: DataFrame) -> DataFrame:
-    """One-to-one matches of old and new clusters, best overlap first.
-
-    ``overlap``: (narrative, before, after, jaccard).  The choice depends on
-    order, so a narrative's few hundred cluster pairs are taken together.
-    """
-
-    def greedy(frame: pd.DataFrame) -> pd.DataFrame:
-        old, new, rows = set(), set(), []
-        for r in frame.sort_values(["jaccard", "before", "after"], ascending=[False, True, True]).itertuples():
-            if r.before not in old and r.after not in new:
-                old.add(r.before)
-                new.add(r.after)
-                rows.append((r.narrative, r.before, r.after, r.jaccard))
-        return pd.DataFrame(rows, columns=["narrative", "before", "after", "jaccard"])
-
-    return overlap.where("jaccard >= 0.35").groupBy("narrative").applyInPandas(greedy, "narrative string, before long, after long, jaccard double")

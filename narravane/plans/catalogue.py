@@ -11,9 +11,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narravane.functions.dialect import Operator, with_inputs
+from narravane.functions.dialect import Operator, rounded, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, clustering, coordination, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
 from narravane.sources import tables
 
 
@@ -240,11 +240,39 @@ NODES |= {
     "merge_tree": Node(clustering.merge_tree, {"centres": _quarter_centres}, clustering.TREE_SQL),
 }
 
+# weekly clusters of authors, matched with those of the week before
+_week_overlap = _node(Operator(lambda d: f"SELECT CAST(week AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS narrative, CAST(ascii(before) * 1000 + ascii(substring(before, 2, 1)) AS BIGINT) AS before, CAST(ascii(after) * 1000 + ascii(substring(after, 2, 1)) AS BIGINT) AS after, jaccard FROM lineage", "lineage"), _lineage, keep=True)
+# two snapshots of the posts that have vectors: labels as old themes, new ones with parts split off, united, lost and found
+_vector_posts = _node(Operator(lambda d: "SELECT v.label, p.post_id, p.author_id, p.at_us, concat(p.text, ' theme', CAST(v.label AS STRING)) AS text FROM vectors v JOIN posts p ON p.post_id = v.vec_id", "vectors", "posts"), _lifted, _docs)
+_old_posts = _node(Operator(lambda d: "SELECT 'all' AS narrative, CAST(label AS BIGINT) AS theme, post_id, author_id, at_us, text FROM posts WHERE label < 9", "posts"), _vector_posts)
+_new_posts = _node(
+    Operator(lambda d: "SELECT 'all' AS narrative, CAST(CASE WHEN label = 0 THEN 100 + post_id % 2 WHEN label IN (1, 2) THEN 112 ELSE 100 + 10 * label END AS BIGINT) AS theme, post_id, author_id, at_us, CASE WHEN label = 4 THEN concat(' renamed wording stands here instead ', 'often often often') ELSE text END AS text FROM posts WHERE label <> 8", "posts"),
+    _vector_posts,
+)
+
+
+def _theme_labels(posts: Node) -> Node:
+    """(narrative, theme, labels, distinctive): the first five terms of each theme, and the share of its top ten that no other has."""
+    named = _node(Operator(lambda d: f"SELECT post_id, CAST(theme AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS narrative, text FROM posts", "posts"), posts)
+    return _node(
+        Operator(
+            lambda d: f"WITH o AS (SELECT term, count(*) AS themes FROM terms GROUP BY term) SELECT 'all' AS narrative, CAST(t.narrative AS BIGINT) AS theme, {'transform(array_sort(collect_list(CASE WHEN t.k <= 5 THEN struct(t.k, t.term) END)), x -> x.term)' if d.name == 'spark' else 'list(t.term ORDER BY t.k) FILTER (WHERE t.k <= 5)'} AS labels, {rounded('sum(CASE WHEN o.themes = 1 THEN 1e0 ELSE 0e0 END) / 10')} AS distinctive FROM terms t JOIN o ON o.term = t.term GROUP BY t.narrative",
+            "terms",
+        ),
+        _node(text.top_terms, _node(text.topic_tokens, named), keep=True), keep=True,
+    )
+
+
+_overlap = _node(drift.overlaps, _old_posts, _new_posts, keep=True)
+_matched = Node(drift.matches, {"overlap": _overlap}, drift.MATCHES_SQL, keep=True)
+NODES |= {
+    "drift": Node(drift.matches, {"overlap": _week_overlap}, drift.MATCHES_SQL), "theme_overlaps": _overlap, "theme_matches": _matched, "drift_report": _node(drift.drift_report, _theme_labels(_old_posts), _theme_labels(_new_posts), _overlap, _matched),
+}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
     "silhouette": lambda spark, folder: themes.silhouette(tables.table(spark, folder, "embeddings")),
-    "drift": lambda spark, folder: coordination.drift(_lineage.frame(spark, folder).selectExpr("CAST(week AS STRING) AS narrative", "CAST(crc32(before) AS BIGINT) AS before", "CAST(crc32(after) AS BIGINT) AS after", "jaccard")),
     "centroid_map": lambda spark, folder: themes.centroid_map(tables.table(spark, folder, "embeddings")),
 }
 
