@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, rounded, with_inputs
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, themes, trend, upkeep, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, watch
 from narravane.sources import tables
 
 
@@ -269,10 +269,51 @@ NODES |= {
     "drift": Node(drift.matches, {"overlap": _week_overlap}, drift.MATCHES_SQL), "theme_overlaps": _overlap, "theme_matches": _matched, "drift_report": _node(drift.drift_report, _theme_labels(_old_posts), _theme_labels(_new_posts), _overlap, _matched),
 }
 
+# what follows for the themes that were found: their posts, facts, quality and labels
+_found_members = _node(Operator(lambda d: f"SELECT CAST(cluster AS {'STRING' if d.name == 'spark' else 'VARCHAR'}) AS theme, vec_id AS post_id FROM members WHERE cluster >= 0", "members"), _found, keep=True)
+_found_posts = _node(Operator(lambda d: "SELECT m.theme AS narrative, p.post_id, p.author_id, p.at_us, p.text FROM members m JOIN posts p ON p.post_id = m.post_id", "members", "posts"), _found_members, _vector_posts)
+_found_topics = _node(text.topic_tokens, _found_posts, keep=True)
+_found_units = _node(Operator(lambda d: "SELECT v.vec_id, m.theme AS label, v.v FROM vectors v JOIN members m ON m.post_id = v.vec_id", "vectors", "members"), _lifted, _found_members)
+_found_hits = _node(scoring.lexicon_hits, _found_posts)
+_found_markets = _node(scoring.market_scores, _found_posts)
+_found_scores = _node(theme_labels.contrast_scores, _found_topics, _node(labels.known_phrases, _found_posts), keep=True)
+_found_weights = _node(labels.label_scores, _found_scores, _node(labels.phrase_quality, _found_scores))
+_found_facts = _node(labels.theme_facts, _found_members, _node(Operator(lambda d: "SELECT label AS theme, cohesion FROM cohesions", "cohesions"), _node(themes.cohesion, _found_units)), _node(analyst.lexicon_strength, _found_hits), _found_markets, _found_topics)
+_found_quality = _node(labels.theme_quality, _found_facts, _node(labels.market_labels, _node(labels.first_labels, _found_weights)))
+NODES |= {
+    "contrast_scores": _found_scores, "found_theme_facts": _found_facts, "found_theme_quality": _found_quality, "found_theme_order": _node(labels.theme_order, _found_quality), "found_theme_cards": _node(labels.theme_cards, _found_quality),
+    "found_relatedness": _node(labels.relatedness, _node(text.top_terms, _found_topics), _node(labels.known_phrases, _found_posts)), "found_author_entropy": _node(themes.author_entropy, _found_posts),
+}
+
+
+def _exclusive(spark: SparkSession, folder: str) -> DataFrame:
+    made: dict = {}
+    weights, scores = (n.frame(spark, folder, made) for n in (_found_scores, _found_weights))
+    quality = labels.phrase_quality(weights)
+    rows = weights.select("narrative", "phrase", "weight").join(scores.select("narrative", "phrase", "score"), ["narrative", "phrase"]).join(quality, "phrase")
+    return theme_labels.exclusive_labels(rows)
+
+
+def _found_themes(spark: SparkSession, folder: str) -> DataFrame:
+    """Themes of the posts that have vectors, on the whole way: merging asks for related texts, copied posts stay together."""
+    made: dict = {}
+    vectors, posts, groups = (n.frame(spark, folder, made) for n in (_lifted, _vector_posts, _cross))
+
+    def related(members: DataFrame) -> DataFrame:
+        named = members.where("cluster >= 0").selectExpr("vec_id AS post_id", "CAST(cluster AS STRING) AS narrative").join(posts, "post_id")
+        pairs = labels.relatedness(text.top_terms(text.topic_tokens(named)), labels.known_phrases(named))
+        return pairs.selectExpr("CAST(a AS LONG) AS a", "CAST(b AS LONG) AS b", "related", "score")
+
+    found, method = clustering.themes(vectors, groups.select("group_id", "post_id"), related)
+    return found.selectExpr("vec_id", "theme", f"'{method}' AS method")
+
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
     "silhouette": lambda spark, folder: themes.silhouette(tables.table(spark, folder, "embeddings")),
+    "exclusive_labels": _exclusive,
+    "found_themes": _found_themes,
     "centroid_map": lambda spark, folder: themes.centroid_map(tables.table(spark, folder, "embeddings")),
 }
 
