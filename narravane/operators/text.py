@@ -13,6 +13,10 @@ STOP_WORDS = (
 SPACES = r"[ \t\n\r\f]+"
 
 
+#: Fixed value: terms of a vector.
+FEATURES = 384
+
+
 @operator("posts")
 def cleaned(d):
     """Text without links and mentions, tags unwrapped, white space collapsed."""
@@ -87,14 +91,29 @@ def term_lift(d):
     SELECT narrative, term, n, {rounded("(CAST(n AS DOUBLE) / own) / (CAST(everywhere - n + 1 AS DOUBLE) / (total - own + 1))", 3)} AS lift FROM a WHERE n >= 5"""
 
 
+def _weighted(d, flat: str) -> str:
+    """Tf-idf weights of the 384 most frequent terms of ``flat``, a text that gives (post_id, term) for each occurrence.
+
+    The vocabulary comes first, so other terms never reach the grouping by post.
+    """
+    return f"""
+    WITH v AS (SELECT term, count(*) AS n FROM ({flat}) x GROUP BY term ORDER BY n DESC, term LIMIT {FEATURES}), c AS (SELECT count(*) AS docs FROM topics),
+    f AS (SELECT x.post_id, x.term, count(*) AS tf FROM ({flat}) x JOIN v ON x.term = v.term GROUP BY x.post_id, x.term), i AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+    w AS (SELECT f.post_id, f.term, (1e0 + ln(f.tf)) * (ln((1e0 + c.docs) / (1e0 + i.df)) + 1e0) AS w FROM f JOIN i ON f.term = i.term CROSS JOIN c)
+    SELECT post_id, term, {rounded("w / sqrt(sum(w * w) OVER (PARTITION BY post_id))", 5)} AS weight FROM w"""
+
+
 @operator("topics")
 def tfidf(d):
     """Sublinear tf-idf weights, scaled to unit length, of the 384 most frequent terms."""
-    return f"""
-    WITH f AS (SELECT post_id, term, count(*) AS tf FROM topics {d.unnest("tokens", "term")} GROUP BY post_id, term),
-    v AS (SELECT term, count(*) AS df, sum(tf) AS n FROM f GROUP BY term ORDER BY n DESC, term LIMIT 384), c AS (SELECT count(*) AS docs FROM topics),
-    w AS (SELECT f.post_id, f.term, (1e0 + ln(f.tf)) * (ln((1e0 + c.docs) / (1e0 + v.df)) + 1e0) AS w FROM f JOIN v ON f.term = v.term CROSS JOIN c)
-    SELECT post_id, term, {rounded("w / sqrt(sum(w * w) OVER (PARTITION BY post_id))", 5)} AS weight FROM w"""
+    return _weighted(d, f"SELECT post_id, term FROM topics {d.unnest('tokens', 'term')}")
+
+
+@operator("topics")
+def tfidf_bigrams(d):
+    """Sublinear tf-idf weights, scaled to unit length, of the 384 most frequent terms and pairs of neighbouring terms."""
+    both = f"concat(tokens, {d.grams('tokens', 2)})" if d.name == "spark" else f"list_concat(tokens, {d.grams('tokens', 2)})"
+    return _weighted(d, f"SELECT post_id, term FROM topics {d.unnest(both, 'term')}")
 
 
 @operator("weights")

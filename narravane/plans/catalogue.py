@@ -12,8 +12,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from narravane.functions.dialect import Operator, rounded, with_inputs
+from narravane.functions.scratch import folder as scratch_folder
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, vector_store, watch
 from narravane.sources import tables
 
 
@@ -88,7 +89,9 @@ _reasons = _node(scoring.prefilter, _docs, _markets)
 _keywords = _node(Operator(lambda d: "SELECT 'the' AS keyword UNION ALL SELECT ' Tion ' UNION ALL SELECT 'que' UNION ALL SELECT ''", "region"), "region")
 _topics = _node(text.topic_tokens, _texts)
 _phrases = _node(text.phrase_counts, _topics)
-_tfidf = _node(text.tfidf, _topics)
+# read three times
+_kept_topics = _node(text.topic_tokens, _texts, keep=True)
+_tfidf = _node(text.tfidf, _kept_topics)
 _units = _node(themes.unit_vectors, "embeddings")
 _near = _node(themes.neighbours, _units, keep=True)
 _clusters = Node(themes.density_clusters, {"pairs": _near}, themes.CLUSTERS_SQL)
@@ -150,7 +153,7 @@ NODES: dict[str, Node] = {
     "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
     "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),
     "cleaned_text": _node(text.cleaned, _docs), "hashtags": _node(text.hashtags, _docs), "stripped_html": _node(text.stripped_html, "pages"), "token_counts": _node(text.token_counts, _topics), "phrase_counts": _phrases,
-    "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _pmi, "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_norms": _node(text.tfidf_norms, _tfidf),
+    "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _pmi, "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_bigrams": _node(text.tfidf_bigrams, _kept_topics), "tfidf_norms": _node(text.tfidf_norms, _tfidf),
     "turn_pairs": _node(text.turn_pairs, "conversations"), "json_fields": _node(text.json_fields, "events"),
     "cosine_neighbours": _near, "density_clusters": _clusters, "cohesion": _node(themes.cohesion, _units), "davies_bouldin": _node(themes.davies_bouldin, _units), "purity": _node(themes.purity, _clusters, _units), "author_entropy": _node(themes.author_entropy, _posts),
     "keyword_stats": _stats, "protected_keywords": _node(upkeep.protected_keywords, _stats), "explore_order": _node(upkeep.explore_order, _stats), "recent_yield": _node(upkeep.recent_yield, _runs), "round_robin": _node(upkeep.round_robin, _stats),
@@ -308,6 +311,8 @@ def _found_themes(spark: SparkSession, folder: str) -> DataFrame:
     return found.selectExpr("vec_id", "theme", f"'{method}' AS method")
 
 
+NODES |= {"vector_store": Node(lambda docs: vector_store.runs(docs, scratch_folder(docs.sparkSession)), {"documents": "documents"}, vector_store.RUNS_SQL)}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
