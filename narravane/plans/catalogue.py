@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from narravane.functions.dialect import Operator, rounded, with_inputs
 from narravane.functions.scratch import folder as scratch_folder
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, vector_store, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keyword_audit, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, vector_store, watch
 from narravane.sources import tables
 
 
@@ -150,7 +150,7 @@ NODES: dict[str, Node] = {
     "topology": _node(graph.topology, _edges), "priority_authors": _node(graph.priority_authors, _posts, _degrees),
     "similar_pairs": _pairs, "author_groups": _own, "cross_author_groups": _cross, "author_group_report": _node(similarity.group_report, _own, _docs, _own_links), "cross_group_report": _fuzzy,
     "author_spam": _node(similarity.author_spam, _own, _docs), "copypasta": _node(similarity.copypasta, _sets, _templates), "text_coordination": _text_score,
-    "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": _node(scoring.ingest_gate, _reasons, _docs, _keywords),
+    "lexicon_hits": _hits, "outrage_scores": _scores, "market_scores": _markets, "prefilter": _reasons, "ingest_gate": Node(keyword_audit.ingest_gate, {"reasons": _reasons, "posts": _docs, "keywords": _keywords}, scoring.ingest_gate.reference()),
     "tier_counts": _node(scoring.tier_counts, _scores, _docs), "label_calibration": _node(scoring.label_calibration, _scores, "labels"),
     "cleaned_text": _node(text.cleaned, _docs), "hashtags": _node(text.hashtags, _docs), "stripped_html": _node(text.stripped_html, "pages"), "token_counts": _node(text.token_counts, _topics), "phrase_counts": _phrases,
     "top_terms": _node(text.top_terms, _topics), "phrase_pmi": _pmi, "term_lift": _node(text.term_lift, _topics), "tfidf": _tfidf, "tfidf_bigrams": _node(text.tfidf_bigrams, _kept_topics), "tfidf_norms": _node(text.tfidf_norms, _tfidf),
@@ -177,7 +177,7 @@ _last_runs = _node(Operator(lambda d: "SELECT r.* FROM runs r CROSS JOIN (SELECT
 _queries = _node(Operator(lambda d: "SELECT DISTINCT p_name AS query FROM part", "part"), "part")
 _existing = _node(Operator(lambda d: "SELECT DISTINCT p_type AS keyword FROM part", "part"), "part")
 NODES |= {
-    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": _node(keywords.similar_to_existing, _queries, _existing), "covered_keywords": _node(keywords.covered, _queries, _existing), "stale_keywords": _node(keywords.stale, _node(upkeep.keyword_stats, _last_runs), _node(upkeep.keyword_stats, _many_runs)),
+    "keyword_fingerprints": _node(keywords.fingerprints, _queries), "similar_keywords": Node(keyword_audit.similar_to_existing, {"queries": _queries, "existing": _existing}, keywords.similar_to_existing.reference()), "covered_keywords": Node(keyword_audit.covered, {"queries": _queries, "existing": _existing}, keywords.covered.reference()), "stale_keywords": _node(keywords.stale, _node(upkeep.keyword_stats, _last_runs), _node(upkeep.keyword_stats, _many_runs)),
 }
 
 _watched = _node(watch.watch_list, _posts, _edges)
@@ -313,6 +313,17 @@ def _found_themes(spark: SparkSession, folder: str) -> DataFrame:
 
 NODES |= {"vector_store": Node(lambda docs: vector_store.runs(docs, scratch_folder(docs.sparkSession)), {"documents": "documents"}, vector_store.RUNS_SQL)}
 
+# terms for an audit: words of parts with an anchor, a spoiler or nothing behind them
+_terms = _node(
+    Operator(lambda d: "SELECT concat(split_part(p_name, ' ', 1), CASE p_partkey % 5 WHEN 0 THEN ' ballot' WHEN 1 THEN ' senate race' WHEN 2 THEN ' post' WHEN 3 THEN '' ELSE ' red wave' END) AS term, CAST(p_size AS DOUBLE) + (p_partkey % 97) / 1e2 AS score, CASE WHEN p_partkey % 29 = 1 THEN 'theme' ELSE 'corpus' END AS source FROM part", "part"),
+    "part",
+)
+_term_queries = _node(Operator(lambda d: "SELECT DISTINCT term AS query FROM terms", "terms"), _terms)
+_configured = _node(Operator(lambda d: "SELECT DISTINCT split_part(p_name, ' ', 1) AS keyword FROM part WHERE p_name < 'f'", "part"), "part")
+_term_checks = _node(keyword_audit.valid_queries, _term_queries)
+_term_covers = Node(keyword_audit.covered, {"queries": _term_queries, "existing": _configured}, keywords.covered.reference())
+NODES |= {"valid_queries": _term_checks, "keyword_suggestions": _node(keyword_audit.suggestions, _terms, _term_covers, _term_checks)}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
