@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from narravane.functions.dialect import operator, rounded
+from narravane.functions.places import numbered
 
 
 @operator("themes", "clusters")
@@ -48,15 +51,24 @@ def lineage(d):
 
 
 @operator("lines", "weeks", "days", "moves")
-def alerts(d):
-    """One list of alerts by severity: trends, weeks, divergent days and watch-level moves."""
+def alert_rows(d):
+    """Alerts with their severity: trends, weeks, divergent days and watch-level moves."""
     return """
     WITH a AS (
       SELECT narrative, 'trend' AS kind, concat('trend ', trend) AS message, 1 AS severity FROM lines WHERE trend IN ('escalating', 'declining')
       UNION ALL SELECT narrative, 'week', concat('week over week ', alert), 2 FROM weeks WHERE alert <> 'none'
       UNION ALL SELECT narrative, 'divergence', concat('busy and mild on ', day), 3 FROM days
       UNION ALL SELECT narrative, 'level', concat('level ', CAST(level AS STRING), ' on ', day), CASE WHEN level = 3 THEN 0 ELSE 2 END FROM moves)
-    SELECT narrative, kind, message, severity, CAST(row_number() OVER (ORDER BY severity, narrative, kind, message) AS BIGINT) AS place FROM a"""
+    SELECT narrative, kind, message, severity FROM a"""
+
+
+def alerts(rows: DataFrame) -> DataFrame:
+    """One list of alerts by severity, numbered."""
+    return numbered(rows, ["severity", "narrative", "kind", "message"])
+
+
+#: DuckDB text for ``alerts`` over ``rows``.
+ALERTS_SQL = 'SELECT narrative, kind, message, severity, CAST(row_number() OVER (ORDER BY severity, narrative, kind, message) AS BIGINT) AS place FROM "rows"'
 
 
 @operator("posts", "lines", "stats", "graphs", "bots")

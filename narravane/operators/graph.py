@@ -100,12 +100,15 @@ def topology(d):
 
 @operator("posts", "degrees")
 def priority_authors(d):
-    """Authors by reach and score; critical ones are above both medians, or in the upper quartile if all scores are low."""
+    """Authors by reach and score; critical ones are above both medians, or in the upper quartile if all scores are low.
+
+    Scores are millionths, so the quartile comes from counts of at most a million values.
+    """
     return """
     WITH a AS (SELECT author_id, count(*) AS posts, max(score_u) AS y FROM posts GROUP BY author_id),
     j AS (SELECT coalesce(a.author_id, g.author_id) AS author_id, coalesce(a.posts, 0) AS posts, coalesce(a.y, 0) AS y, coalesce(g.out_degree, 0) AS x FROM a FULL JOIN degrees g ON a.author_id = g.author_id),
-    r AS (SELECT *, row_number() OVER (ORDER BY y, author_id) - 1 AS k, count(*) OVER () AS n FROM j),
-    m AS (SELECT median(x) AS mid_x, median(y) AS mid_y, max(y) AS top, max(CASE WHEN k = least(n - 1, CAST(floor(n * 75e-2) AS BIGINT)) THEN y END) AS p75 FROM r)
+    c AS (SELECT y, count(*) AS k FROM j GROUP BY y), w AS (SELECT y, sum(k) OVER (ORDER BY y) AS upto, sum(k) OVER () AS n FROM c),
+    q AS (SELECT min(y) AS p75 FROM w WHERE upto > least(n - 1, floor(n * 75e-2))), h AS (SELECT median(x) AS mid_x, median(y) AS mid_y, max(y) AS top FROM j), m AS (SELECT h.*, q.p75 FROM h CROSS JOIN q)
     SELECT j.author_id, j.posts, j.x AS reach, j.y AS largest_u,
            CASE WHEN m.top <= 150000 THEN j.y >= m.p75 AND j.x >= m.mid_x ELSE j.x >= m.mid_x AND j.y >= m.mid_y AND (j.x > 0 OR j.y >= 250000) END AS critical
     FROM j CROSS JOIN m"""

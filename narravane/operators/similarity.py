@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narravane.functions.dialect import operator, rounded
-from narravane.operators.bursts import BURST_AUTHORS, authors_within
+from narravane.operators.bursts import BURST_AUTHORS, burst_authors
 from narravane.operators.components import components
 
 #: Fixed value: default threshold in hundredths.
@@ -102,12 +102,13 @@ SELECT node AS post_id, min(other) AS group_id FROM r GROUP BY node"""
 @operator("groups", "posts", "links")
 def group_report(d):
     """Size, authors, largest similarity, bursts and longest text of each group."""
+    longest = "max_by(substring(m.text, 1, 160), struct(length(m.text), -m.post_id))" if d.name == "spark" else "first(substring(m.text, 1, 160) ORDER BY length(m.text) DESC, m.post_id)"
     return f"""
     WITH s AS (SELECT g.group_id, max(l.similarity) AS similarity FROM links l JOIN groups g ON l.a = g.post_id GROUP BY g.group_id),
     m AS (SELECT g.group_id, p.post_id, p.author_id, p.at_us, p.text FROM groups g JOIN posts p ON g.post_id = p.post_id),
-    t AS (SELECT *, {authors_within(d, "group_id")} AS near, row_number() OVER (PARTITION BY group_id ORDER BY length(text) DESC, post_id) AS k FROM m)
-    SELECT t.group_id, count(*) AS posts, count(DISTINCT t.author_id) AS authors, max(s.similarity) AS similarity, max(t.near) AS burst_authors, max(t.near) >= {BURST_AUTHORS} AS burst, max(CASE WHEN t.k = 1 THEN substring(t.text, 1, 160) END) AS sample
-    FROM t JOIN s ON t.group_id = s.group_id GROUP BY t.group_id"""
+    n AS ({burst_authors(d, "m", "group_id")})
+    SELECT m.group_id, count(*) AS posts, count(DISTINCT m.author_id) AS authors, max(s.similarity) AS similarity, max(n.burst_authors) AS burst_authors, max(n.burst_authors) >= {BURST_AUTHORS} AS burst, {longest} AS sample
+    FROM m JOIN s ON m.group_id = s.group_id JOIN n ON m.group_id = n.group_id GROUP BY m.group_id"""
 
 
 @operator("groups", "posts")

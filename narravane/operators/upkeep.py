@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from narravane.functions.dialect import operator, rounded
+from narravane.functions.places import numbered
 
 DAY_US = 86_400_000_000
 
@@ -138,3 +142,10 @@ def merged_logs(d):
 def stale_narratives(d):
     """Posts without a current score by narrative."""
     return "SELECT p.narrative, count(*) AS posts, CAST(count_if(s.post_id IS NULL) AS BIGINT) AS unscored FROM posts p LEFT JOIN scored s ON p.post_id = s.post_id GROUP BY p.narrative"
+
+
+def merge_logs(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(line, place): what ``merged_logs`` gives, numbered by ranges."""
+    both = theirs.select("line", F.lit(0).alias("side"), "pos").unionByName(ours.select("line", F.lit(1).alias("side"), "pos"))
+    first = both.groupBy("line").agg(F.min(F.struct("side", "pos")).alias("at")).select("line", "at.side", "at.pos")
+    return numbered(first, ["side", "pos", "line"]).select("line", "place")

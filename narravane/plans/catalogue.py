@@ -56,8 +56,8 @@ _posts = _node(tables.event_posts, "events")
 _docs = _node(tables.document_posts, "documents")
 # for work that is long for each text
 _texts = Node(tables.spread, {"posts": _docs}, "SELECT * FROM posts")
-_edges = _node(tables.event_edges, "events")
-_sparse = _node(tables.sparse_edges, "events")
+_edges = Node(tables.edges, {"events": "events"}, tables.event_edges.reference(), keep=True)
+_sparse = Node(tables.circles, {"events": "events"}, tables.sparse_edges.reference(), keep=True)
 _bots = _node(tables.known_bots, "customer")
 
 _buckets = _node(trend.daily_buckets, _posts)
@@ -78,7 +78,7 @@ _cross_links = Node(similarity.links_across_authors, {"sets": _sets, "pairs": _p
 _own = Node(lambda sets, links: similarity.groups_of(sets, links, True), {"sets": _sets, "links": _own_links}, similarity.GROUPS_SQL, keep=True)
 _cross = Node(lambda sets, links: similarity.groups_of(sets, links, False), {"sets": _sets, "links": _cross_links}, similarity.GROUPS_SQL, keep=True)
 _templates = _node(similarity.token_sets, _node(bursts.normalized, _node(Operator(lambda d: "SELECT item_id AS post_id, 'b' AS narrative, 'b' AS author_id, item_id AS at_us, text FROM benchmark", "benchmark"), "benchmark")))
-_copies = _node(bursts.exact_copies, _normal)
+_copies = Node(bursts.exact_copies, {"normal_posts": _normal}, bursts.COPIES_SQL)
 _fuzzy = _node(similarity.group_report, _cross, _docs, _cross_links)
 _text_score = _node(similarity.text_coordination, _copies, _fuzzy, _node(actors.actor_hits, _rollup, _top))
 _hits = _node(scoring.lexicon_hits, _texts)
@@ -144,7 +144,7 @@ NODES: dict[str, Node] = {
     "iso_weeks": _node(trend.iso_weeks, _posts), "score_histogram": _node(trend.score_histogram, _posts), "nearest_rank": _node(trend.nearest_rank, _posts), "score_stats": _node(trend.score_stats, _posts),
     "actor_rollup": _rollup, "actor_top": _top, "actor_pairs": _node(actors.actor_pairs, _rollup, _top), "actor_hits": _node(actors.actor_hits, _rollup, _top),
     "bot_overlap": _node(actors.bot_overlap, _posts, _bots), "bot_labels": _node(actors.bot_labels, _posts, _bots), "posts_without_bots": _node(actors.posts_without_bots, _posts, _bots),
-    "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _node(Operator(lambda d: "SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE post_id % 10 = 3", "posts"), _posts)), "bursts": _node(bursts.bursts, _posts), "gaps": _node(bursts.gaps, _posts),
+    "normal_text": _node(Operator(lambda d: "SELECT post_id, normal FROM n", "n"), _normal), "exact_copies": _copies, "copy_keys": _node(bursts.copy_keys, _node(Operator(lambda d: "SELECT * FROM posts UNION ALL SELECT * FROM posts WHERE post_id % 10 = 3", "posts"), _posts)), "bursts": _node(bursts.bursts, _posts), "gaps": Node(bursts.gaps, {"posts": _posts}, bursts.GAPS_SQL),
     "edge_weights": _weights, "heavy_edges": _node(graph.heavy_edges, _weights), "degrees": _degrees, "top_amplifiers": _node(graph.top_amplifiers, _degrees), "graph_stats": _node(graph.graph_stats, _edges, _posts),
     "edge_kinds": _node(graph.edge_kinds, _edges), "density_and_hub": _node(graph.density_and_hub, _edges), "author_components": _parts, "dense_clusters": _dense, "graph_suspicion": _node(graph.suspicion, _shape, _dense),
     "topology": _node(graph.topology, _edges), "priority_authors": _node(graph.priority_authors, _posts, _degrees),
@@ -159,7 +159,7 @@ NODES: dict[str, Node] = {
     "keyword_stats": _stats, "protected_keywords": _node(upkeep.protected_keywords, _stats), "explore_order": _node(upkeep.explore_order, _stats), "recent_yield": _node(upkeep.recent_yield, _runs), "round_robin": _node(upkeep.round_robin, _stats),
     "sightings_by_day": _node(upkeep.sightings_by_day, _posts), "upsert_actions": _node(upkeep.upsert_actions, _target, _batch), "upserted": _node(upkeep.upserted, _target, _batch), "orphans": _node(upkeep.orphans, "orders", "customer"),
     "pruned": _node(upkeep.pruned, _posts, _keep), "last_of_day": _node(upkeep.last_of_day, _posts), "tier_crossings": _node(upkeep.tier_crossings, _posts), "daily_budget": _node(upkeep.daily_budget, _posts), "bounded_history": _node(upkeep.bounded_history, _posts),
-    "newest_then_filtered": _node(upkeep.newest_then_filtered, _posts), "newest_cohort": _node(upkeep.newest_cohort, _posts), "merged_logs": _node(upkeep.merged_logs, _ours, _theirs), "stale_narratives": _node(upkeep.stale_narratives, _posts, _scored),
+    "newest_then_filtered": _node(upkeep.newest_then_filtered, _posts), "newest_cohort": _node(upkeep.newest_cohort, _posts), "merged_logs": Node(upkeep.merge_logs, {"ours": _ours, "theirs": _theirs}, upkeep.merged_logs.reference()), "stale_narratives": _node(upkeep.stale_narratives, _posts, _scored),
     "star_join": _node(relational.star_join, "lineitem", "orders", "customer", "nation", "region"), "rollup_sales": _node(relational.rollup_sales, "lineitem"), "cube_sales": _node(relational.cube_sales, "lineitem"), "grouping_sets_sales": _node(relational.grouping_sets_sales, "lineitem"),
     "customers_with_orders": _node(relational.customers_with_orders, "customer", "orders"), "customers_without_orders": _node(relational.customers_without_orders, "customer", "orders"), "nation_sets": _node(relational.nation_sets, "customer", "supplier"),
     "top_orders": _node(relational.top_orders, "orders"), "running_totals": _node(relational.running_totals, "orders"), "status_pivot": _node(relational.status_pivot, "orders"), "as_of_event": _node(relational.as_of_event, "orders", "events"),
@@ -167,7 +167,7 @@ NODES: dict[str, Node] = {
 
 NODES |= {
     "overlays": _overlays, "coordination_tiers": _node(coordination.coordination_tiers, _overlays, _sizes, _facts), "combined_score": _node(similarity.combined_score, _text_score, _node(graph.suspicion, _shape, _dense), _node(graph.graph_stats, _edges, _posts)),
-    "provenance": _node(coordination.provenance, _node(Operator(lambda d: "SELECT narrative, count(*) AS n FROM posts GROUP BY narrative", "posts"), _posts), _node(trend.score_stats, _node(analyst.filtered(least_u=100_000), _posts)), _node(graph.graph_stats, _edges, _posts), _copies, _fuzzy), "lineage": _lineage, "alerts": _node(coordination.alerts, _trends, _weeks, _days, _moves),
+    "provenance": _node(coordination.provenance, _node(Operator(lambda d: "SELECT narrative, count(*) AS n FROM posts GROUP BY narrative", "posts"), _posts), _node(trend.score_stats, _node(analyst.filtered(least_u=100_000), _posts)), _node(graph.graph_stats, _edges, _posts), _copies, _fuzzy), "lineage": _lineage, "alerts": Node(coordination.alerts, {"rows": _node(coordination.alert_rows, _trends, _weeks, _days, _moves)}, coordination.ALERTS_SQL),
     "snapshot": _snapshot, "brief": _node(coordination.brief, _snapshot), "failed_gates": _node(coordination.failed_gates, _snapshot),
 }
 

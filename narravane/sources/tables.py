@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from narravane.functions.dialect import operator
+from narravane.functions.dialect import SPARK, operator
+from narravane.functions.places import lagged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,3 +67,23 @@ def sparse_edges(d):
 def known_bots(d):
     """Accounts of a bot list: the customers in debt."""
     return "SELECT DISTINCT 'x' AS platform, concat('u', CAST(c_custkey AS STRING)) AS author_id, c_mktsegment AS label FROM customer WHERE c_acctbal < 0"
+
+
+def _interactions(events: DataFrame, group: list[Column], kind: Column) -> DataFrame:
+    """(edge_id, narrative, source, target, kind, at_us): each author answers the one before in the group, found by ranges of time."""
+    names = [f"group_{i}" for i in range(len(group))]
+    rows = events.select("event_id", "event_type", "user_id", "ts", *[g.alias(n) for g, n in zip(group, names, strict=True)])
+    answered = lagged(rows, names, ["ts", "event_id"], F.col("user_id"), "before").where("before IS NOT NULL")
+    user = lambda c: F.concat(F.lit("u"), F.col(c).cast("string"))
+    return answered.select(F.col("event_id").alias("edge_id"), F.col("event_type").alias("narrative"), user("user_id").alias("source"), user("before").alias("target"), kind.alias("kind"), F.expr(SPARK.micros("ts")).alias("at_us")).where("source IS NOT NULL")
+
+
+def edges(events: DataFrame) -> DataFrame:
+    """What ``event_edges`` gives, without a window over a narrative."""
+    of = F.pmod(F.col("event_id"), F.lit(4))
+    return _interactions(events, [F.col("event_type")], F.when(of == 0, "retweet").when(of == 1, "reply").when(of == 2, "quote").otherwise("share"))
+
+
+def circles(events: DataFrame) -> DataFrame:
+    """What ``sparse_edges`` gives, without a window over a narrative."""
+    return _interactions(events, [F.col("event_type"), F.col("user_id") % 40], F.lit("reply"))
