@@ -25,7 +25,23 @@ def folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _of_this_process()
-    return f"{base.rstrip('/')}/narravane-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/narravane-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: The tables that this process has written below a shared folder.
+_MADE: list[str] = []
+
+
+def remove_all(spark: SparkSession) -> int:
+    """Deletes the tables that this process wrote, for the end of a job; gives their number.  Frames that read them are of no use then."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_MADE)
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -27,3 +27,15 @@ def test_equal_plain_windows(spark, parts):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "g string, t long")
     assert numbered(df, ["t"]).count() == 0 and lagged(df, ["g"], ["t"], F.col("t"), "before").count() == 0
+
+
+def test_written_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    from narravane.functions import scratch
+
+    monkeypatch.setattr(scratch, "_MADE", [])
+    rows = scratch.written(spark.range(5))
+    (path,) = scratch._MADE
+    assert rows.count() == 5 and os.path.isdir(path)
+    assert scratch.remove_all(spark) == 1 and not os.path.exists(path) and scratch._MADE == []
