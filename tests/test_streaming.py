@@ -1,7 +1,9 @@
 import datetime as dt
 import itertools
+import random
 
 import pytest
+from narravane.operators import bursts
 from narravane.streaming import feeds
 from pyspark.sql import functions as F
 
@@ -49,3 +51,22 @@ def test_upserts_keep_one_row_a_key(spark, landed, tmp_path):
     feeds.upsert_batches(feeds.feed(spark, folder), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "t").iterdir())
     assert sorted(r.post_id for r in spark.read.parquet(f"{tmp_path}/t/version={last}").collect()) == [r[0] for r in rows]
+
+
+def test_exact_bursts_equal_the_batch(spark, tmp_path):
+    """Bursts across window bounds, of exactly 90 seconds and a little more, and late within the watermark."""
+    base, rows = dt.datetime(2024, 3, 1), []
+    rng = random.Random(1)
+    for i in range(400):
+        rows.append((i, "ab"[i % 2], f"u{rng.randrange(9)}", base + dt.timedelta(seconds=rng.randrange(4000), microseconds=rng.choice([0, 1, 999_999])), 0.1))
+    rows += [(1000 + i, "c", f"v{i}", base + dt.timedelta(seconds=85 + 22.5 * i), 0.1) for i in range(5)]
+    rows += [(2000 + i, "d", f"v{i}", base + dt.timedelta(seconds=85 + 22.5 * i, microseconds=i == 4), 0.1) for i in range(5)]
+    end = [(9999, "z", "u", base + dt.timedelta(days=1), 0.1)]
+    for k, part in enumerate([rows[::2], rows[1::2], end, [(10_000, "z", "u", base + dt.timedelta(days=2), 0.1)]]):
+        spark.createDataFrame(part, feeds.FEED).coalesce(1).write.mode("append").parquet(str(tmp_path / "f" / f"part={k}"))
+    stream = spark.readStream.schema(feeds.FEED).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "f"))
+    got = feeds.drained(feeds.exact_bursts(stream, "2 hours"), "append", str(tmp_path / "o"), str(tmp_path / "c"))
+    most = {r.narrative: r.most for r in got.groupBy("narrative").agg(F.max("authors").alias("most")).collect()}
+    posts = spark.createDataFrame(rows, feeds.FEED).withColumn("at_us", F.unix_micros("posted_at"))
+    want = {r.narrative: r.most_authors for r in bursts.bursts(posts).collect()}
+    assert {n: most[n] for n in "abcd"} == want and (want["c"], want["d"]) == (5, 4)
