@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from narravane.functions.dialect import Operator, rounded, with_inputs
 from narravane.functions.scratch import folder as scratch_folder
 from narravane.functions.scratch import written
-from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keyword_audit, keywords, labels, relational, scoring, similarity, text, theme_labels, themes, trend, upkeep, vector_store, watch
+from narravane.operators import actors, analyst, bursts, clustering, coordination, drift, graph, keyword_audit, keywords, labels, relational, scoring, similarity, snapshots, text, theme_labels, themes, trend, upkeep, vector_store, watch
 from narravane.sources import tables
 
 
@@ -324,6 +324,16 @@ _term_checks = _node(keyword_audit.valid_queries, _term_queries)
 _term_covers = Node(keyword_audit.covered, {"queries": _term_queries, "existing": _configured}, keywords.covered.reference())
 NODES |= {"valid_queries": _term_checks, "keyword_suggestions": _node(keyword_audit.suggestions, _terms, _term_covers, _term_checks)}
 
+def _read_back(rows: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Snapshot documents, saved and loaded again."""
+    path = scratch_folder(rows.sparkSession)
+    snapshots.save(snapshots.documents(rows, alerts), path)
+    return snapshots.flat(snapshots.load(rows.sparkSession, path))
+
+
+_flats = Node(_read_back, {"snap": _snapshot, "alerts": NODES["alerts"]}, f"SELECT CAST({snapshots.VERSION} AS BIGINT) AS version, s.narrative, {', '.join(snapshots.FIELDS)}, (SELECT count(*) FROM alerts a WHERE a.narrative = s.narrative) AS alerts FROM snap s")
+NODES |= {"snapshot_documents": _flats, "document_gates": _node(snapshots.document_gates, _flats)}
+
 #: Queries that SQL can't express: models whose results have no exact reference.
 MODELS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans": lambda spark, folder: themes.kmeans(tables.table(spark, folder, "embeddings")),
