@@ -132,6 +132,18 @@ def ingest_gate(d):
     FROM reasons r JOIN k ON r.post_id = k.post_id"""
 
 
+@operator("reasons", "gates", "posts")
+def topic_filter(d):
+    """Why a post is left out of clustering, off topic included: without a keyword in it, where a quarter of its narrative's posts have one.
+
+    Where fewer have one, the keywords say nothing about the corpus and no post is off topic.
+    """
+    return f"""
+    WITH n AS (SELECT p.narrative, 4 * count_if(g.keyword_hits > 0) >= count(*) AS telling FROM posts p JOIN gates g ON p.post_id = g.post_id GROUP BY p.narrative)
+    SELECT r.post_id, CASE WHEN r.reason = 'narrative' AND g.keyword_hits = 0 AND n.telling THEN 'off_topic' ELSE r.reason END AS reason
+    FROM reasons r JOIN gates g ON r.post_id = g.post_id JOIN posts p ON r.post_id = p.post_id JOIN n ON n.narrative {"<=>" if d.name == "spark" else "IS NOT DISTINCT FROM"} p.narrative"""
+
+
 @operator("scores", "posts")
 def tier_counts(d):
     """Posts and mean index by narrative and tier."""

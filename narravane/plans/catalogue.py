@@ -190,6 +190,7 @@ NODES |= {
 _pasta = NODES["copypasta"]
 _tiers = NODES["coordination_tiers"]
 _topterms = NODES["top_terms"]
+_topical = _node(scoring.topic_filter, _reasons, NODES["ingest_gate"], _docs)
 # documents with a headline of a frame, since invented prose has none
 _framed = _node(Operator(lambda d: "SELECT post_id, narrative, author_id, at_us, concat(text, CASE WHEN post_id % 10 = 1 THEN ' Stop the Steal: a red wave, a RED WAVE' WHEN post_id % 14 = 2 THEN ' the deep state' WHEN post_id % 15 = 4 THEN ' fake news' ELSE '' END) AS text FROM posts", "posts"), _texts)
 _known = _node(labels.known_phrases, _framed)
@@ -218,7 +219,7 @@ NODES |= {
     "filtered_posts": _node(analyst.filtered("click", 500_000), _posts), "sensitive_posts": _node(analyst.sensitive, _docs), "shortened_texts": _node(analyst.shortened, _docs), "lexicon_strength": _node(analyst.lexicon_strength, _hits),
     "post_projection": _node(analyst.projection, _docs, _scores, _own, _cross, _pasta), "best_posts": _node(analyst.best_posts, _docs, _scores), "client_filter": _node(analyst.client_filter, _docs, _scores), "author_vertices": _node(analyst.author_vertices, _posts, _bots),
     "graph_posts": _node(analyst.graph_posts, _docs, _scores), "posts_by_author": _node(analyst.posts_by_author, _posts), "parent_theme": _node(analyst.parent_theme, _overlays), "copy_tiers": _node(analyst.copy_tiers, _facts), "copy_order": _node(analyst.copy_order, _copies),
-    "group_order": _node(analyst.group_order, _fuzzy), "frame_order": _node(analyst.frame_order, _tiers), "signals": _node(analyst.signals, _copies, _fuzzy), "filter_buckets": _node(analyst.filter_buckets, _reasons), "ingest_plan": _node(analyst.ingest_plan, _posts),
+    "group_order": _node(analyst.group_order, _fuzzy), "frame_order": _node(analyst.frame_order, _tiers), "signals": _node(analyst.signals, _copies, _fuzzy), "topic_filter": _topical, "filter_buckets": _node(analyst.filter_buckets, _topical), "ingest_plan": _node(analyst.ingest_plan, _posts),
     "sentiment_state": _state, "sentiment_alerts": _node(analyst.sentiment_alerts, _state, _state_before), "benchmark_run": _node(analyst.benchmark_run, _scores, "labels"), "label_summary": _node(analyst.label_summary, _docs, "labels"), "report_rows": _node(analyst.report_rows, _posts),
     "discovered_authors": _node(analyst.discovered, _posts, _edges),
 }

@@ -106,3 +106,14 @@ def test_next_poll_order(spark):
     polled = spark.createDataFrame([("b", 3, 50, 0, "active"), ("c", 1, 70, 2, "active"), ("d", 1, 60, 0, "active"), ("e", 1, 1, 3, "active"), ("f", 2, 1, 0, "pruned")], "author_id string, polls long, polled_us long, depth long, status string")
     # never polled first, whatever the priority; then by priority, then the one not polled for longest; e is too deep, f is pruned
     assert [r.author_id for r in watch.next_poll(watched, polled).collect()] == ["a", "b", "d", "c"]
+
+
+def test_posts_are_off_topic_only_where_keywords_tell(spark):
+    rows = [("a", 1), ("a", 0), ("a", 0), ("a", 0), ("b", 1), *[("b", 0)] * 4]
+    posts_ = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(rows)], "post_id long, narrative string")
+    gates = spark.createDataFrame([(i, h) for i, (_, h) in enumerate(rows)], "post_id long, keyword_hits long")
+    reasons = spark.createDataFrame([(i, "promo" if i == 3 else "narrative") for i in range(len(rows))], "post_id long, reason string")
+    got = {r.post_id: r.reason for r in scoring.topic_filter(reasons, gates, posts_).collect()}
+    # a keyword stands in one post of four, which is a quarter, and in one of five, which is less
+    assert got == {0: "narrative", 1: "off_topic", 2: "off_topic", 3: "promo"} | {i: "narrative" for i in range(4, 9)}
+    assert {r.bucket for r in analyst.filter_buckets(scoring.topic_filter(reasons, gates, posts_)).collect()} == {None, -3, -6}
