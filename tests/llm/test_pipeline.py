@@ -83,3 +83,24 @@ def test_odd_rows(spark, docs_of):
     assert {r.score for r in cp.keep_good_quality(spark, mixed, SF).collect()} <= {mixed.first().score}
     assert cp.redact_secrets(spark, docs, SF).count() == 7 and cp.drop_benchmark_leaks(spark, docs, SF).count() == 7
     assert cp.encode_with_dropout(spark, docs_of([]), SF).count() == 0
+
+
+def test_stages_bound_the_batches_of_workers(spark):
+    docs, setting = spark.read.parquet(f"{SF}/documents.parquet").coalesce(1), "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    longest = docs.selectExpr("max(octet_length(text))").first()[0] + 1000
+    try:
+        for _, stage in cp.STAGES:
+            spark.conf.unset(setting)
+            stage(spark, docs, SF)
+            got = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r.rows for r in got) == docs.count() and max(r.bytes for r in got) <= cp.BATCH_BYTES + longest
+        spark.conf.set(setting, "64k")  # a smaller one stays
+        cp.redact_secrets(spark, docs, SF)
+        assert spark.conf.get(setting) == "64k"
+    finally:
+        spark.conf.unset(setting)
