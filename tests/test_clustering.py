@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from narravane.operators import clustering, vectors
+from narravane.operators import clustering, themes, vectors
 from narravane.operators.components import components
 from narravane.operators.vectors import Neighbours
 from pyspark.sql import functions as F
@@ -285,3 +285,27 @@ def test_the_whole_way_equals_its_twin(spark):
     state = twin_refine(x, twin_merge(x, state), 12)
     assert method.startswith("density") and got.tolist() == state.tolist()
     assert found.select(F.count_distinct("theme")).first()[0] > 3
+
+
+def bodies(plan):
+    """The texts of all lambdas in a plan."""
+    out, at = [], plan.find("lambdafunction(")
+    while at >= 0:
+        end, depth = at + len("lambdafunction("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(plan[end], 0)
+            end += 1
+        out.append(plan[at:end])
+        at = plan.find("lambdafunction(", at + 1)
+    return out
+
+
+def test_lengths_are_worked_out_once_for_a_vector(spark):
+    """Inside a lambda a length is worked out again for each element, and lengths in lengths to the fourth power."""
+    rows = [(i, i % 4, [float((i * k) % 7 + 1) for k in range(40)]) for i in range(20)]
+    units = themes.unit_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    lifted = themes.lifted_vectors(units)
+    found = bodies(lifted._jdf.queryExecution().optimizedPlan().toString())
+    assert found and not [b for b in found if "aggregate(" in b]
+    for r in lifted.collect():
+        assert abs(sum(x * x for x in r.v) - 1) < 1e-9
