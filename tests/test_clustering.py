@@ -309,3 +309,21 @@ def test_lengths_are_worked_out_once_for_a_vector(spark):
     assert found and not [b for b in found if "aggregate(" in b]
     for r in lifted.collect():
         assert abs(sum(x * x for x in r.v) - 1) < 1e-9
+
+
+def test_vectors_are_sent_to_few_blocks(spark, monkeypatch):
+    """Where no cell can be dropped, each vector goes once to each block: cells share blocks, which are few."""
+    monkeypatch.setattr(vectors, "BLOCK", 32768)
+    x = unit(np.random.default_rng(9).normal(size=(1200, 16)))
+    found = Neighbours(frame(spark, x))
+    assert len(found.centres) > 20 and 2 <= found.placed.select("block").distinct().count() <= 4
+    got = {r.rep: r.distance for r in found.nearest(3).collect()}
+    assert all(got[i] == pytest.approx(w, abs=1e-9) for i, w in enumerate(np.sort(far(x, np.zeros(1200)), axis=1)[:, 2]))
+
+
+def test_values_reach_many_copies_without_a_shuffle_of_them(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "COPIES", 4)
+    x = unit(np.random.default_rng(2).normal(size=(9, 5)))[[0] * 6 + [1] * 2 + list(range(2, 9))]
+    got = {r.vec_id: r.distance for r in clustering.knn(frame(spark, x)).collect()}
+    want = np.sort(far(x, np.zeros(len(x))), axis=1)[:, 2]
+    assert len(got) == len(x) and all(got[i] == pytest.approx(w, abs=1e-9) for i, w in enumerate(want))
