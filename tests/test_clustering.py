@@ -327,3 +327,17 @@ def test_values_reach_many_copies_without_a_shuffle_of_them(spark, monkeypatch):
     got = {r.vec_id: r.distance for r in clustering.knn(frame(spark, x)).collect()}
     want = np.sort(far(x, np.zeros(len(x))), axis=1)[:, 2]
     assert len(got) == len(x) and all(got[i] == pytest.approx(w, abs=1e-9) for i, w in enumerate(want))
+
+
+def test_neighbours_of_a_label_equal_the_text(spark):
+    """By blocks as by the text, with null labels, equal vectors and repeated ids; spanning links give the same clusters."""
+    x = np.random.default_rng(6).normal(size=(150, 6))
+    x[7] = x[8]
+    rows = [(0 if i == 1 else i, None if i % 29 == 5 else i % 3, v.tolist()) for i, v in enumerate(x)]
+    units = themes.unit_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    want = themes.neighbours(units)
+    got = themes.near_vectors(units)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    linked = {tuple(r) for r in components(want.select("a", "b")).collect()}
+    assert {tuple(r) for r in themes.density_clusters(units).collect()} == linked and len(linked) > 100
