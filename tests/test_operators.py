@@ -180,3 +180,16 @@ def test_sentiment_alerts_on_worse_states_only(spark):
     now = spark.createDataFrame([("a", "escalating", "none", 1), ("b", "escalating", "surge", 2), ("c", "stable", "surge", 0), ("d", "escalating", "none", 1)], kind)
     before = spark.createDataFrame([("a", "stable", "surge", 1), ("b", "escalating", "surge", 3), ("c", "stable", "none", 0)], kind)
     assert {(r.narrative, r.kind) for r in analyst.sentiment_alerts(now, before).collect()} == {("a", "trend_escalating"), ("c", "surge"), ("d", "trend_escalating"), ("d", "volume_divergence")}
+
+
+@pytest.mark.parametrize("percent", [60, 82])
+def test_false_candidates_die_inside_the_join(spark, percent):
+    """Sets of frequent tokens share prefixes with nearly all others; bounds leave few of them, and no pair is lost."""
+    rng = random.Random(percent)
+    sets = [sorted(rng.sample([f"w{k}" for k in range(60)], rng.randint(12, 24))) for _ in range(150)]
+    sets += [sorted({*rng.sample(s, len(s) - rng.randint(0, 3)), f"w{rng.randrange(60)}"}) for s in sets[:60]]
+    frame = spark.createDataFrame([(i, f"u{i % 5}", s, len(s)) for i, s in enumerate(sets)], "post_id long, author_id string, tokens array<string>, n long")
+    first = {tuple(s): i for i, s in reversed(list(enumerate(sets)))}
+    want = {(i, j) for s, i in first.items() for t, j in first.items() if i < j and 100 * len({*s} & {*t}) >= percent * len({*s} | {*t})}
+    assert {(r.a, r.b) for r in similarity.similar_pairs(frame, percent).collect()} == want and len(want) > 20
+    assert similarity._candidates(similarity.set_classes(frame), percent).distinct().count() < len(want) + 150 * 149 // 40
