@@ -55,3 +55,9 @@ def test_operators_leave_the_views_of_the_session_alone(spark):
 def test_steps_of_a_text():
     assert steps("SELECT 1") == ([], "SELECT 1")
     assert steps(" WITH a AS (SELECT '(' AS x), b AS (SELECT f(1)) SELECT (2)") == ([("a", "SELECT '(' AS x"), ("b", "SELECT f(1)")], "SELECT (2)")
+
+
+@pytest.mark.parametrize("name", ["phrase_pmi", "first_labels"])
+def test_phrases_are_counted_once(spark, name):
+    """The counts are written; else each part of the plan that reads them explodes and shuffles all phrases again."""
+    assert "Generate" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
